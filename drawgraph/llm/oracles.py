@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express; written from their definitions, not from the Spark code."""
 
+import re
+
+from .license_rules import BASE, build
+
 MIXING = r"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as ord
@@ -89,3 +93,51 @@ with base as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and broke = '') as kept, broke from ruled
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _doubled(pattern: str) -> str:
+    """The pattern over words that have a space of their own on either side."""
+    return " (?:" + re.sub(r" (\?)?", lambda m: "(?:  )?" if m[1] else "  ", pattern) + ") "
+
+
+def license_scan() -> str:
+    rules = ",\n  ".join(f"({i}, {_quoted(label)}, {level}, {_quoted(key)}, {_quoted(_doubled(rx))})" for i, (label, level, key, rx) in enumerate(build()))
+    phrases = ", ".join(f"({_quoted(p)}, {_quoted(label)}, {len(p.split())})" for p, label in BASE)
+    return rf"""
+with rules(ord, label, level, key, rx) as (values
+  {rules}
+), phrases(phrase, label, size) as (values {phrases}
+), split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), texts as (
+  select doc_id, cast(len(w) as bigint) as n_words, w, ' ' || array_to_string(w, ' ') || ' ' as t, ' ' || array_to_string(w, '  ') || ' ' as t2 from split
+), places as (
+  select doc_id, w, unnest(range(1, len(w) + 1)) as i from texts where contains(t, ' cc by ') or contains(t, ' general public license ') or contains(t, ' all rights reserved ')
+), base as (
+  select doc_id, count(*) as n, min(i - 1) as a, max(i - 1) as z, list_sort(list(distinct label)) as labels
+  from places join phrases on array_to_string(w[i : i + size - 1], ' ') = phrase group by doc_id
+), tried as (
+  select doc_id, ord, label, level, regexp_extract_all(t2, rx) as found, string_split_regex(t2, rx) as gaps
+  from texts join rules on contains(t, key) and regexp_matches(t2, rx)
+), cuts as (
+  select doc_id, ord, label, level, found, gaps, unnest(range(1, len(found) + 1)) as k from tried
+), spans as (
+  select doc_id, ord, label, level, list_sum(list_transform(gaps[:k], lambda x: len(x))) + coalesce(list_sum(list_transform(found[:k - 1], lambda x: len(x))), 0) as a, len(found[k]) as n from cuts
+), kept as (
+  select * from spans x where not exists (
+    select 1 from spans y where y.doc_id = x.doc_id and y.level <= x.level and y.a <= x.a and y.a + y.n >= x.a + x.n
+    and (y.a < x.a or y.n > x.n or y.level < x.level or (y.level = x.level and y.ord < x.ord)))
+), method as (
+  select doc_id, list(distinct label) as labels, count(*) as n, min(level) as best from kept group by doc_id
+)
+select t.doc_id, t.n_words, cast(coalesce(b.n, 0) as bigint) as n_base, cast(b.a as bigint) as first_word, cast(b.z as bigint) as last_word,
+       coalesce(array_to_string(b.labels, ','), '') as base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') as labels,
+       case least(coalesce(m.best, 9), case when b.n > 0 then 3 else 9 end) when 1 then 1.0::double when 2 then 0.8::double when 3 then 0.5::double else 0.0::double end as score,
+       cast(coalesce(m.n, 0) as bigint) as n_found
+from texts t left join base b on b.doc_id = t.doc_id left join method m on m.doc_id = t.doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, oracles, simhash, suffix_dedup
+from . import decontaminate, license_scan, oracles, simhash, suffix_dedup, warc
 from .common import table
 from .mixing import mix_sources
 from .quality_rules import apply_quality_rules
@@ -18,10 +18,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_found")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -36,5 +46,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_mixing, op7_simhash, op9_quality_rules, op10_suffix_dedup)}
-ORACLES = {"op3_mixing": oracles.MIXING, "op9_quality_rules": oracles.QUALITY_RULES}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mixing, op5_warc, op7_simhash, op9_quality_rules, op10_suffix_dedup)}
+ORACLES = {"op2_license_scan": oracles.license_scan(), "op3_mixing": oracles.MIXING, "op9_quality_rules": oracles.QUALITY_RULES}
