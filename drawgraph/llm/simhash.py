@@ -255,8 +255,8 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    """Tells sets of edges apart: their number and the sums of two hashes."""
-    return tuple(edges.agg(F.count(F.lit(1)), *[F.sum(F.pmod(F.xxhash64(F.lit(k), "a", "b"), F.lit(2**53))) for k in (1, 2)]).first())
+    """Tells sets of edges apart: their number and two hashes, each joined by exclusive or."""
+    return tuple(edges.agg(F.count(F.lit(1)), *[F.bit_xor(F.xxhash64(F.lit(k), "a", "b")) for k in (1, 2)]).first())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 64, segments: int = 1, radius: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
