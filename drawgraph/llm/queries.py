@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, oracles, simhash, suffix_dedup, warc
+from . import decontaminate, license_scan, oracles, quality_classifier, simhash, suffix_dedup, toxicity, warc
 from .common import table
 from .mixing import mix_sources
 from .quality_rules import apply_quality_rules
@@ -32,11 +32,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_quality_rules(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broke", ",").alias("broke"))
@@ -46,5 +54,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mixing, op5_warc, op7_simhash, op9_quality_rules, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mixing, op5_warc, op6_toxicity, op7_simhash, op8_quality_classifier, op9_quality_rules, op10_suffix_dedup)}
 ORACLES = {"op2_license_scan": oracles.license_scan(), "op3_mixing": oracles.MIXING, "op9_quality_rules": oracles.QUALITY_RULES}
