@@ -95,6 +95,70 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+LM_SCORING = rf"""
+with w as (
+  select doc_id, {_WORDS} as w from documents
+), words as (
+  select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from w
+), pairs as (
+  select doc_id, word, i, lag(word) over (partition by doc_id order by i) as before from words
+), c1 as (
+  select word, count(*) as n from words group by word
+), o1 as (
+  select doc_id, word, count(*) as n from words group by doc_id, word
+), c2 as (
+  select before, word, count(*) as n from pairs where i > 1 group by before, word
+), o2 as (
+  select doc_id, before, word, count(*) as n from pairs where i > 1 group by doc_id, before, word
+), alone as (
+  select o1.doc_id, o1.word, c1.n - o1.n as n from o1 join c1 using (word)
+), joint as (
+  select o2.doc_id, o2.before, o2.word, c2.n - o2.n as n from o2 join c2 using (before, word)
+), size as (
+  select doc_id, count(*) as n from words group by doc_id
+), micro as (
+  select p.doc_id, p.i, coalesce(j.n, 0) as n2,
+         cast(round(log10(greatest(j.n, 1)) * 1e6) as bigint) as l2, cast(round(log10(greatest(b.n, 1)) * 1e6) as bigint) as lb,
+         cast(round(log10(greatest(a.n, 1)) * 1e6) as bigint) as l1, cast(round(log10(greatest((select count(*) from words) - s.n, 1)) * 1e6) as bigint) as ln
+  from pairs p join size s on s.doc_id = p.doc_id join alone a on a.doc_id = p.doc_id and a.word = p.word
+  left join alone b on b.doc_id = p.doc_id and b.word = p.before left join joint j on j.doc_id = p.doc_id and j.word = p.word and j.before = p.before
+), summed as (
+  select doc_id, count(*) as n_words, count(*) filter (n2 > 0) as n_seen,
+         sum(case when i = 1 then l1 - ln when n2 > 0 then l2 - lb else cast(round(log10(0.4) * 1e6) as bigint) + l1 - ln end) as log_micro
+  from micro group by doc_id
+)
+select d.doc_id, cast(coalesce(n_words, 0) as bigint) as n_words, cast(coalesce(n_seen, 0) as bigint) as n_seen, cast(coalesce(log_micro, 0) as bigint) as log_micro,
+       case when n_words > 0 then cast(cast(log_micro as bigint) as double) / 1e6 / cast(n_words as double) else 0.0::double end as log_score
+from w d left join summed s on s.doc_id = d.doc_id
+"""
+
+DECONTAMINATE = rf"""
+with d as (
+  select doc_id, {_WORDS} as w from documents
+), b as (
+  select coalesce(cast(item_id as varchar), '') as item, {_WORDS} as w from benchmark
+), windows as (
+  select item, least(len(w), 10) as size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as g
+  from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)
+), sizes as (
+  select distinct size from windows
+), grams as (
+  select doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') as g
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from d cross join sizes)
+), hits as (
+  select doc_id, i, g.size, item from grams g join (select distinct item, size, g from windows) x on x.size = g.size and x.g = g.g
+), covered as (
+  select doc_id, count(distinct word) as n_hit from (select doc_id, unnest(range(i, i + size)) as word from (select distinct doc_id, i, size from hits)) group by doc_id
+), found as (
+  select doc_id, list_sort(list(distinct item)) as items from hits group by doc_id
+)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(len(items), 0) as bigint) as n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered c on c.doc_id = d.doc_id left join found f on f.doc_id = d.doc_id
+"""
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

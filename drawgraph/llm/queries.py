@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, oracles, quality_classifier, simhash, suffix_dedup, toxicity, warc
+from . import decontaminate, license_scan, lm_scoring, oracles, quality_classifier, simhash, suffix_dedup, toxicity, warc
 from .common import table
 from .mixing import mix_sources
 from .quality_rules import apply_quality_rules
@@ -27,6 +27,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_seen", "log_micro", "log_score")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,5 +58,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mixing, op5_warc, op6_toxicity, op7_simhash, op8_quality_classifier, op9_quality_rules, op10_suffix_dedup)}
-ORACLES = {"op2_license_scan": oracles.license_scan(), "op3_mixing": oracles.MIXING, "op9_quality_rules": oracles.QUALITY_RULES}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mixing, op4_lm_scoring, op5_warc, op6_toxicity, op7_simhash, op8_quality_classifier, op9_quality_rules, op10_suffix_dedup)}
+ORACLES = {"op2_license_scan": oracles.license_scan(), "op3_mixing": oracles.MIXING, "op4_lm_scoring": oracles.LM_SCORING, "op1_decontaminate": oracles.DECONTAMINATE, "op9_quality_rules": oracles.QUALITY_RULES}
