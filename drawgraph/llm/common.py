@@ -54,11 +54,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, and survives the loss of any executor."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, and survives the loss of any executor.
+
+    What led to df is not needed any more. Spark deletes its shuffle files once the driver's JVM has collected their
+    last reference, so collection is asked for here; else they would stay until the heap happens to fill."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

@@ -8,12 +8,13 @@ quicksort, neighbours are compared, and the runs at the ends of buckets are comp
 
 A suffix stands for the strings that sample it. Where all of them and their context equal those of an
 earlier suffix, all are repeats; where no other suffix shares its leading bytes, none is. Only at the
-edges of repeated passages do suffixes share the lead but not the whole context; there each string is
-fingerprinted by itself (128 bits), and the first holder of a fingerprint is kept.
+edges of repeated passages do suffixes share the lead but not the whole context. Those go through two
+finer rounds of the same sort: suffixes that stand for 8 strings each, with a lead of 93 bytes, and what
+is still open there as single strings of 100 bytes.
 
-At scale: what is shuffled grows with the text (about one sampled suffix in 35 bytes, and the texts twice
+At scale: what is shuffled grows with the text (about one sampled suffix in 35 bytes, and the texts, packed,
 to meet the findings); buckets follow the estimated number of suffixes; no group of equal suffixes has to
-be in one task; counts per fingerprint combine in the map tasks.
+be in one task.
 
 Defined results: a null text is empty and nothing is removed from it; rows that share a doc_id are
 documents in the order of their text's hash, so of two equal rows one is the earlier; rows without an id
@@ -25,10 +26,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +38,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import key_of, settle
 
-#: Bytes of a string that must not repeat, and of its leading part.
-LENGTH, LEAD = 100, 32
+#: Bytes of a string that must not repeat.
+LENGTH = 100
+#: Strings that a suffix stands for at most, by round. All of them hold its first LENGTH + 1 - strings bytes: the lead.
+ROUNDS = (69, 8, 1)
+LEAD = LENGTH + 1 - ROUNDS[0]
 #: Bytes of text that a task looks at together; must be below 2 ** 21.
 CHUNK = 1 << 20
 #: Sampled suffixes in a bucket, about, and rows of the sample for each splitter.
@@ -83,6 +88,17 @@ class Rolling:
         return _mix((self.sums[end] - self.sums[first]) * self.down[first])
 
 
+_LOW14 = np.uint64((1 << 14) - 1)
+
+
+def _head(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first eight bytes of suffixes, as signed numbers in the order of the bytes."""
+    head = np.zeros(len(place), np.uint64)
+    for j in range(8):
+        head = (head << np.uint64(8)) | data[place + j].astype(np.uint64)
+    return (head ^ (np.uint64(1) << np.uint64(63))).view(np.int64)
+
+
 def sample(data: np.ndarray, ends: np.ndarray, stops: np.ndarray | None = None, length: int = LENGTH, lead: int = LEAD) -> tuple[np.ndarray, ...]:
     """Sampled suffixes of texts that stand after one another: their places, the first and last strings that sample them, lead, pack and full.
 
@@ -112,12 +128,9 @@ def sample(data: np.ndarray, ends: np.ndarray, stops: np.ndarray | None = None,
     last = strings[np.concatenate((change[1:] - 1, [len(strings) - 1]))]
     first, place = strings[change], place[change]
     full = rolling.of(first, last + length).view(np.int64)
-    head = np.zeros(len(place), np.uint64)
-    for j in range(8):
-        head = (head << np.uint64(8)) | data[place + j].astype(np.uint64)
-    head = (head ^ (np.uint64(1) << np.uint64(63))).view(np.int64)
+    head = _head(data, place)
     more = _mix(rolling.of(place, place + lead) + np.uint64(1))
-    pack = (more & ~np.uint64((1 << 14) - 1)) | ((place - first) << 7 | (place - last)).astype(np.uint64)
+    pack = (more & ~_LOW14) | ((place - first) << 7 | (place - last)).astype(np.uint64)
     return place, first, last, head, pack.view(np.int64), full
 
 
@@ -226,22 +239,49 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(doc[at]), pa.array(pos[at]), pa.array(pack[at]), pa.array(lead[at]), pa.array(full[at]), pa.array(np.full(len(at), b, np.int32)), pa.array(contexts[at]), pa.array(at == end)], names)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every string of the suffixes in question."""
+def refine(data: np.ndarray, pos: np.ndarray, pack: np.ndarray, strings: int) -> list[np.ndarray]:
+    """The strings of some suffixes of a text, as finer suffixes that stand for so many strings at most: lead, pack, full and pos."""
+    before, after = (pack >> 7) & 127, pack & 127
+    low, count = after // strings, before // strings - after // strings + 1
+    of = np.repeat(np.arange(len(pos)), count)
+    step = (low[of] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * strings
+    at = pos[of] - step
+    back, ahead = np.minimum(before[of] - step, strings - 1), np.maximum(after[of] - step, 0)
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for base in np.unique((at - back) // CHUNK):
+        mine = np.flatnonzero((at - back) // CHUNK == base)
+        part = data[base * CHUNK : base * CHUNK + CHUNK + 2 * LENGTH]
+        q, b, a = at[mine] - base * CHUNK, back[mine], ahead[mine]
+        rolling = Rolling(part, _BASES[1])
+        more = rolling.of(q, q + (LENGTH + 1 - strings))
+        for column, values in zip(out, (_head(part, q), ((more & ~_LOW14) | (b << 7 | a).astype(np.uint64)).view(np.int64), _mix(rolling.of(q - b, q - a + LENGTH) + np.uint64(1)).view(np.int64), at[mine]), strict=True):
+            column.append(values)
+    return [np.concatenate(c) for c in out]
+
+
+def _refined(batches: Iterator[pa.RecordBatch], strings: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, doc, copy, asked in zip(batch.column("text").cast(pa.binary()), batch.column("doc").to_pylist(), batch.column("copy").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-            data = np.frombuffer(text.as_py() or b"", np.uint8)
-            at = np.array([x["pos"] for x in asked], np.int64)
-            pack = np.array([x["pack"] for x in asked], np.int64)
-            first, count = at - ((pack >> 7) & 127), ((pack >> 7) & 127) - (pack & 127) + 1
-            s = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            s = np.unique(s)
-            for low in range(0, len(data), CHUNK):
-                mine = s[(s >= low) & (s < low + CHUNK)] - low
-                if len(mine):
-                    part = data[low : low + CHUNK + LENGTH]
-                    h = [Rolling(part, b).of(mine, mine + LENGTH).view(np.int64) for b in _BASES]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(mine), doc)), pa.array(mine + low + copy * COPY)], ["h1", "h2", "doc", "pos"])
+        for packed, doc, copy, asked in zip(batch.column("packed"), batch.column("doc").to_pylist(), batch.column("copy").to_pylist(), batch.column("asked"), strict=True):
+            asked = asked.values
+            lead, pack, full, pos = refine(np.frombuffer(_unpack(packed), np.uint8), asked.field("pos").to_numpy(), asked.field("pack").to_numpy(), strings)
+            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(pack), pa.array(full), pa.array(np.full(len(pos), doc)), pa.array(pos + copy * COPY)], list(_FIELDS))
+
+
+def _pack(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Texts as Zstandard frames, so that less is shuffled."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        made = pa.array([packer.compress(x.as_py() or b"") for x in batch.column("text").cast(pa.binary())], pa.binary())
+        yield pa.RecordBatch.from_arrays([made if f.name == "packed" else batch.column(f.name) for f in schema], schema=schema)
+
+
+def _unpack(packed: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed.as_py())
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("text", "packed")] + [T.StructField("packed", T.BinaryType())])
+    return docs.mapInArrow(partial(_pack, schema=to_arrow_schema(schema)), schema)
 
 
 def number_copies(docs: DataFrame) -> DataFrame:
@@ -253,23 +293,19 @@ def number_copies(docs: DataFrame) -> DataFrame:
     return docs.withColumn("copy", (F.row_number().over(Window.partitionBy("doc").orderBy(key_of(F.col("text")))) - 1).cast("long"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """docs(doc, copy, text): rows (doc, copy, spans), the byte ranges that strings which occurred before cover, unmerged."""
-    spark = docs.sparkSession
-    texts = docs.select("doc", "copy", "text")
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = max(shuffled, size // 35 // BUCKET_ROWS + 1)
-    share = min(1.0, count * SAMPLE * 35 * 8 / max(size, 1))  # a sampled document gives many suffixes of one kind, so eight times as many are asked for
-    some = texts.filter(F.pmod(F.xxhash64("doc", "copy"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    # splitters only balance the buckets: a share of the suffixes, in number bounded by the buckets
-    seen = some.mapInArrow(partial(_suffixes, splitters=None), _SUFFIXES).filter(F.pmod(F.xxhash64(*_FIELDS), F.lit(8)) == 0).limit(count * SAMPLE * 4).toArrow()
+def _splitters(some: DataFrame, buckets: int) -> np.ndarray:
+    """Splitters between so many buckets from a sample of suffixes. They only balance the buckets; the sample's size follows their number."""
+    seen = some.limit(buckets * SAMPLE * 4).toArrow()
     columns = [seen.column(c).to_numpy() for c in _FIELDS]
-    order = multikey_order(columns) if len(columns[0]) else np.empty(0, np.int64)
-    picks = order[(np.arange(1, count) * len(order)) // count] if len(order) else order
-    splitters = np.stack([c[picks] for c in columns], axis=1) if len(picks) else np.empty((0, len(_FIELDS)), np.int64)
-    suffixes = texts.mapInArrow(partial(_suffixes, splitters=splitters), f"{_SUFFIXES}, bucket int")
-    found = settle(suffixes.repartitionById(count, "bucket").mapInArrow(_compare, _FOUND), "found")
+    if not len(columns[0]):
+        return np.empty((0, len(_FIELDS)), np.int64)
+    order = multikey_order(columns)
+    return np.stack([c[order[(np.arange(1, buckets) * len(order)) // buckets]] for c in columns], axis=1)
+
+
+def _round(rows: DataFrame, buckets: int) -> DataFrame:
+    """Sort and compare rows (_FIELDS, bucket): (kind, doc, copy, pos, pack) of suffixes whose strings are all repeats (0) or still open (1)."""
+    found = settle(rows.repartitionById(buckets, "bucket").mapInArrow(_compare, _FOUND), "found")
     lead = [F.col("lead"), F.shiftright("pack", 14)]
     ends = found.filter("kind >= 2")  # two rows a bucket
     same, context = Window.partitionBy(*lead), Window.partitionBy(*lead, "pack", "full").orderBy("bucket", "last")
@@ -277,15 +313,38 @@ def repeats(docs: DataFrame) -> DataFrame:
     ends = ends.withColumn("earlier", F.row_number().over(context) > 1).filter("kind = 2")
     ends = ends.withColumn("kind", F.when(F.col("earlier"), 0).when(F.col("several"), 1)).filter("kind is not null")
     known = found.filter("kind < 2").select("kind", "doc", "pos", "pack").unionByName(ends.select("kind", "doc", "pos", "pack"))
-    known = settle(known.select("kind", "doc", F.floor(F.col("pos") / COPY).cast("long").alias("copy"), F.pmod("pos", F.lit(COPY)).alias("pos"), "pack"), "known")
-    asked = known.filter("kind = 1").groupBy("doc", "copy").agg(F.collect_list(F.struct("pos", "pack")).alias("asked"))
-    strings = settle(asked.join(texts, ["doc", "copy"]).select("doc", "copy", "text", "asked").mapInArrow(_strings, "h1 long, h2 long, doc long, pos long"), "strings")
-    firsts = settle(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("first")).filter("n > 1").drop("n"), "firsts")
-    later = strings.join(firsts, ["h1", "h2"]).filter(F.struct("doc", "pos") != F.col("first"))
-    later = later.select("doc", F.floor(F.col("pos") / COPY).cast("long").alias("copy"), F.pmod("pos", F.lit(COPY)).alias("start")).withColumn("end", F.col("start") + LENGTH)
+    return known.select("kind", "doc", F.floor(F.col("pos") / COPY).cast("long").alias("copy"), F.pmod("pos", F.lit(COPY)).alias("pos"), "pack")
+
+
+def _bucketed(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.append_column("bucket", pa.array(bucket_of([batch.column(c).to_numpy() for c in _FIELDS], splitters)))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """docs(doc, copy, text): rows (doc, copy, spans), the byte ranges that strings which occurred before cover, unmerged."""
+    spark = docs.sparkSession
+    texts = docs.select("doc", "copy", "text")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, size // 35 // BUCKET_ROWS + 1)
+    share = min(1.0, buckets * SAMPLE * 35 * 8 / max(size, 1))  # neighbouring suffixes are of one kind, so one in eight of more documents
+    some = texts.filter(F.pmod(F.xxhash64("doc", "copy"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    splitters = _splitters(some.mapInArrow(partial(_suffixes, splitters=None), _SUFFIXES).filter(F.pmod(F.xxhash64(*_FIELDS), F.lit(8)) == 0), buckets)
+    known = _round(texts.mapInArrow(partial(_suffixes, splitters=splitters), f"{_SUFFIXES}, bucket int"), buckets)
+    parts = [known]
+    for strings in ROUNDS[1:]:
+        asked = known.filter("kind = 1").groupBy("doc", "copy").agg(F.collect_list(F.struct("pos", "pack")).alias("asked"))
+        rows = settle(asked.join(packed(texts), ["doc", "copy"]).mapInArrow(partial(_refined, strings=strings), _SUFFIXES), "finer")
+        n = rows.count()
+        buckets = max(least, n // BUCKET_ROWS + 1)
+        splitters = _splitters(rows.filter(F.pmod(F.xxhash64(*_FIELDS), F.lit(max(1, n // (buckets * SAMPLE)))) == 0), buckets)
+        known = _round(rows.mapInArrow(partial(_bucketed, splitters=splitters), f"{_SUFFIXES}, bucket int"), buckets)
+        parts.append(known)
+    every = reduce(DataFrame.unionByName, parts).filter("kind = 0")
     start = F.col("pos") - F.shiftright("pack", 7).bitwiseAND(127)
-    whole = known.filter("kind = 0").select("doc", "copy", start.alias("start"), (F.col("pos") - F.col("pack").bitwiseAND(127) + LENGTH).alias("end"))
-    return whole.unionByName(later).groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = every.select("doc", "copy", start.alias("start"), (F.col("pos") - F.col("pack").bitwiseAND(127) + LENGTH).alias("end"))
+    return spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -322,8 +381,8 @@ def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
 def _measure(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for text, found in zip(batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist(), strict=True):
-            data, spans = text.as_py() or b"", _merged(found)
+        for text, found in zip(batch.column("packed"), batch.column("spans").to_pylist(), strict=True):
+            data, spans = _unpack(text), _merged(found)
             made["n_bytes"].append(len(data))
             made["n_removed"].append(sum(b - a for a, b in spans))
             made["n_spans"].append(len(spans))
@@ -331,34 +390,33 @@ def _measure(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in schema], schema=schema)
 
 
-def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shorten(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for text, found in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-            text = text.as_py()
-            if found:
-                data = text.encode()
-                text = _kept(data, _whole_characters(data, _merged(found))).decode()
-            texts.append(text)
-        i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
+        texts: list[str | None] = []
+        for text, found, null in zip(batch.column("packed"), batch.column("spans").to_pylist(), batch.column("null_text").to_pylist(), strict=True):
+            data = _unpack(text)
+            texts.append(None if null else _kept(data, _whole_characters(data, _merged(found))).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(texts, f.type) if f.name == "text" else batch.column(f.name) for f in schema], schema=schema)
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    docs = number_copies(docs.drop("spans", "doc", "copy"))
-    return docs.join(repeats(docs), ["doc", "copy"], "left")
+    """docs with text packed, and the byte ranges to remove."""
+    docs = number_copies(docs)
+    return packed(docs.withColumn("null_text", F.col("text").isNull())).join(repeats(docs), ["doc", "copy"], "left")
+
+
+_HELPERS = ("doc", "copy", "spans", "null_text", "packed")
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) without text, with n_bytes, n_removed, n_spans and kept_sha256."""
     own = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    docs = docs.drop(*[f.name for f in own])
-    joined = _with_spans(docs)
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("text", "doc", "copy", "spans")] + own)
-    return joined.mapInArrow(partial(_measure, schema=to_arrow_schema(schema)), schema)
+    docs = docs.drop(*_HELPERS, *[f.name for f in own])
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + own)
+    return _with_spans(docs).mapInArrow(partial(_measure, schema=to_arrow_schema(schema)), schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeated string cut out of text; a character that a cut would split stays whole."""
-    joined = _with_spans(docs)
-    return joined.mapInArrow(_shorten, joined.schema).select(*docs.columns)
+    schema = docs.drop(*_HELPERS).schema
+    return _with_spans(docs.drop(*_HELPERS)).mapInArrow(partial(_shorten, schema=to_arrow_schema(schema)), schema)
