@@ -1 +1,4 @@
+"""All registered queries."""
 
+from . import length_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
