@@ -2,7 +2,7 @@
 
 Tokens are words and runs of other signs, whatever their language. Features are the words, the n-grams of
 neighbouring tokens' shapes (signs as they are; words by case and length), and a mark for each line that
-repeats an earlier one; counts are scaled to length one. A score is the logistic of one sparse dot product.
+repeats an earlier one; roots of counts are scaled to length one. A score is the logistic of one sparse dot product.
 
 Fitted on a bounded sample of labelled rows that are not held out; every row is scored, in its place,
 without a shuffle. Defined results: null and empty texts get the score of the constant; labels other than
@@ -13,6 +13,7 @@ named like the operator's own are replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .sparse import MOST_ROWS, Leader, fit_in_a_task, held_out, sigmoid, slots_of, training_rows
+from .sparse import MOST_ROWS, SLOTS, Known, Leader, fit_in_a_task, held_out, sigmoid, slots_of, training_rows
 
 EPOCHS = 6
 #: Longest n-gram of shapes.
@@ -55,15 +56,27 @@ class _Shapes(dict):
 _shapes = _Shapes()
 
 
-def features(text: bytes) -> Counter:
+def _word(token: bytes) -> list[bytes]:
+    return [b"w " + token.translate(_LOWER)]
+
+
+def _tokens(text: bytes) -> tuple[Counter, Counter]:
+    """Counts of tokens as they stand; counts of n-grams of shapes, repeated lines among them."""
     tokens = _TOKEN.findall(text)
-    found: Counter = Counter(tokens)
-    found = Counter({b"w " + k.translate(_LOWER): n for k, n in found.items()})
     shapes = [_shapes[t] for t in tokens]
+    found: Counter = Counter()
     for size in range(1, SHAPES + 1):
-        found.update(map(b" ".join, zip(*[shapes[i:] for i in range(size)])))
+        for gram, n in Counter(zip(*[shapes[i:] for i in range(size)])).items():
+            found[b" ".join(gram)] += n
     lines = Counter(x for x in text.split(b"\n") if x.strip())
     found[b"again"] += sum(lines.values()) - len(lines)
+    return Counter(tokens), found
+
+
+def features(text: bytes) -> Counter:
+    tokens, found = _tokens(text)
+    for token, n in tokens.items():
+        found[_word(token)[0]] += n
     return found
 
 
@@ -75,7 +88,7 @@ def _vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[bytes], good: np.ndarray) -> dict[int, float]:
-    rows = [_vector(t) for t in texts]
+    rows = [(slots.astype(np.int32), x.astype(np.float32)) for slots, x in map(_vector, texts)]
     leader = Leader(alpha=0.5, l1=0.05, l2=0.1)
     for _ in range(EPOCHS):
         for (slots, x), y in zip(rows, good, strict=True):
@@ -86,16 +99,20 @@ def fit(texts: list[bytes], good: np.ndarray) -> dict[int, float]:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    known = model.value
-    weights = np.zeros(1 + max([0, *known]))
-    for slot, w in known.items():
+    weights = np.zeros(SLOTS)
+    for slot, w in model.value.items():
         weights[slot] = w
+    words, grams = Known(weights, _word), Known(weights, lambda gram: [gram])
     for batch in batches:
         scores = []
         for text in batch.column("text").cast(pa.binary()):
-            slots, x = _vector(text.as_py() or b"")
-            mine = slots < len(weights)
-            scores.append(sigmoid(float(weights[slots[mine]] @ x[mine])))
+            tokens, shapes = _tokens(text.as_py() or b"")
+            counts = words.counts(tokens)
+            for slot, n in grams.counts(shapes).items():
+                counts[slot] = counts.get(slot, 0) + n
+            # a vector of roots of counts has the root of their sum for its length, whatever slots they fall into
+            size = math.sqrt(max(1, tokens.total() + shapes.total()))
+            scores.append(sigmoid(weights[0] + math.fsum(weights[slot] * math.sqrt(n) for slot, n in counts.items()) / size))
         yield pa.RecordBatch.from_arrays([pa.array(scores, f.type) if f.name == "score" else batch.column(f.name) for f in schema], schema=schema)
 
 

@@ -18,17 +18,42 @@ from .common import settle
 #: Slots of the feature hash; slot 0 is the constant.
 SLOTS = 2**18
 #: Labelled rows that a model is fitted on at most, about. Scoring and everything else covers all rows.
-MOST_ROWS = 20_000
+MOST_ROWS = 8_000
+
+
+def slot_of(token: bytes) -> int:
+    return 1 + zlib.crc32(token) % (SLOTS - 1)
 
 
 def slots_of(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     """Distinct slots of hashed tokens, slot 0 first, and their counts (of slot 0: 1)."""
-    at = np.fromiter((1 + zlib.crc32(k) % (SLOTS - 1) for k in counts), np.int64, len(counts))
+    at = np.fromiter(map(slot_of, counts), np.int64, len(counts))
     n = np.fromiter(counts.values(), np.float64, len(counts))
     slots, where = np.unique(at, return_inverse=True)
     return np.concatenate(([0], slots)), np.concatenate(([1.0], np.bincount(where, n, len(slots)) if len(slots) else []))
 
 
+class Known(dict):
+    """For each word the slots of its features that have a weight, mostly none; started anew when it grows large."""
+
+    def __init__(self, weights: np.ndarray, features: Callable[[bytes], list[bytes]]):
+        self.weights, self.features = weights, features
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = found = tuple(s for s in map(slot_of, self.features(word)) if self.weights[s])
+        return found
+
+    def counts(self, words: Counter) -> dict[int, int]:
+        """Counts of the weighted slots of some words."""
+        out: dict[int, int] = {}
+        for w, n in words.items():
+            for s in self[w]:
+                out[s] = out.get(s, 0) + n
+        return out
+
+
 class Leader:
     """FTRL-proximal with per-slot rates: weights are exact zeros until their evidence exceeds l1. Slot 0 is not regularised."""
 

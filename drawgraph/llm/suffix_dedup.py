@@ -44,9 +44,9 @@ LENGTH = 100
 ROUNDS = (69, 8, 1)
 LEAD = LENGTH + 1 - ROUNDS[0]
 #: Bytes of text that a task looks at together; must be below 2 ** 21.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Sampled suffixes in a bucket, about, and rows of the sample for each splitter.
-BUCKET_ROWS, SAMPLE = 500_000, 64
+BUCKET_ROWS, SAMPLE = 250_000, 64
 #: Places of one document are below this; repeated ids count up above it.
 COPY = 2**40
 

@@ -18,6 +18,7 @@ columns pass through, those named like the operator's own are replaced.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -29,14 +30,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import WORD_BYTES
-from .sparse import MOST_ROWS, Leader, fit_in_a_task, sigmoid, slots_of, training_rows
+from .sparse import MOST_ROWS, SLOTS, Known, Leader, fit_in_a_task, sigmoid, slot_of, slots_of, training_rows
 
 GRADES = 4
 #: Marks from which a toxic text has grade 2, and 3.
 STEPS = (3, 6)
 LEAST_TEXTS, LEAST_RATE = 8, 0.7
 #: Passes over the sample at least and at most, and the updates that a small sample is passed over for.
-EPOCHS, UPDATES = (6, 40), 20_000
+EPOCHS, UPDATES = (5, 40), 20_000
 #: Rate of the thresholds, least gap between them.
 RATE, GAP = 0.02, 0.25
 #: Chance of a grade above 0 from which a document counts as toxic.
@@ -58,33 +59,32 @@ def _words(text: bytes) -> Counter:
 
 
 def _features(words: Counter) -> Counter:
-    found: Counter = Counter(words)
-    for k in BEGINNINGS:
-        for w, n in words.items():
-            if len(w) >= k:
-                found[w[:k] + b"-"] += n
+    found: Counter = Counter()
+    for w, n in words.items():
+        for part in _parts(w):
+            found[part] += n
     return found
 
 
-def grades(words: list[Counter], features: list[Counter], toxic: np.ndarray) -> np.ndarray:
-    seen, bad = Counter(), Counter()
-    for c, y in zip(features, toxic, strict=True):
-        seen.update(c.keys())
+def grades(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
+    """Grades of training texts. Words are known by their slots here, so what is held does not grow with the vocabulary."""
+    seen, bad = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+    for text, y in zip(texts, toxic, strict=True):
+        slots, _ = slots_of(_features(_words(text)))
+        seen[slots[1:]] += 1
         if y:
-            bad.update(c.keys())
-    marks = {w for w, n in bad.items() if n >= LEAST_TEXTS and n >= LEAST_RATE * seen[w]}
-    found = np.array([sum(n for w, n in c.items() if not marks.isdisjoint(_parts(w))) if y else 0 for c, y in zip(words, toxic, strict=True)], np.int64)
+            bad[slots[1:]] += 1
+    marks = set(np.flatnonzero((bad >= LEAST_TEXTS) & (bad >= LEAST_RATE * seen)).tolist())
+    found = np.array([sum(n for w, n in _words(text).items() if any(slot_of(p) in marks for p in _parts(w))) if y and marks else 0 for text, y in zip(texts, toxic, strict=True)], np.int64)
     return np.where(toxic == 1, 1 + sum((found >= s).astype(np.int64) for s in STEPS), 0)
 
 
 def fit(texts: list[bytes], toxic: np.ndarray) -> dict[int, float]:
-    words = [_words(t) for t in texts]
-    counts = [_features(w) for w in words]
-    y = grades(words, counts, toxic) if len(texts) else toxic
+    y = grades(texts, toxic) if len(texts) else toxic
     rows = []
-    for c in counts:
-        slots, n = slots_of(c)
-        rows.append((slots[1:], np.log1p(n[1:])))
+    for t in texts:
+        slots, n = slots_of(_features(_words(t)))
+        rows.append((slots[1:].astype(np.int32), np.log1p(n[1:]).astype(np.float32)))
     leader = Leader(alpha=0.3, l1=2.0, l2=1.0)
     theta = np.arange(GRADES - 1, dtype=np.float64)
     for _ in range(min(max(EPOCHS[0], UPDATES // max(1, len(rows))), EPOCHS[1])):
@@ -109,17 +109,15 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> dict[int, float]:
 def _score(batches: Iterator[pa.RecordBatch], model, schema: pa.Schema, cut: float) -> Iterator[pa.RecordBatch]:
     known = model.value
     theta = [known.get(_THRESHOLD - k, float(k)) for k in range(GRADES - 1)]
-    weights = np.zeros(1 + max([0, *known]))
+    weights = np.zeros(SLOTS)
     for slot, w in known.items():
-        if slot >= 0:
+        if slot > 0:
             weights[slot] = w
+    weighted = Known(weights, _parts)
     for batch in batches:
         made: dict[str, list] = {"severity": [], "p_toxic": [], "grade": [], "toxic": []}
         for text in batch.column("text").cast(pa.binary()):
-            slots, n = slots_of(_features(_words(text.as_py() or b"")))
-            mine = slots < len(weights)
-            mine[0] = False
-            s = float(weights[slots[mine]] @ np.log1p(n[mine]))
+            s = math.fsum(weights[slot] * math.log1p(n) for slot, n in weighted.counts(_words(text.as_py() or b"")).items())
             beyond = [1 - sigmoid(t - s) for t in theta]
             made["severity"].append(sum(beyond))
             made["p_toxic"].append(beyond[0])

@@ -2,7 +2,6 @@
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 
@@ -61,9 +60,9 @@ def test_leader_learns_and_keeps_zeros():
 
 
 def test_grades_follow_the_marks():
-    words = [Counter({b"vile": 7, b"the": 3})] + [Counter({b"vile": 1, b"the": 1}) for _ in range(9)] + [Counter({b"the": 2}) for _ in range(30)]
+    texts = [b"vile " * 7 + b"the the the"] + [b"vile the"] * 9 + [b"the the"] * 30
     toxic = np.array([1] * 10 + [0] * 30)
-    got = toxicity.grades(words, [toxicity._features(w) for w in words], toxic)
+    got = toxicity.grades(texts, toxic)
     assert got[0] == 3 and set(got[1:10]) == {1} and set(got[10:]) == {0}
 
 
