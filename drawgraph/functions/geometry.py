@@ -20,9 +20,14 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def size_of(dx: Column, dy: Column) -> Column:
+    """Length of a difference; the root of the squares rounds once, so engines agree where the squares are exact."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def distance(a: Column, b: Column) -> Column:
     """G01"""
-    return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+    return size_of(a["x"] - b["x"], a["y"] - b["y"])
 
 
 def dot(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -38,7 +43,7 @@ def to_segment(p: Column, a: Column, b: Column) -> Column:
     long = dot(a, b, a, b)
     at = F.when(long <= PARALLEL, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b, a, p) / long)))
     x, y = a["x"] + at * (b["x"] - a["x"]), a["y"] + at * (b["y"] - a["y"])
-    return F.struct(F.hypot(p["x"] - x, p["y"] - y).alias("distance"), at.alias("at"), x.alias("x"), y.alias("y"))
+    return F.struct(size_of(p["x"] - x, p["y"] - y).alias("distance"), at.alias("at"), x.alias("x"), y.alias("y"))
 
 
 def squared_to_segment(p: Column, a: Column, b: Column) -> Column:
@@ -52,7 +57,7 @@ def squared_to_segment(p: Column, a: Column, b: Column) -> Column:
 def to_rectangle(p: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """G03"""
     zero = F.lit(0.0)
-    return F.hypot(F.greatest(x0 - p["x"], zero, p["x"] - x1), F.greatest(y0 - p["y"], zero, p["y"] - y1))
+    return size_of(F.greatest(x0 - p["x"], zero, p["x"] - x1), F.greatest(y0 - p["y"], zero, p["y"] - y1))
 
 
 def _meet(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column]:
@@ -131,7 +136,7 @@ def same_direction(a: Column, b: Column, c: Column, d: Column, least: float = AN
 
 def interval_on(a: Column, b: Column, c: Column, d: Column) -> Column:
     """struct(low, high) of ab along cd, in its units from c; null if cd has no length."""
-    size = F.hypot(d["x"] - c["x"], d["y"] - c["y"])
+    size = size_of(d["x"] - c["x"], d["y"] - c["y"])
     along = [dot(c, d, c, p) / F.nullif(size, F.lit(0.0)) for p in (a, b)]
     return F.when(size > 1e-6, F.struct(F.least(*along).alias("low"), F.greatest(*along).alias("high")))
 
@@ -144,7 +149,7 @@ def outgoing(node: Column, a: Column, b: Column) -> Column:
 
 def is_corner(u: Column, v: Column) -> Column:
     """Two directions that leave a node do not run on straight."""
-    size = F.hypot(u["x"], u["y"]) * F.hypot(v["x"], v["y"])
+    size = size_of(u["x"], u["y"]) * size_of(v["x"], v["y"])
     return (size > 0) & ((u["x"] * v["x"] + u["y"] * v["y"]) / F.nullif(size, F.lit(0.0)) > CORNER)
 
 
@@ -205,7 +210,7 @@ def is_parallel(a: Column, b: Column, c: Column, d: Column, legacy: bool = False
 
 def axis_of(dx: Column, dy: Column) -> Column:
     """struct(axis, sign) of a sheet vector: the axis with cosine 0.7 or more that leads the next by 0.1."""
-    size = F.hypot(dx, dy)
+    size = size_of(dx, dy)
     found = F.array(*[F.struct(F.abs((dx * ux + dy * uy) / F.nullif(size, F.lit(0.0))).alias("fit"), F.lit(name).alias("axis"), (dx * ux + dy * uy).alias("along")) for name, (ux, uy) in ISOMETRIC.items()])
     order = F.sort_array(found, asc=False)
     best, next_ = F.get(order, F.lit(0)), F.get(order, F.lit(1))

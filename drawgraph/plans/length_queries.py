@@ -92,7 +92,7 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("page").agg(F.max(F.when(F.col("edge_id").isNotNull(), value)).alias("widest_mm"), F.nullif(F.sum(F.when(F.col("local_decision") == "include", value).otherwise(0.0)), F.lit(0.0)).alias("included_mm"), F.count_if(F.col("kind") == "valve_dimension").alias("valves"), F.count_if(F.col("edge_id").isNull()).alias("loose"))
 
 
-@query(t.with_views("""select edge_id, min(dim_id) filter (value_mm = most) as winner, max(n) as shared, sum(case when value_mm < most and (most - value_mm) <= 600 then 1 else 0 end) as moved
+@query(t.with_views("""select edge_id, min(dim_id) filter (value_mm = most) as winner, max(n) as shared, cast(sum(case when value_mm < most and (most - value_mm) <= 600 then 1 else 0 end) as bigint) as moved
   from (select c.edge_id, d.dim_id, d.value_mm, max(d.value_mm) over (partition by c.edge_id) as most, count(*) over (partition by c.edge_id) as n from dims d join candidate_edges c on c.dim_id = d.dim_id where c.edge_id is not null) group by edge_id""", "dims", "candidate_edges"))
 def shared_interval_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest value of an interval stays, smaller ones near it are moved on."""
