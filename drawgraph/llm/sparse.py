@@ -18,7 +18,7 @@ from .common import settle
 #: Slots of the feature hash; slot 0 is the constant.
 SLOTS = 2**18
 #: Labelled rows that a model is fitted on at most, about. Scoring and everything else covers all rows.
-MOST_ROWS = 8_000
+MOST_ROWS = 6_000
 
 
 def slot_of(token: bytes) -> int:

@@ -37,7 +37,7 @@ GRADES = 4
 STEPS = (3, 6)
 LEAST_TEXTS, LEAST_RATE = 8, 0.7
 #: Passes over the sample at least and at most, and the updates that a small sample is passed over for.
-EPOCHS, UPDATES = (5, 40), 20_000
+EPOCHS, UPDATES = (4, 40), 20_000
 #: Rate of the thresholds, least gap between them.
 RATE, GAP = 0.02, 0.25
 #: Chance of a grade above 0 from which a document counts as toxic.
@@ -47,7 +47,7 @@ _THRESHOLD = -1  # slots -1, -2, ... of a model hold its thresholds
 
 
 #: Lengths of word beginnings, in bytes.
-BEGINNINGS = (4, 5, 6, 7, 8)
+BEGINNINGS = (4, 5, 6, 7)
 
 
 def _parts(word: bytes) -> list[bytes]:
@@ -85,7 +85,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> dict[int, float]:
     for t in texts:
         slots, n = slots_of(_features(_words(t)))
         rows.append((slots[1:].astype(np.int32), np.log1p(n[1:]).astype(np.float32)))
-    leader = Leader(alpha=0.3, l1=2.0, l2=1.0)
+    leader = Leader(alpha=0.3, l1=5.0, l2=1.0)
     theta = np.arange(GRADES - 1, dtype=np.float64)
     for _ in range(min(max(EPOCHS[0], UPDATES // max(1, len(rows))), EPOCHS[1])):
         for (slots, x), grade in zip(rows, y, strict=True):
