@@ -205,3 +205,72 @@ def merged_strokes(strokes: DataFrame, gap: float = 6.0, least: float = 0.97) ->
 def first_of(c: Column, *order: Column) -> Column:
     """W03 as an aggregate."""
     return F.min_by(c, F.struct(*order))
+
+
+def main_components(nodes: DataFrame, gap: float = 55.0) -> DataFrame:
+    """The component of a page with the most nodes and those whose box is within gap of its box; nodes(page, x, y, root_x, root_y)."""
+    boxes = nodes.groupBy("page", "root_x", "root_y").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    main = boxes.groupBy("page").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), F.struct(-F.col("n"), "root_x", "root_y")).alias("m"))
+    both = boxes.join(main, "page")
+    dx = F.greatest(F.col("x0") - F.col("m.x1"), F.col("m.x0") - F.col("x1"), F.lit(0.0))
+    dy = F.greatest(F.col("y0") - F.col("m.y1"), F.col("m.y0") - F.col("y1"), F.lit(0.0))
+    return both.filter(dx * dx + dy * dy <= gap * gap).select("page", "root_x", "root_y", "n")
+
+
+def longest_walks(edges: DataFrame) -> DataFrame:
+    """(page, hops, from_x, from_y, to_x, to_y): the ends of the longest shortest way by edges, found by two sweeps from the least node."""
+
+    def page(rows: pd.DataFrame) -> pd.DataFrame:
+        ways = defaultdict(set)
+        for a, b, c, d in rows[["from_x", "from_y", "to_x", "to_y"]].itertuples(index=False):
+            ways[a, b].add((c, d))
+            ways[c, d].add((a, b))
+
+        def sweep(start):
+            far, wave = {start: 0}, [start]
+            while wave:
+                wave = sorted({m for n in wave for m in ways[n]} - far.keys())
+                far.update(dict.fromkeys(wave, max(far.values()) + 1))
+            return min(((-h, n) for n, h in far.items()))
+
+        one = sweep(min(ways))[1]
+        hops, two = sweep(one)
+        return pd.DataFrame([(rows["page"].iloc[0], -hops, *one, *two)], columns=["page", "hops", "from_x", "from_y", "to_x", "to_y"])
+
+    return edges.groupBy("page").applyInPandas(page, "page int, hops int, from_x double, from_y double, to_x double, to_y double")
+
+
+def nearest_tour(points: DataFrame) -> DataFrame:
+    """points(page, id, x, y) in the order of a tour that starts at the topmost, then leftmost, and always goes to the nearest that is left."""
+
+    def page(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y", "x", "id"])
+        xy, ids = rows[["x", "y"]].to_numpy(), rows["id"].tolist()
+        left, at, order = list(range(1, len(ids))), 0, [0]
+        while left:
+            far = ((xy[left] - xy[at]) ** 2).sum(axis=1)
+            at = left.pop(int(far.argmin()))
+            order.append(at)
+        return pd.DataFrame({"page": rows["page"].iloc[0], "id": [ids[i] for i in order], "place": range(len(order))})
+
+    return points.groupBy("page").applyInPandas(page, "page int, id long, place int")
+
+
+def coordinate_blocks(labels: DataFrame, column: float = 3.0, step: float = 12.0, most: int = 3) -> DataFrame:
+    """labels(page, id, axis, x, y) from the top: each joins the last block whose column is within column and whose lowest label is at most step above it.
+    Blocks hold up to most labels; those with two axes or more are given: (page, block, ids, axes)."""
+
+    def page(rows: pd.DataFrame) -> pd.DataFrame:
+        blocks: list[dict] = []
+        for i, axis, x, y in rows.sort_values(["y", "x", "id"])[["id", "axis", "x", "y"]].itertuples(index=False):
+            fit = next((b for b in reversed(blocks) if abs(b["x"] - x) <= column and 0 < y - b["y"] <= step and len(b["ids"]) < most and axis not in b["axes"]), None)
+            if fit is None:
+                fit = {"x": x, "ids": [], "axes": []}
+                blocks.append(fit)
+            fit["y"] = y
+            fit["ids"].append(i)
+            fit["axes"].append(axis)
+        found = [b for b in blocks if len(b["axes"]) >= 2]
+        return pd.DataFrame({"page": [rows["page"].iloc[0]] * len(found), "block": range(len(found)), "ids": [b["ids"] for b in found], "axes": [sorted(b["axes"]) for b in found]})
+
+    return labels.groupBy("page").applyInPandas(page, "page int, block int, ids array<long>, axes array<string>")

@@ -97,3 +97,53 @@ def shared_strokes(rows: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     """The first row of each group in a lexicographic order."""
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_place = 1").drop("_place")
+
+
+def parallel_nested(rows: DataFrame) -> DataFrame:
+    """Nested pairs (J11) of parallel lines, the outer 8 % longer at least, that stand 6 to 38 apart on average."""
+    pairs = nested_intervals(rows)
+    o, i = rows.select("page", F.col("id").alias("outer_id"), F.col("a").alias("oa"), F.col("b").alias("ob")), rows.select("page", F.col("id").alias("inner_id"), F.col("a").alias("ia"), F.col("b").alias("ib"))
+    both = pairs.join(o, ["page", "outer_id"]).join(i, ["page", "inner_id"])
+    oa, ob, ia, ib = (F.col(c) for c in ("oa", "ob", "ia", "ib"))
+    gap = (g.to_segment(ia, oa, ob)["distance"] + g.to_segment(ib, oa, ob)["distance"]) / 2
+    keep = (g.distance(oa, ob) >= 1.08 * g.distance(ia, ib)) & g.same_direction(oa, ob, ia, ib, 0.965) & (F.abs(gap - 22) <= 16)
+    return both.filter(keep).select("page", "outer_id", "inner_id")
+
+
+def crossing_legs(strokes: DataFrame) -> DataFrame:
+    """Pairs of strokes(page, id, a, b) of 8 to 90, at most twice as long as each other, that cross between 28 % and 72 % of both; (page, first_id, second_id, x, y)."""
+    size = g.distance(F.col("a"), F.col("b"))
+    s = strokes.withColumn("size", size).filter(F.col("size").between(8, 90))
+    l, r = s.alias("l"), s.alias("r")
+    pairs = l.join(r, (F.col("l.page") == F.col("r.page")) & (F.col("l.id") < F.col("r.id")) & (F.greatest("l.size", "r.size") <= 2 * F.least("l.size", "r.size")))
+    args = [F.col(c) for c in ("l.a", "l.b", "r.a", "r.b")]
+    one, two = g.lines_meet_at(*args), g.lines_meet_at(*args[2:], *args[:2])
+    out = pairs.withColumns({"one": one, "two": two}).filter(F.col("one").between(0.28, 0.72) & F.col("two").between(0.28, 0.72))
+    place = lambda k: F.col("l.a")[k] + F.col("one") * (F.col("l.b")[k] - F.col("l.a")[k])
+    return out.select(F.col("l.page").alias("page"), F.col("l.id").alias("first_id"), F.col("r.id").alias("second_id"), place("x").alias("x"), place("y").alias("y"))
+
+
+def near_marks(points: DataFrame, arrows: DataFrame, texts: DataFrame, arrow: float = 36.0, text: float = 95.0) -> DataFrame:
+    """points(page, id, x, y) with what speaks for them: an arrow (page, x, y) within 36, else a text within 95; others are left out."""
+    near = lambda marks, most, kind: points.alias("p").join(marks.alias("m"), (F.col("p.page") == F.col("m.page")) & (g.distance(g.point(F.col("p.x"), F.col("p.y")), g.point(F.col("m.x"), F.col("m.y"))) <= most), "left_semi").select("p.*").withColumn("by", F.lit(kind))
+    first = near(arrows, arrow, "arrow")
+    return first.unionByName(near(texts, text, "text").join(first.select("page", "id"), ["page", "id"], "left_anti"))
+
+
+def reserved(strokes: DataFrame, arrows: DataFrame, slack: float = 3.0) -> DataFrame:
+    """strokes(page, id, a, b) both ends of which lie within slack of one of arrows(page, c, d)."""
+    close = lambda p: g.squared_to_segment(F.col(p), F.col("c"), F.col("d")) <= slack * slack
+    return strokes.join(arrows.select(F.col("page").alias("p"), "c", "d"), (F.col("page") == F.col("p")) & close("a") & close("b"), "left_semi")
+
+
+def on_pipes(strokes: DataFrame, pipes: DataFrame, slack: float = 2.5) -> DataFrame:
+    """Strokes that do not lie on a pipe."""
+    return strokes.join(reserved(strokes, pipes, slack).select("page", "id"), ["page", "id"], "left_anti")
+
+
+def support_offsets(dims: DataFrame, strokes: DataFrame) -> DataFrame:
+    """Attached strokes of up to 30 beside another, parallel dimension stroke of over 40 at most 30 away: (page, dim_id)."""
+    small = dims.filter(g.distance(F.col("a"), F.col("b")) <= 30)
+    long = strokes.select(F.col("page").alias("p"), F.col("id").alias("long_id"), F.col("a").alias("c"), F.col("b").alias("d")).filter(g.distance(F.col("c"), F.col("d")) > 40)
+    beside = g.is_parallel(F.col("a"), F.col("b"), F.col("c"), F.col("d")) & (g.to_segment(F.col("a"), F.col("c"), F.col("d"))["distance"] <= 30)
+    return small.join(long, (F.col("page") == F.col("p")) & (F.col("stroke_id") != F.col("long_id")) & beside, "left_semi").select("page", "dim_id")

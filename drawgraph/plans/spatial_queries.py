@@ -163,3 +163,49 @@ def edge_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = t.axis_strokes(spark, sf_dir).select("stroke_id", (F.col("x1") - F.col("x0")).alias("dx"), (F.col("y1") - F.col("y0")).alias("dy")).filter("dx = 0 or abs(dx) = abs(dy)")
     found = g.axis_of(F.col("dx"), F.col("dy"))
     return s.select("stroke_id", found["axis"].alias("axis"), found["sign"].alias("sign"))
+
+
+@query(t.with_views(_THIN + """, nested as (
+  select page, l_id, r_id, ll, rl, dot from measured where r_high - r_low > 0 and greatest(0.0, shared) >= 0.82 * (r_high - r_low) and greatest(l_low - r_low, r_high - l_high, 0.0) <= greatest(8.0, 0.08 * greatest(1.0, l_high - l_low))
+), ends as (
+  select n.*, o.x0 as ox, o.y0 as oy, o.dx, o.dy, i.x0 as ax, i.y0 as ay, i.x1 as bx, i.y1 as b_y from nested n join rows o on o.page = n.page and o.id = n.l_id join rows i on i.page = n.page and i.id = n.r_id
+), placed as (
+  select *, least(1.0::double, greatest(0.0::double, (dx * (ax - ox) + dy * (ay - oy)) / ll)) as pa, least(1.0::double, greatest(0.0::double, (dx * (bx - ox) + dy * (b_y - oy)) / ll)) as pb from ends
+), gaps as (
+  select *, (sqrt((ax - (ox + pa * dx)) * (ax - (ox + pa * dx)) + (ay - (oy + pa * dy)) * (ay - (oy + pa * dy))) + sqrt((bx - (ox + pb * dx)) * (bx - (ox + pb * dx)) + (b_y - (oy + pb * dy)) * (b_y - (oy + pb * dy)))) / 2 as gap from placed
+) select page, l_id as outer_id, r_id as inner_id from gaps where sqrt(ll) >= 1.08 * sqrt(rl) and abs(dot / sqrt(ll * rl)) >= 0.965 and gap between 6 and 38""", "strokes", "thin"))
+def parallel_nested_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J12"""
+    return spatial.parallel_nested(_lines(spark, sf_dir))
+
+
+@query(t.with_views("""s as (select page, stroke_id as id, x0, y0, x1 - x0 as dx, y1 - y0 as dy, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) as size from strokes where stroke_id % 2 = 1), k as (select * from s where size between 8 and 90),
+pairs as (select l.page, l.id as first_id, r.id as second_id, l.x0, l.y0, l.dx, l.dy, l.dx * r.dy - l.dy * r.dx as det, (r.x0 - l.x0) * r.dy - (r.y0 - l.y0) * r.dx as n1, (l.x0 - r.x0) * l.dy - (l.y0 - r.y0) * l.dx as n2 from k l join k r on l.page = r.page and l.id < r.id and greatest(l.size, r.size) <= 2 * least(l.size, r.size)),
+met as (select *, n1 / det as one, n2 / -det as two from pairs where det <> 0)
+select page, first_id, second_id, x0 + one * dx as x, y0 + one * dy as y from met where one between 0.28 and 0.72 and two between 0.28 and 0.72""", "strokes"))
+def crossing_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J24"""
+    s = spatial.ends(t.strokes(spark, sf_dir).filter("stroke_id % 2 = 1")).select("page", F.col("stroke_id").alias("id"), "a", "b")
+    return spatial.crossing_legs(s)
+
+
+@query(t.with_views("""p as (select page, dim_id as id, cx as x, cy as y from dims where dim_id % 3 = 0), a as (select page, x0 as x, y0 as y from axes), m as (select page, cx as x, cy as y from dims where dim_id % 3 = 1)
+select page, id, x, y, case when exists (select 1 from a where a.page = p.page and sqrt((p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y)) <= 36) then 'arrow' else 'text' end as "by" from p
+where exists (select 1 from a where a.page = p.page and sqrt((p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y)) <= 36) or exists (select 1 from m where m.page = p.page and sqrt((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y)) <= 95)""", "strokes", "axes", "dims"))
+def near_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J25, J26"""
+    d = t.dims(spark, sf_dir).select("page", F.col("dim_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    arrows = t.axis_strokes(spark, sf_dir).select("page", F.col("x0").alias("x"), F.col("y0").alias("y"))
+    return spatial.near_marks(d.filter("id % 3 = 0"), arrows, d.filter("id % 3 = 1"))
+
+
+@query(t.with_views("""p as (select *, x1 - x0 as dx, y1 - y0 as dy, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) as len2 from axes), s as (select * from thin),
+pairs as (select s.page, s.stroke_id, s.x0 as ax, s.y0 as ay, s.x1 as bx, s.y1 as b_y, p.x0, p.y0, p.dx, p.dy, case when len2 = 0 then 0 else least(1.0::double, greatest(0.0::double, ((s.x0 - p.x0) * dx + (s.y0 - p.y0) * dy) / len2)) end as pa, case when len2 = 0 then 0 else least(1.0::double, greatest(0.0::double, ((s.x1 - p.x0) * dx + (s.y1 - p.y0) * dy) / len2)) end as pb from s join p on p.page = s.page),
+hit as (select distinct page, stroke_id from pairs where (ax - (x0 + pa * dx)) * (ax - (x0 + pa * dx)) + (ay - (y0 + pa * dy)) * (ay - (y0 + pa * dy)) <= 400 and (bx - (x0 + pb * dx)) * (bx - (x0 + pb * dx)) + (b_y - (y0 + pb * dy)) * (b_y - (y0 + pb * dy)) <= 400)
+select s.page, s.stroke_id as id, h.stroke_id is not null as reserved from s left join hit h on h.page = s.page and h.stroke_id = s.stroke_id""", "strokes", "axes", "thin"))
+def reserved_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J27, J28, with a wider slack, as derived strokes are far apart."""
+    s = spatial.ends(t.thin_strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("id"), "a", "b")
+    pipes = spatial.ends(t.axis_strokes(spark, sf_dir), "c", "d").select("page", "c", "d")
+    on = spatial.reserved(s, pipes, 20.0).select("page", "id", F.lit(True).alias("reserved"))
+    return on.unionByName(spatial.on_pipes(s, pipes, 20.0).select("page", "id", F.lit(False).alias("reserved")))

@@ -152,3 +152,15 @@ def test_exports_and_cache(spark, tmp_path):
 def test_latest_keeps_first_date(spark):
     log = spark.createDataFrame([("r", 1, "2024", "a"), ("r", 2, "2025", "b"), ("q", 1, "2023", "c")], "run string, seq int, created string, state string")
     assert sorted(tuple(r) for r in store.latest(log, ["run"], "seq", "created").collect()) == [("q", 1, "2023", "c"), ("r", 2, "2024", "b")]
+
+
+def test_walks_tours_and_blocks(spark):
+    rows = [(1, i, float(i), 0.0, float(i + 1), 0.0) for i in range(5)] + [(1, 9, 2.0, 0.0, 2.0, 1.0)]
+    edges = graph.end_nodes(spark.createDataFrame(rows, "page int, stroke_id long, x0 double, y0 double, x1 double, y1 double"))
+    r = graph.longest_walks(edges).first()
+    assert r.hops == 5 and {(r.from_x, r.from_y), (r.to_x, r.to_y)} == {(0.0, 0.0), (5.0, 0.0)}
+    pts = spark.createDataFrame([(1, 1, 0.0, 5.0), (1, 2, 0.0, 0.0), (1, 3, 9.0, 1.0), (1, 4, 1.0, 4.0)], "page int, id long, x double, y double")
+    assert [r.id for r in graph.nearest_tour(pts).orderBy("place").collect()] == [2, 4, 1, 3]
+    labels = [(1, 1, "x", 10.0, 0.0), (1, 2, "y", 11.0, 8.0), (1, 3, "z", 10.0, 16.0), (1, 4, "x", 10.0, 24.0), (1, 5, "x", 90.0, 0.0)]
+    got = graph.coordinate_blocks(spark.createDataFrame(labels, "page int, id long, axis string, x double, y double")).collect()
+    assert [(r.ids, r.axes) for r in got] == [([1, 2, 3], ["x", "y", "z"])]
