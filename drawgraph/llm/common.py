@@ -18,6 +18,9 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Characters that part the words of raw text.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Rows in an Arrow batch of texts.
+BATCH_ROWS = 1000
+
 #: Byte table for Python tasks: A-Z lower-cased, other characters outside a normalised word made a space.
 #: Bytes from 0x80 belong to characters beyond ASCII, which are word characters.
 WORD_BYTES = bytes(
@@ -75,6 +78,14 @@ def forget(df: DataFrame) -> None:
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, after making sure that Arrow batches for Python tasks hold few rows: texts can be long, and a batch is in memory on both sides. Another setting than Spark's default is left as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def key_of(text: Column) -> Column:
     """Tells rows apart that share an id: a hash of the whole text, -1 for null."""
     return F.coalesce(F.xxhash64(text), F.lit(-1))

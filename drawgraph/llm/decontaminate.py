@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import NON_WORD, WORD_BYTES, count_words, lower_ascii, squeeze
+from .common import NON_WORD, WORD_BYTES, count_words, lower_ascii, short_batches, squeeze
 
 #: Words of a window.
 WINDOW = 10
@@ -168,7 +168,7 @@ def blocks_of(items: DataFrame, window: int, block_words: int) -> Iterator[list[
 
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep_text: bool = True, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, spans (of hit words, from 0, merged within a block) and items (ids, sorted)."""
-    out = docs.drop(*_OWN)
+    out = short_batches(docs).drop(*_OWN)
     blocks = blocks_of(items, window, block_words)
     block = next(blocks, None)
     if block is None:

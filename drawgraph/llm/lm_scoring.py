@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WORD_BYTES, settle
+from .common import WORD_BYTES, settle, short_batches
 
 BACKOFF = 0.4
 #: Bytes of text in a batch, and distinct n-grams that a range of the count table gets from all batches, about.
@@ -169,7 +169,7 @@ def _packed(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
 def score_texts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) without text, with n_words, n_seen (pairs that other documents hold), log_micro (millionths of the log10 of the score) and log_score (per word)."""
     own = [T.StructField(c, T.LongType()) for c in ("n_words", "n_seen", "log_micro")]
-    docs = docs.drop("batch", "packed", "log_score", *[f.name for f in own])
+    docs = short_batches(docs).drop("batch", "packed", "log_score", *[f.name for f in own])
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = max(least, size // BATCH_BYTES + 1)

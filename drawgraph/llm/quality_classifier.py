@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import short_batches
 from .sparse import MOST_ROWS, SLOTS, Known, Leader, fit_in_a_task, held_out, sigmoid, slots_of, training_rows
 
 EPOCHS = 6
@@ -120,5 +121,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) ->
     """docs(doc_id, text, ...) without text, with held_out, score (chance of label 1) and predicted."""
     model = docs.sparkSession.sparkContext.broadcast(fit_in_a_task(training_rows(docs, labels, "quality", most), fit))  # as many weights as slots at most
     schema = T.StructType([f for f in docs.schema.fields if f.name not in ("text", "score", "held_out", "predicted")] + [T.StructField("score", T.DoubleType())])
-    scored = docs.mapInArrow(partial(_score, model=model, schema=to_arrow_schema(schema)), schema)
+    scored = short_batches(docs).mapInArrow(partial(_score, model=model, schema=to_arrow_schema(schema)), schema)
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

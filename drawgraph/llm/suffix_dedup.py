@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import key_of, settle
+from .common import key_of, settle, short_batches
 
 #: Bytes of a string that must not repeat.
 LENGTH = 100
@@ -324,7 +324,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Itera
 def repeats(docs: DataFrame) -> DataFrame:
     """docs(doc, copy, text): rows (doc, copy, spans), the byte ranges that strings which occurred before cover, unmerged."""
     spark = docs.sparkSession
-    texts = docs.select("doc", "copy", "text")
+    texts = short_batches(docs).select("doc", "copy", "text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, size // 35 // BUCKET_ROWS + 1)

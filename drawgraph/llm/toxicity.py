@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WORD_BYTES
+from .common import WORD_BYTES, short_batches
 from .sparse import MOST_ROWS, SLOTS, Known, Leader, fit_in_a_task, sigmoid, slot_of, slots_of, training_rows
 
 GRADES = 4
@@ -132,7 +132,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, cu
     model = docs.sparkSession.sparkContext.broadcast(found)  # SLOTS weights at most
     own = [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
     schema = T.StructType([f for f in docs.schema.fields if f.name not in {x.name for x in own} and (keep_text or f.name != "text")] + own)
-    return docs.mapInArrow(partial(_score, model=model, schema=to_arrow_schema(schema), cut=cut), schema)
+    return short_batches(docs).mapInArrow(partial(_score, model=model, schema=to_arrow_schema(schema), cut=cut), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, cut: float = CUT) -> DataFrame:

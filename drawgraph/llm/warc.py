@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir
+from .common import settle, shared_dir, short_batches
 
 #: Bytes of records in a frame before compression, and of frames in a bundle after it.
 FRAME, BUNDLE = 256 * 1024, 256 * 1024 * 1024
@@ -164,7 +164,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     """Write a record for each row of pages(page_id, url, html); returns the index of all records. Payloads below least_bytes are all responses."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(html).alias("digest"))
+    rows = short_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(html).alias("digest"))
     thin = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
     firsts = settle(thin.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").drop("n"), "firsts")
     joined = rows.join(firsts, "digest", "left")
