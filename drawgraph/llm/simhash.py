@@ -22,6 +22,7 @@ columns pass through, those named like the operator's own are replaced.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 from functools import partial
@@ -34,10 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import forget, key_of, settle
+from .common import forget, key_of, settle, short_batches
 
 #: Fingerprints that one task compares with each other.
 BUCKET = 4096
+#: Bits of a key beyond the logarithm of the number of documents.
+SPARE = 6
+#: Bits of a fingerprint at least where they estimate a similarity.
+LEAST_BITS = 320
 #: Bytes that part words, made spaces; A-Z lower-cased.
 _TEXT_BYTES = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b + 32 if chr(b) in string.ascii_uppercase else b for b in range(256))
 
@@ -74,7 +79,7 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     """Further hash words from the first, by one round of a 64-bit finaliser."""
     if not word:
         return h
-    h = h + np.uint64(word) * _SPREAD
+    h = h + np.uint64(word * int(_SPREAD) % 2**64)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -93,12 +98,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, seed: int =
     """docs(text, ...) without text, with fp: a fingerprint of words * 64 bits, big-endian bytes."""
     fields = [f for f in docs.schema.fields if f.name not in ("text", "fp")]
     schema = T.StructType([*fields, T.StructField("fp", T.BinaryType())])
-    return docs.mapInArrow(partial(_prints, shingle=shingle, words=words, seed=seed, schema=to_arrow_schema(schema)), schema)
+    return short_batches(docs).mapInArrow(partial(_prints, shingle=shingle, words=words, seed=seed, schema=to_arrow_schema(schema)), schema)
 
 
-def covering_masks(bits: int, segments: int, radius: int) -> list[np.ndarray]:
-    """For every table the bits (places in the fingerprint) that it compares."""
-    width, codes = bits // segments, 2 ** (radius + 1)
+def covering_masks(bits: int, segments: int, radius: int, width: int | None = None) -> list[np.ndarray]:
+    """For every table the bits (places in the fingerprint) that it compares. Segments have width bits, or all that there are."""
+    width, codes = width or bits // segments, 2 ** (radius + 1)
     out = []
     for s in range(segments):
         code = np.arange(width) % (codes - 1) + 1  # every non-zero code in turn
@@ -121,7 +126,7 @@ def _word_masks(places: list[np.ndarray], words: int) -> np.ndarray:
 
 def _keys(rows: np.ndarray, mask: np.ndarray, tag: int) -> np.ndarray:
     """A 64-bit key of the masked words and the table."""
-    key = np.full(len(rows), np.uint64(tag) * _SPREAD, np.uint64)
+    key = np.full(len(rows), tag * int(_SPREAD) % 2**64, np.uint64)
     for w in np.flatnonzero(mask):
         key = _mixed(key ^ (rows[:, w] & mask[w]), int(w) + 1)
     return key.view(np.int64)
@@ -206,28 +211,28 @@ def _forest(batches: Iterator[pa.RecordBatch], words: int, distance: int) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
-def links(prints: DataFrame, bits: int, segments: int, radius: int, distance: int) -> DataFrame:
+def links(prints: DataFrame, bits: int, segments: int, radius: int, distance: int, width: int | None = None) -> DataFrame:
     """Links (a, b), a > b, between the distinct fingerprints fp: each within distance bits, and enough of them to join whatever such links join.
 
     Tables hold an 8-byte number for each fingerprint; fingerprints themselves meet only buckets of two and more. Should two of them
     share a number, both are looked at wherever it stands."""
     words = bits // 64
-    masks = covering_masks(bits, segments, radius)
+    masks = covering_masks(bits, segments, radius, width)
     nodes = settle(prints.select(F.xxhash64("fp").alias("id"), "fp"), "nodes")
     dealt = nodes.mapInArrow(partial(_deal, masks=_word_masks(masks, words), words=words), _DEALT)
     parts = []
     while True:
         dealt = settle(dealt, "dealt")
-        buckets = settle(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("t").alias("t"), F.max("path").alias("path")).filter("n > 1"), "buckets")
+        buckets = settle(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("n > 1"), "buckets")
         twos = buckets.filter("n = 2").select("key", F.explode(F.array("low", "high")).alias("id"))
         more = dealt.select("key", "id").join(buckets.filter((F.col("n") > 2) & (F.col("n") <= BUCKET)).select("key"), "key", "left_semi")
         rows = settle(twos.unionByName(more), "members")
         small = rows.join(nodes, "id").groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
         parts.append(settle(small.mapInArrow(partial(_forest, words=words, distance=distance), "a binary, b binary").distinct(), "links"))
-        kinds = [tuple(r) for r in buckets.filter(F.col("n") > BUCKET).select("t", "path").distinct().toLocalIterator()]  # as many as tables and ways, not as buckets
-        if not kinds:
+        if buckets.filter(F.col("n") > BUCKET).isEmpty():
             break
-        large = dealt.join(buckets.filter(F.col("n") > BUCKET).select("key"), "key", "left_semi").join(nodes, "id")
+        large = settle(dealt.join(buckets.filter(F.col("n") > BUCKET).select("key"), "key", "left_semi").join(nodes, "id"), "large")
+        kinds = [tuple(r) for r in large.select("t", "path").distinct().toLocalIterator()]  # as many as tables and ways, not as buckets
         ended = [k for k in kinds if len(open_after(bits, masks[k[0]], k[1], distance)[0]) <= distance]
         if ended:  # what is left open is within the distance for all: each is linked to the least
             is_ended = F.struct("t", "path").isin([F.struct(F.lit(t).cast("int"), F.lit(p).cast("long")) for t, p in ended])
@@ -267,25 +272,39 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), *[F.bit_xor(F.xxhash64(F.lit(k), "a", "b")) for k in (1, 2)]).first())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 64, segments: int = 1, radius: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 64, segments: int = 1, radius: int = 3, distance: int = 3, seed: int = 42, width: int | None = None) -> DataFrame:
     """docs(doc_id, text, ...) without text, with fp and component_id: the least doc_id that links of at most distance bits reach, its own included."""
     prints = settle(fingerprints(docs.drop("component_id"), shingle, bits // 64, seed), "prints")
     nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    joined = settle(components(links(nodes, bits, segments, radius, distance)), "components")
+    joined = settle(components(links(nodes, bits, segments, radius, distance, width)), "components")
     ids = settle(nodes.join(joined, nodes["fp"] == joined["node"]).groupBy("root").agg(F.min("least").alias("id")), "ids")
     linked = settle(joined.join(ids, "root").select(F.col("node").alias("fp"), "id"), "linked")
     known = settle(nodes.join(linked, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id")), "known")
     return prints.join(known, "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 320, segments: int = 8, radius: int = 3, distance: int = 54, seed: int = 42) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the least id (of several rows with it, that with the least hash of its text).
+def plan_tables(rows: int, similarity: float = 0.8, recall: float = 0.92, radius: int = 3) -> dict[str, int]:
+    """Parameters for so many documents and a similarity of shingles.
 
-    The defaults stand for a similarity of 0.8 of five-word shingles: such pairs differ in 48 of 320 bits on average, in 54 or fewer nearly always
-    where they are a little more alike. Tables compare 21 bits each; what they guarantee is every pair within 31 bits, and pairs at 0.8 meet in one
-    of the 120 tables with a chance of about 0.98."""
+    Sets with Jaccard similarity j have the cosine 2j / (1 + j), so a bit differs with the chance arccos / pi. Keys have SPARE bits more than the documents
+    need to be told apart, so chance collisions grow with the documents and not with their square; as many segments are taken as it needs for a pair
+    at the similarity to collide somewhere with the chance recall. What lies above the similarity collides more often. The distance is the mean at the
+    similarity and nine tenths of a standard deviation."""
+    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = 2**radius / (2 ** (radius + 1) - 1)  # of a segment's bits that a mask compares
+    width = max(32, math.ceil((math.log2(max(rows, 2)) + SPARE) / share))
+    tables = math.log(1 - recall) / math.log(1 - (1 - differs) ** (share * width))
+    segments = math.ceil(tables / (2 ** (radius + 1) - 1))
+    bits = max(LEAST_BITS, -(-segments * width // 64) * 64)
+    distance = round(bits * differs + 0.9 * math.sqrt(bits * differs * (1 - differs)))
+    return {"bits": bits, "segments": segments, "radius": radius, "width": width, "distance": distance}
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """docs with one document of each group of near-duplicates: the one with the least id (of several rows with it, that with the least hash of its text)."""
+    plan = plan_tables(docs.count(), similarity)
     keyed = docs.withColumns({"__key": key_of(F.col("text")), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    found = settle(near_duplicates(keyed.select("doc_id", "text", "__key", "__id"), shingle, bits, segments, radius, distance, seed), "found")
+    found = settle(near_duplicates(keyed.select("doc_id", "text", "__key", "__id"), shingle, seed=seed, **plan), "found")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))
     group = F.coalesce(F.concat(F.lit("c"), F.col("component_id").cast("string")), F.concat(F.lit("f"), F.hex("fp")))
     firsts = settle(found.withColumn("__group", group).groupBy("__group").agg(F.min(place).alias("first")), "firsts")
