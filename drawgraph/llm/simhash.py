@@ -22,7 +22,6 @@ columns pass through, those named like the operator's own are replaced.
 
 from __future__ import annotations
 
-import math
 import string
 from collections.abc import Iterator
 from functools import partial
@@ -39,10 +38,10 @@ from .common import forget, key_of, settle, short_batches
 
 #: Fingerprints that one task compares with each other.
 BUCKET = 4096
-#: Bits of a key beyond the logarithm of the number of documents.
-SPARE = 6
-#: Bits of a fingerprint at least where they estimate a similarity.
-LEAST_BITS = 320
+#: Least hashes in a key and keys of a set of shingles: sets at a similarity of 0.8 share none of their keys with a chance of 0.672^32 = 3e-6.
+ROWS, BANDS = 5, 32
+#: Keys after which known links are joined before further ones are looked at.
+ROUNDS = (2, 10, BANDS)
 #: Bytes that part words, made spaces; A-Z lower-cased.
 _TEXT_BYTES = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b + 32 if chr(b) in string.ascii_uppercase else b for b in range(256))
 
@@ -283,35 +282,111 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 64, segments:
     return prints.join(known, "fp")
 
 
-def plan_tables(rows: int, similarity: float = 0.8, recall: float = 0.92, radius: int = 3) -> dict[str, int]:
-    """Parameters for so many documents and a similarity of shingles.
+def _min_hashes(h: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of the least of ROWS differently mixed hashes. Two sets agree on one least with a chance that is their Jaccard similarity."""
+    rnd = np.random.default_rng(5)
+    flip, odd = rnd.integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 512):
+        low = np.minimum(low, ((h[at : at + 512, None] ^ flip) * (odd | np.uint64(1))).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64) * _SPREAD
+    for row in low.reshape(BANDS, ROWS).T:
+        key = _mixed(key ^ row, 1)
+    return key.view(np.int64)
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int, seed: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What the schema asks for of each text's set of shingles: its digest fp, its keys, its hashes."""
+    make = {"fp": lambda h: xxhash.xxh3_128_digest(h.tobytes(), seed), "hashes": lambda h: h.tobytes(), "keys": _min_hashes}
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(text.as_py(), shingle, seed)) for text in batch.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array([make[f.name](h) for h in sets], f.type) if f.name in make else batch.column(f.name) for f in schema], schema=schema)
+
+
+def _with_sets(docs: DataFrame, kept: list[str], made: str, shingle: int, seed: int) -> DataFrame:
+    """docs(text, ...) as the columns kept and what is made of the set of shingles."""
+    schema = T.StructType([*[docs.schema[c] for c in kept], *T.StructType.fromDDL(made).fields])
+    return short_batches(docs).mapInArrow(partial(_shingle_sets, shingle=shingle, seed=seed, schema=to_arrow_schema(schema)), schema)
+
+
+def similar(sets: list[np.ndarray], groups: list, similarity: float) -> list[tuple[int, int]]:
+    """Places of links that join what pairs of sets with at least the Jaccard similarity join; sets of one group are joined already."""
+    sizes = np.array([len(x) for x in sets])
+    flat, ends = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
+    _, names = np.unique(groups, return_inverse=True)
+    out: list[tuple[int, int]] = []
+    rest = np.arange(len(sets))
+    while len(rest):
+        same = names[rest] == names[rest[0]]
+        wave, rest = rest[same].tolist(), rest[~same]
+        while wave and len(rest):
+            at = wave.pop()
+            fits = rest[np.minimum(sizes[rest], sizes[at]) >= similarity * np.maximum(sizes[rest], sizes[at]) - 1e-9]
+            shared = np.array([np.isin(flat[ends[x] : ends[x + 1]], sets[at], assume_unique=True).sum() for x in fits.tolist()], np.int64)
+            near = fits[shared >= similarity * (sizes[fits] + sizes[at] - shared) - 1e-9]
+            if len(near):
+                out += [(at, int(x)) for x in near]
+                reached = np.isin(names[rest], names[near])
+                wave += rest[reached].tolist()
+                rest = rest[~reached]
+    return out
+
+
+def _similar_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = [], []
+        for members in batch.column("members"):
+            fps, roots, hashes = zip(*[(m["fp"], m["root"], np.frombuffer(m["hashes"], np.uint64)) for m in members.as_py()], strict=True)
+            for x, y in similar(list(hashes), list(roots), similarity):
+                left.append(max(fps[x], fps[y]))
+                right.append(min(fps[x], fps[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    Sets with Jaccard similarity j have the cosine 2j / (1 + j), so a bit differs with the chance arccos / pi. Keys have SPARE bits more than the documents
-    need to be told apart, so chance collisions grow with the documents and not with their square; as many segments are taken as it needs for a pair
-    at the similarity to collide somewhere with the chance recall. What lies above the similarity collides more often. The distance is the mean at the
-    similarity and nine tenths of a standard deviation."""
-    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    share = 2**radius / (2 ** (radius + 1) - 1)  # of a segment's bits that a mask compares
-    width = max(32, math.ceil((math.log2(max(rows, 2)) + SPARE) / share))
-    tables = math.log(1 - recall) / math.log(1 - (1 - differs) ** (share * width))
-    segments = math.ceil(tables / (2 ** (radius + 1) - 1))
-    bits = max(LEAST_BITS, -(-segments * width // 64) * 64)
-    distance = round(bits * differs + 0.9 * math.sqrt(bits * differs * (1 - differs)))
-    return {"bits": bits, "segments": segments, "radius": radius, "width": width, "distance": distance}
+
+def similar_components(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """(node, root) of nodes(fp, keys), linked where the exact Jaccard similarity of their sets(fp, hashes) is at least similarity; None without any link.
+
+    Candidates share a key. Bands are taken in few rounds: a bucket whose members are joined already is not compared again, and buckets of the same
+    members are compared once, so groups of many copies are compared in the first round and not in every band."""
+    known = parts = None
+    for low, high in zip((0, *ROUNDS), ROUNDS, strict=False):
+        dealt = nodes.select("fp", F.explode(F.slice("keys", low + 1, high - low)).alias("key"))
+        dealt = dealt.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")) if known else dealt.withColumn("root", F.col("fp"))
+        dealt = settle(dealt.select("fp", "key", "root"), "dealt")
+        unlike = dealt.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"x{k}") for k in (1, 2)]).filter("low <> high")
+        once = settle(unlike.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "once")
+        members = settle(dealt.join(once, "key", "left_semi"), "members")
+        buckets = members.join(sets, "fp").groupBy("key").agg(F.collect_list(F.struct("fp", "root", "hashes")).alias("members")).select("members")
+        fresh = settle(short_batches(buckets).mapInArrow(partial(_similar_links, similarity=similarity), "a binary, b binary").distinct(), "links")
+        for old in (dealt, once, members):
+            forget(old)
+        if not fresh.isEmpty():
+            parts = parts.unionByName(fresh) if parts else fresh
+            known = settle(components(parts), "components")
+    return known
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the least id (of several rows with it, that with the least hash of its text)."""
-    plan = plan_tables(docs.count(), similarity)
     keyed = docs.withColumns({"__key": key_of(F.col("text")), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    found = settle(near_duplicates(keyed.select("doc_id", "text", "__key", "__id"), shingle, seed=seed, **plan), "found")
+    found = settle(_with_sets(keyed.select("doc_id", "text", "__key", "__id"), ["doc_id", "__key", "__id"], "fp binary, keys array<long>", shingle, seed), "found")
+    nodes = settle(found.groupBy("fp").agg(F.min("__key").alias("__key"), F.first("keys").alias("keys")), "nodes")  # equal sets are one node and have equal keys
+    dealt = nodes.select("fp", F.explode("keys").alias("key"))
+    shared = settle(dealt.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("key"), "shared")
+    some = settle(dealt.join(shared, "key", "left_semi").select("fp").distinct(), "some")
+    nodes = settle(nodes.join(some, "fp", "left_semi"), "candidates")
+    again = _with_sets(keyed.select("text", "__key").join(nodes.select("__key"), "__key", "left_semi"), [], "fp binary, hashes binary", shingle, seed)
+    sets = settle(again.groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets")
+    joined = similar_components(nodes, sets, similarity)
+    rows = found.withColumn("root", F.col("fp"))
+    if joined:
+        rows = found.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))
-    group = F.coalesce(F.concat(F.lit("c"), F.col("component_id").cast("string")), F.concat(F.lit("f"), F.hex("fp")))
-    firsts = settle(found.withColumn("__group", group).groupBy("__group").agg(F.min(place).alias("first")), "firsts")
+    firsts = settle(rows.groupBy("root").agg(F.min(place).alias("first")), "firsts")
     stay = firsts.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("__id"), F.col("first.key").alias("__key"))
     out = keyed.join(stay, ["__id", "__key"], "left_semi")
-    rows, ids = found.select(F.count(F.lit(1)), F.countDistinct("__id", "__key")).first()
-    if rows != ids:  # rows repeat an id and its text: one of them stays
+    n_rows, ids = found.select(F.count(F.lit(1)), F.countDistinct("__id", "__key")).first()
+    if n_rows != ids:  # rows repeat an id and its text: one of them stays
         out = out.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(1)))).filter("__n = 1")
     return out.select(*docs.columns)
 

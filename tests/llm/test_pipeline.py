@@ -116,3 +116,44 @@ def test_near_duplicates_keep_one_of_equal_rows(spark):
     rows = [(4, "a b c d e f g"), (4, "a b c d e f g"), (None, "a b c d e f g"), (7, None), (8, ""), (None, None), (9, "other words stand here alone now")]
     out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id for r in out), key=str) == [4, 7, 9]
+
+
+def test_near_duplicates_are_exact_jaccard(spark):
+    """Pairs just above, at and just below 0.8, and chains of them, against brute force over shingle sets."""
+    rnd = random.Random(29)
+    rows, want = [], []
+    for i in range(240):
+        n = rnd.choice((84, 124, 204, 404))  # n - 4 shingles of five words, all different
+        words = [f"w{i}x{k}" for k in range(n)]
+        other, shingles = words[:], n - 4
+        share = rnd.choice((0.72, 0.76, 0.78, 0.8, 0.8, 0.82, 0.86))
+        gone = round(shingles * (1 - share) / (1 + share))  # shingles that each side has alone
+        for k in range(gone - 4 if gone > 4 else 0, -1, -1):  # words changed at the end change gone shingles
+            other[n - 1 - k] = f"v{i}x{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    near = [len(sets[2 * i] & sets[2 * i + 1]) * 5 >= 4 * len(sets[2 * i] | sets[2 * i + 1]) for i in range(240)]
+    want = sorted([d for i in range(240) for d in ((2 * i,) if near[i] else (2 * i, 2 * i + 1))])
+    assert 60 < sum(near) < 200
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in out) == want
+
+
+def test_similar_sets_against_all_pairs():
+    import numpy as np
+
+    rnd = random.Random(31)
+    base = list(range(1000, 1100))
+    sets = [np.unique(np.array(rnd.sample(base, rnd.randint(78, 100)) + [rnd.randint(0, 9)], np.uint64)) for _ in range(40)]
+    known = [i if i % 3 else 0 for i in range(40)]
+    sets[7] = np.empty(0, np.uint64)
+
+    def joined(pairs):
+        root = list(range(40))
+        for a, b in [(i, 0) for i in range(0, 40, 3)] + pairs:
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+        return {(a, b) for a in range(40) for b in range(40) if root[a] == root[b]}
+
+    every = [(a, b) for a in range(40) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) * 5 >= 4 * len(np.union1d(sets[a], sets[b]))]
+    assert joined(simhash.similar(sets, known, 0.8)) == joined(every) and len(every) > 20
