@@ -2,7 +2,7 @@
 
 Each rule: label, level, keyword and pattern. Level 1 is a grant or an identifier that settles the matter,
 2 a license named with its version or full name, 3 a mention. The keyword must stand in the text before
-the pattern is tried; it is the rarest fixed part of the pattern. Patterns know no spaces but single ones
+the pattern is tried; every match of the pattern contains it. Patterns know no spaces but single ones
 and match whole words; where rules meet the same words, the order of this list decides.
 """
 
@@ -58,7 +58,7 @@ WRITTEN = (
     ("wtfpl", 1, "what the fuck", "do what the fuck you want to public license"),
     ("proprietary", 1, "proprietary and confidential", "(?:is |are )?proprietary and confidential"),
     ("proprietary", 1, "unauthorized copying", "unauthorized copying of this (?:file|document|software|work)"),
-    ("proprietary", 1, "may not be reproduced", "may not be (?:copied|reproduced|published)(?: or (?:copied|reproduced|redistributed))? (?:in any form )?without (?:the )?(?:prior )?(?:express )?(?:written )?(?:permission|consent)"),
+    ("proprietary", 1, "may not be", "may not be (?:copied|reproduced|published)(?: or (?:copied|reproduced|redistributed))? (?:in any form )?without (?:the )?(?:prior )?(?:express )?(?:written )?(?:permission|consent)"),
     ("proprietary", 1, "without permission", "(?:no part of this|reproduction|redistribution) (?:[^ ]+ ){0,12}?without permission"),
     ("evaluation", 1, "evaluation purposes", "for evaluation purposes only"),
     ("non-commercial", 1, "commercial use", "(?:not for|no) commercial use"),
@@ -136,7 +136,7 @@ WRITTEN = (
     ("etalab-2.0", 2, "licence ouverte", "licence ouverte(?: open licence)?(?: version| v)? 2 0"),
     ("dl-de-by-2.0", 2, "datenlizenz", "datenlizenz deutschland namensnennung(?: version)? 2 0"),
     ("dl-de-zero-2.0", 2, "datenlizenz", "datenlizenz deutschland zero(?: version)? 2 0"),
-    ("openrail-m", 2, "openrail", "(?:creativeml |bigscience )?open ?rail(?: m)?(?: license)?"),
+    ("openrail-m", 2, "rail", "(?:creativeml |bigscience )?open ?rail(?: m)?(?: license)?"),
     ("llama-community", 2, "llama", "llama (?:2 |3 |3 1 )?community license(?: agreement)?"),
     ("mulanpsl-2.0", 2, "mulan", "mulan psl v2"),
     ("polyform-noncommercial-1.0.0", 2, "polyform", "polyform noncommercial license(?: 1 0 0)?"),
@@ -148,7 +148,7 @@ WRITTEN = (
     ("zlib", 2, "zlib", "zlib (?:libpng )?license"),
     ("wtfpl", 2, "wtfpl", "wtfpl"),
     # mentions
-    ("apache", 3, "apache license", "apache (?:software )?license"),
+    ("apache", 3, "apache", "apache (?:software )?license"),
     ("bsd", 3, "bsd", "bsd (?:style )?licen[cs]ed?"),
     ("gpl", 3, "general public license", "general public license"),
     ("gpl", 3, "gpl", "(?:gnu )?gpl"),
@@ -178,7 +178,7 @@ WRITTEN = (
     ("copyright", 3, "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"),
     ("copyright", 3, "©", "© ?(?:19|20)[0-9][0-9]"),
     ("proprietary", 3, "confidential", "(?:strictly |company )confidential"),
-    ("eula", 3, "license agreement", "end user licen[cs]e agreement"),
+    ("eula", 3, "end user", "end user licen[cs]e agreement"),
     ("dual", 3, "dual licensed", "dual licensed"),
     ("terms", 3, "terms of use", "(?:see|subject to) (?:our |the )?terms of use"),
     ("open-source", 3, "open source license", "open source license"),
@@ -207,4 +207,4 @@ def build() -> list[tuple[str, int, str, str]]:
 #: Labels of the base phrases.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Words that every keyword holds one of: what a text without any of them is spared.
-GATES = ("licen", "copyright", "©", "public", "rights", "rechte", "droits", "derechos", "cc ", "cc0", "creative commons", "spdx", "apache", "bsd", "gpl", "mit ", "permission", "redistribut", "endorse or", "advertising materials", "unencumbered", "warranty", "what the fuck", "confidential", "unauthorized", "reproduced", "purposes", "commercial use", "non commercial", "training", "text and data mining", "expat", "x11", "affero", "documentation", "mozilla", "eclipse", "common development", "boost", "business source", "artistic", "academic", "database", "open data", "community data", "server side", "elastic", "microsoft", "python software", "cecill", "universal permissive", "ncsa", "government", "ouverte", "datenlizenz", "rail", "llama", "mulan", "polyform", "zlib", "wtfpl", "cddl", "eupl", "open font", "open software", "terms of use", "open source", "free to use")
+GATES = ("licen", "copyright", "©", "public", "rights", "rechte", "droits", "derechos", "cc ", "cc0", "creative commons", "spdx", "apache", "bsd", "gpl", "mit ", "permission", "redistribut", "endorse or", "advertising materials", "unencumbered", "warranty", "what the fuck", "confidential", "unauthorized", "reproduced", "may not be", "end user", "purposes", "commercial use", "non commercial", "training", "text and data mining", "expat", "x11", "affero", "documentation", "mozilla", "eclipse", "common development", "boost", "business source", "artistic", "academic", "database", "open data", "community data", "server side", "elastic", "microsoft", "python software", "cecill", "universal permissive", "ncsa", "government", "ouverte", "datenlizenz", "rail", "llama", "mulan", "polyform", "zlib", "wtfpl", "cddl", "eupl", "open font", "open software", "terms of use", "open source", "free to use")

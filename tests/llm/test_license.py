@@ -44,3 +44,37 @@ def test_scan(spark):
     assert by[6].labels == "gpl-2.0" and by[9].labels.split(",") == ["gpl", "gpl-3.0"]
     assert by[7].labels == "" and by[10].n_base == 0
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def kinds(parsed):
+    """A text for every choice of alternatives, options and least repeats of a parsed pattern."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            step = [chr(arg)]
+        elif name == "IN":
+            step = ["x" if str(arg[0][0]) == "NEGATE" else chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        elif name == "NOT_LITERAL":
+            step = ["x"]
+        elif name == "BRANCH":
+            step = [t for branch in arg[1] for t in kinds(branch)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            step = [t * n for n in {arg[0], arg[0] + (arg[1] > arg[0])} for t in kinds(arg[2])]
+        else:
+            assert name == "SUBPATTERN", name
+            step = kinds(arg[-1])
+        out = [a + b for a in out for b in dict.fromkeys(step)]
+    return out
+
+
+def test_keywords_stand_in_every_match():
+    for _, _, key, rx in build():
+        for text in kinds(re._parser.parse(rx)):
+            assert re.fullmatch(rx, text) and key in f" {text} " and any(g in f" {text} " for g in GATES), (key, text)
+
+
+def test_alternatives_are_found(spark):
+    texts = ["may not be copied or reproduced without the prior written permission", "may not be published without consent", "the apache software license", "end user licence agreement", "an open rail m model"]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.labels, r.score) for r in sorted(got)] == [("proprietary", 1.0), ("proprietary", 1.0), ("apache", 0.5), ("eula", 0.5), ("openrail-m", 0.8)]
