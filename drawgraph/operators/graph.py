@@ -126,7 +126,7 @@ def clusters(points: DataFrame, radius: float = CLUSTER) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame) -> DataFrame:
-    """(page, x, y, distance, hops): every node's shortest way from the page's least node, by length."""
+    """(page, x, y, distance, hops): every node's shortest way from the least node of its component, by length."""
 
     def page(rows: pd.DataFrame) -> pd.DataFrame:
         ways = defaultdict(list)
@@ -134,16 +134,19 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
             size = float(np.sqrt((c - a) ** 2 + (d - b) ** 2))
             ways[a, b].append((size, (c, d)))
             ways[c, d].append((size, (a, b)))
-        start = min(ways)
-        best, queue = {start: (0.0, 0)}, [(0.0, 0, start)]
-        while queue:
-            far, hops, n = heapq.heappop(queue)
-            if (far, hops) > best[n]:
+        best: dict = {}
+        for start in sorted(ways):
+            if start in best:
                 continue
-            for size, m in ways[n]:
-                if m not in best or (far + size, hops + 1) < best[m]:
-                    best[m] = (far + size, hops + 1)
-                    heapq.heappush(queue, (far + size, hops + 1, m))
+            best[start], queue = (0.0, 0), [(0.0, 0, start)]
+            while queue:
+                far, hops, n = heapq.heappop(queue)
+                if (far, hops) > best[n]:
+                    continue
+                for size, m in ways[n]:
+                    if m not in best or (far + size, hops + 1) < best[m]:
+                        best[m] = (far + size, hops + 1)
+                        heapq.heappush(queue, (far + size, hops + 1, m))
         number = rows["page"].iloc[0]
         return pd.DataFrame([(number, *n, *v) for n, v in best.items()], columns=["page", "x", "y", "distance", "hops"])
 
@@ -218,7 +221,7 @@ def main_components(nodes: DataFrame, gap: float = 55.0) -> DataFrame:
 
 
 def longest_walks(edges: DataFrame) -> DataFrame:
-    """(page, hops, from_x, from_y, to_x, to_y): the ends of the longest shortest way by edges, found by two sweeps from the least node."""
+    """(page, hops, from_x, from_y, to_x, to_y): for each component the ends of the longest shortest way by edges, found by two sweeps from its least node."""
 
     def page(rows: pd.DataFrame) -> pd.DataFrame:
         ways = defaultdict(set)
@@ -231,11 +234,16 @@ def longest_walks(edges: DataFrame) -> DataFrame:
             while wave:
                 wave = sorted({m for n in wave for m in ways[n]} - far.keys())
                 far.update(dict.fromkeys(wave, max(far.values()) + 1))
-            return min(((-h, n) for n, h in far.items()))
-
-        one = sweep(min(ways))[1]
-        hops, two = sweep(one)
-        return pd.DataFrame([(rows["page"].iloc[0], -hops, *one, *two)], columns=["page", "hops", "from_x", "from_y", "to_x", "to_y"])
+            return *min(((-h, n) for n, h in far.items())), far.keys()
+
+        seen, out = set(), []
+        for start in sorted(ways):
+            if start not in seen:
+                _, one, nodes = sweep(start)
+                hops, two, _ = sweep(one)
+                seen |= nodes
+                out.append((rows["page"].iloc[0], -hops, *one, *two))
+        return pd.DataFrame(out, columns=["page", "hops", "from_x", "from_y", "to_x", "to_y"])
 
     return edges.groupBy("page").applyInPandas(page, "page int, hops int, from_x double, from_y double, to_x double, to_y double")
 

@@ -164,3 +164,10 @@ def test_walks_tours_and_blocks(spark):
     labels = [(1, 1, "x", 10.0, 0.0), (1, 2, "y", 11.0, 8.0), (1, 3, "z", 10.0, 16.0), (1, 4, "x", 10.0, 24.0), (1, 5, "x", 90.0, 0.0)]
     got = graph.coordinate_blocks(spark.createDataFrame(labels, "page int, id long, axis string, x double, y double")).collect()
     assert [(r.ids, r.axes) for r in got] == [([1, 2, 3], ["x", "y", "z"])]
+
+
+def test_ways_of_every_component(spark):
+    lines = [(0.0, 0.0, 3.0, 4.0), (100.0, 0.0, 101.0, 0.0), (101.0, 0.0, 102.0, 0.0), (102.0, 0.0, 103.0, 0.0)]
+    edges = spark.createDataFrame([(1, i, *e) for i, e in enumerate(lines)], "page int, stroke_id long, from_x double, from_y double, to_x double, to_y double")
+    assert sorted((r.x, r.distance, r.hops) for r in graph.shortest_paths(edges).collect()) == [(0.0, 0.0, 0), (3.0, 5.0, 1), (100.0, 0.0, 0), (101.0, 1.0, 1), (102.0, 2.0, 2), (103.0, 3.0, 3)]
+    assert sorted((r.hops, *sorted((r.from_x, r.to_x))) for r in graph.longest_walks(edges).collect()) == [(1, 0.0, 3.0), (3, 100.0, 103.0)]
