@@ -123,11 +123,11 @@ def crossing_legs(strokes: DataFrame) -> DataFrame:
     return out.select(F.col("l.page").alias("page"), F.col("l.id").alias("first_id"), F.col("r.id").alias("second_id"), place("x").alias("x"), place("y").alias("y"))
 
 
-def near_marks(points: DataFrame, arrows: DataFrame, texts: DataFrame, arrow: float = 36.0, text: float = 95.0) -> DataFrame:
-    """points(page, id, x, y) with what speaks for them: an arrow (page, x, y) within 36, else a text within 95; others are left out."""
-    near = lambda marks, most, kind: points.alias("p").join(marks.alias("m"), (F.col("p.page") == F.col("m.page")) & (g.distance(g.point(F.col("p.x"), F.col("p.y")), g.point(F.col("m.x"), F.col("m.y"))) <= most), "left_semi").select("p.*").withColumn("by", F.lit(kind))
+def near_marks(points: DataFrame, arrows: DataFrame, texts: DataFrame, arrow: float = 36.0, text: float = 95.0, others: bool = False) -> DataFrame:
+    """points(page, id, x, y) with what speaks for them: an arrow (page, x, y) within 36, else a text within 95; others are left out. With others, texts have ids and none speaks for itself."""
+    near = lambda marks, most, kind, apart=F.lit(True): points.alias("p").join(marks.alias("m"), (F.col("p.page") == F.col("m.page")) & (g.distance(g.point(F.col("p.x"), F.col("p.y")), g.point(F.col("m.x"), F.col("m.y"))) <= most) & apart, "left_semi").select("p.*").withColumn("by", F.lit(kind))
     first = near(arrows, arrow, "arrow")
-    return first.unionByName(near(texts, text, "text").join(first.select("page", "id"), ["page", "id"], "left_anti"))
+    return first.unionByName(near(texts, text, "text", F.col("p.id") != F.col("m.id") if others else F.lit(True)).join(first.select("page", "id"), ["page", "id"], "left_anti"))
 
 
 def reserved(strokes: DataFrame, arrows: DataFrame, slack: float = 3.0) -> DataFrame:

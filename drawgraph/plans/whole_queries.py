@@ -1,0 +1,81 @@
+"""Queries over all strokes and labels, where the query of the same name without _whole (and its SQL) takes some of their ids only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..operators import assembly, leaders, spatial
+from ..sources import tables as t
+from .registry import query
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("stroke_id")
+    return spatial.ends(t.thin_strokes(spark, sf_dir)).select("page", k.alias("id"), "a", "b", (k % 97).cast("double").alias("offset"), (k % 50).cast("double").alias("value"))
+
+
+@query()
+def line_crossings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G06, G10"""
+    a = spatial.ends(t.axis_strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("axis_id"), "a", "b")
+    b = spatial.ends(t.thin_strokes(spark, sf_dir), "c", "d").select("page", F.col("stroke_id").alias("thin_id"), "c", "d")
+    args = [F.col(k) for k in "abcd"]
+    return a.join(b, "page").select("page", "axis_id", "thin_id", (g.cross(*args) == 0).alias("parallel"), g.lines_meet_at(*args).alias("at"))
+
+
+@query()
+def overlapping_dimensions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10, R02, G12"""
+    return spatial.overlapping_intervals(_lines(spark, sf_dir), "id").drop("shared")
+
+
+@query()
+def covered_dimensions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11, R04"""
+    pairs = spatial.nested_intervals(_lines(spark, sf_dir)).filter("inner_value < outer_value")
+    return pairs.groupBy("page", F.col("inner_id").alias("id")).agg(F.max("outer_id").alias("conflict_with"), F.count(F.lit(1)).alias("covers"))
+
+
+@query()
+def parallel_nested_dimensions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J12"""
+    return spatial.parallel_nested(_lines(spark, sf_dir))
+
+
+@query()
+def extension_strokes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J19"""
+    pipes = spatial.ends(t.axis_strokes(spark, sf_dir), "c", "d").select("page", "stroke_id", "c", "d")
+    return leaders.extension_strokes(spatial.ends(t.thin_strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("dim_id"), "a", "b"), pipes)
+
+
+@query()
+def first_ray_hits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G08, J22, J23"""
+    rays = t.thin_strokes(spark, sf_dir).select("page", F.col("stroke_id").alias("ray_id"), g.point(F.col("x0"), F.col("y0")).alias("o"))
+    edges = spatial.ends(t.axis_strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("edge_id"), "a", "b")
+    hit = g.ray_hit(F.col("o"), g.point(F.lit(1.0), F.lit(0.0)), F.col("a"), F.col("b"), 2000.0)
+    found = rays.join(edges, "page").select("page", "ray_id", "edge_id", hit.alias("h")).filter("h is not null")
+    return spatial.ranked(found, ["page", "ray_id"], F.col("h.distance"), F.col("edge_id")).select("page", "ray_id", "edge_id", (F.col("h.distance") + 0.0).alias("far"))
+
+
+@query()
+def crossing_legs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J24"""
+    return spatial.crossing_legs(spatial.ends(t.strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("id"), "a", "b"))
+
+
+@query()
+def near_marks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label, with all others as texts."""
+    d = t.dims(spark, sf_dir).select("page", F.col("dim_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return spatial.near_marks(d, t.axis_strokes(spark, sf_dir).select("page", F.col("x0").alias("x"), F.col("y0").alias("y")), d, others=True)
+
+
+@query()
+def merged_results_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U01, U05"""
+    d = t.dims(spark, sf_dir).select(F.lit("dimension").alias("kind"), F.col("dim_id").alias("id"), "page", "value_mm")
+    return assembly.merged_results(d, t.strokes(spark, sf_dir).select(F.lit("stroke").alias("kind"), F.col("stroke_id").alias("id"), "page", "linewidth"))
