@@ -48,9 +48,11 @@ def count_words(squeezed: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset, as in tests on one machine, a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset and there is one machine, as in tests, a temporary one."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="spark-drawgraph-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
@@ -65,10 +67,15 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    collect_garbage(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more. Listeners may hold the last query for a moment after it ended."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that settle() wrote and that nothing reads any more."""
     spark = df.sparkSession

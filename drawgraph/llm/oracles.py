@@ -97,39 +97,42 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+def _micro(x: str) -> str:
+    return f"cast(round(log10(greatest({x}, 1)) * 1e6) as bigint)"
+
+
 LM_SCORING = rf"""
 with w as (
   select doc_id, {_WORDS} as w from documents
 ), words as (
   select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from w
-), pairs as (
-  select doc_id, word, i, lag(word) over (partition by doc_id order by i) as before from words
-), c1 as (
-  select word, count(*) as n from words group by word
-), o1 as (
-  select doc_id, word, count(*) as n from words group by doc_id, word
-), c2 as (
-  select before, word, count(*) as n from pairs where i > 1 group by before, word
-), o2 as (
-  select doc_id, before, word, count(*) as n from pairs where i > 1 group by doc_id, before, word
-), alone as (
-  select o1.doc_id, o1.word, c1.n - o1.n as n from o1 join c1 using (word)
-), joint as (
-  select o2.doc_id, o2.before, o2.word, c2.n - o2.n as n from o2 join c2 using (before, word)
+), grams as (
+  select doc_id, word, i, case when i > 1 then lag(word) over at || ' ' || word end as pair, case when i > 2 then lag(word, 2) over at || ' ' || lag(word) over at || ' ' || word end as triple
+  from words window at as (partition by doc_id order by i)
+), every as (
+  select doc_id, word as gram from grams union all select doc_id, pair from grams where i > 1 union all select doc_id, triple from grams where i > 2
+), own as (
+  select doc_id, gram, count(*) as n from every group by doc_id, gram
+), total as (
+  select gram, sum(n) as n from own group by gram
+), away as (
+  select doc_id, gram, total.n - own.n as n from own join total using (gram)
 ), size as (
   select doc_id, count(*) as n from words group by doc_id
-), micro as (
-  select p.doc_id, p.i, coalesce(j.n, 0) as n2,
-         cast(round(log10(greatest(j.n, 1)) * 1e6) as bigint) as l2, cast(round(log10(greatest(b.n, 1)) * 1e6) as bigint) as lb,
-         cast(round(log10(greatest(a.n, 1)) * 1e6) as bigint) as l1, cast(round(log10(greatest((select count(*) from words) - s.n, 1)) * 1e6) as bigint) as ln
-  from pairs p join size s on s.doc_id = p.doc_id join alone a on a.doc_id = p.doc_id and a.word = p.word
-  left join alone b on b.doc_id = p.doc_id and b.word = p.before left join joint j on j.doc_id = p.doc_id and j.word = p.word and j.before = p.before
+), placed as (
+  select g.doc_id, g.i, a1.n as n1, coalesce(a2.n, 0) as n2, coalesce(a3.n, 0) as n3, (select count(*) from words) - s.n as rest
+  from grams g join size s using (doc_id) join away a1 on a1.doc_id = g.doc_id and a1.gram = g.word
+  left join away a2 on a2.doc_id = g.doc_id and a2.gram = g.pair left join away a3 on a3.doc_id = g.doc_id and a3.gram = g.triple
+), context as (
+  select *, lag(n1) over at as b1, lag(n2) over at as b2 from placed window at as (partition by doc_id order by i)
+), logs as (
+  select doc_id, i, n2, n3, {_micro("n1")} - {_micro("rest")} as l1, {_micro("n2")} - {_micro("b1")} as l2, {_micro("n3")} - {_micro("b2")} as l3, cast(round(log10(0.4) * 1e6) as bigint) as step from context
 ), summed as (
-  select doc_id, count(*) as n_words, count(*) filter (n2 > 0) as n_seen,
-         sum(case when i = 1 then l1 - ln when n2 > 0 then l2 - lb else cast(round(log10(0.4) * 1e6) as bigint) + l1 - ln end) as log_micro
-  from micro group by doc_id
+  select doc_id, count(*) as n_words, count(*) filter (n2 > 0) as n_seen, count(*) filter (n3 > 0) as n_full,
+         sum(case when n3 > 0 then l3 else case when i > 2 then step else 0 end + case when n2 > 0 then l2 else case when i > 1 then step else 0 end + l1 end end) as log_micro
+  from logs group by doc_id
 )
-select d.doc_id, cast(coalesce(n_words, 0) as bigint) as n_words, cast(coalesce(n_seen, 0) as bigint) as n_seen, cast(coalesce(log_micro, 0) as bigint) as log_micro,
+select d.doc_id, cast(coalesce(n_words, 0) as bigint) as n_words, cast(coalesce(n_seen, 0) as bigint) as n_seen, cast(coalesce(n_full, 0) as bigint) as n_full, cast(coalesce(log_micro, 0) as bigint) as log_micro,
        case when n_words > 0 then cast(cast(log_micro as bigint) as double) / 1e6 / cast(n_words as double) else 0.0::double end as log_score
 from w d left join summed s on s.doc_id = d.doc_id
 """

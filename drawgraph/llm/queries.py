@@ -28,7 +28,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_seen", "log_micro", "log_score")
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_seen", "n_full", "log_micro", "log_score")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
