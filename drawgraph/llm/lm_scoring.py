@@ -45,7 +45,7 @@ ORDER = 3
 #: Bits of an n-gram's number: of ten thousand million different n-grams, one in seven million shares its number with another.
 HASH_BITS = 56
 #: Bytes of text in a batch, n-grams that a range of the count table gets from all batches, about, and partitions of ranges at most.
-BATCH_BYTES, RANGE_GRAMS, MOST_PARTITIONS = 8 * 1024 * 1024, 2_000_000, 20_000
+BATCH_BYTES, RANGE_GRAMS, MOST_PARTITIONS = 5 * 1024 * 1024, 2_000_000, 20_000
 
 
 class _Hashes(dict):
