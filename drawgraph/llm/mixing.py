@@ -13,7 +13,7 @@ ever sorted in one place.
 Defined results: a null text has size 0; null is a source of its own, ordered last; documents without
 words are never taken and cost nothing; rows that repeat an id are placed by id, then text, and rows equal in
 both in any order, as they are alike; an empty table gives an empty result; further columns pass through
-untouched, but for those named like the operator's own, which are replaced.
+untouched, text only where it is asked for, but for those named like the operator's own, which are replaced.
 """
 
 from __future__ import annotations
@@ -54,10 +54,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tupl
     return pool.withColumn("target", F.when(full, (F.col("source_size") * most).cast("double")).otherwise(level))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
-    """docs(doc_id, text, source, ...) with size, source_size, target, finish (of the first copy) and taken."""
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tuple[int, int] = (3, 2), most: int = 2, keep_text: bool = False) -> DataFrame:
+    """docs(doc_id, text, source, ...) with size, source_size, target, finish (of the first copy) and taken; with keep_text also text, which is then shuffled once."""
     own = ["size", "source_size", "target", "finish", "taken"]
-    kept = [c for c in docs.columns if c not in (*own, "text", "doc_id", "source")]
+    kept = [c for c in docs.columns if c not in (*own, "doc_id", "source") and (keep_text or c != "text")]
     size = count_words(squeeze(F.col("text"), SPACES))
     rows = docs.select("doc_id", "source", *kept, size.alias("size"), key_of(F.col("text")).alias("__key"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__order"))
     rows = settle(rows, "sized")

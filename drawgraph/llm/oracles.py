@@ -107,8 +107,8 @@ with w as (
 ), words as (
   select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from w
 ), grams as (
-  select doc_id, word, i, case when i > 1 then lag(word) over at || ' ' || word end as pair, case when i > 2 then lag(word, 2) over at || ' ' || lag(word) over at || ' ' || word end as triple
-  from words window at as (partition by doc_id order by i)
+  select doc_id, word, i, case when i > 1 then lag(word) over ordered || ' ' || word end as pair, case when i > 2 then lag(word, 2) over ordered || ' ' || lag(word) over ordered || ' ' || word end as triple
+  from words window ordered as (partition by doc_id order by i)
 ), every as (
   select doc_id, word as gram from grams union all select doc_id, pair from grams where i > 1 union all select doc_id, triple from grams where i > 2
 ), own as (
@@ -124,7 +124,7 @@ with w as (
   from grams g join size s using (doc_id) join away a1 on a1.doc_id = g.doc_id and a1.gram = g.word
   left join away a2 on a2.doc_id = g.doc_id and a2.gram = g.pair left join away a3 on a3.doc_id = g.doc_id and a3.gram = g.triple
 ), context as (
-  select *, lag(n1) over at as b1, lag(n2) over at as b2 from placed window at as (partition by doc_id order by i)
+  select *, lag(n1) over ordered as b1, lag(n2) over ordered as b2 from placed window ordered as (partition by doc_id order by i)
 ), logs as (
   select doc_id, i, n2, n3, {_micro("n1")} - {_micro("rest")} as l1, {_micro("n2")} - {_micro("b1")} as l2, {_micro("n3")} - {_micro("b2")} as l3, cast(round(log10(0.4) * 1e6) as bigint) as step from context
 ), summed as (

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import key_of, settle
 
 #: Slots of the feature hash; slot 0 is the constant.
 SLOTS = 2**18
@@ -57,9 +57,9 @@ class Known(dict):
 class Leader:
     """FTRL-proximal with per-slot rates: weights are exact zeros until their evidence exceeds l1. Slot 0 is not regularised."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, slots: int = SLOTS):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros(SLOTS), np.zeros(SLOTS)
+        self.z, self.n = np.zeros(slots), np.zeros(slots)
 
     def weights(self, slots: np.ndarray | None = None) -> np.ndarray:
         z, n = (self.z, self.n) if slots is None else (self.z[slots], self.n[slots])
@@ -82,13 +82,22 @@ def sigmoid(x: float) -> float:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_ROWS) -> DataFrame:
     """(doc_id, text, y) of labelled documents that are not held out: a document is if the CRC-32 of its id as text leaves 1 when divided by 3.
 
-    The sample is drawn from the labels, by hash of the id, so it is bounded before it meets a text; no text is shuffled for it."""
+    The sample is drawn by hash, first from the labels, so that few texts are read for it, then from different rows of the documents that
+    they name, as many may share an id: at most about most rows in all, however often rows repeat. No other text is shuffled."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     known = settle(known.groupBy("id").agg(F.max("y").alias("y")), "known")
     n = known.count()
     if n > most:
-        known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
+        known = known.filter(F.pmod(F.xxhash64("id"), F.lit(_PARTS)) < _PARTS * most // n)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", key_of(F.col("text")).alias("key"), "text", "y")
+    keys = settle(rows.select("doc_id", "key").distinct(), "keys")
+    n = keys.count()
+    if n > most:
+        rows = rows.filter(F.pmod(F.xxhash64("key", "doc_id"), F.lit(_PARTS)) < _PARTS * most // n)
+    return rows.groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("y").alias("y")).select("doc_id", "text", "y")
+
+
+_PARTS = 10**15
 
 
 def held_out(doc_id: Column) -> Column:

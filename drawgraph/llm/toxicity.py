@@ -12,7 +12,7 @@ they are found at all, are marks; few, several or many words with a mark make gr
 Fitted on a bounded sample of labelled rows that are not held out; every row is scored, in its place,
 without a shuffle. Defined results: null, empty and wordless texts get the constant's severity; labels
 other than 0 and 1 are ignored, and of several for one id the largest counts; without any label severity
-is that of even thresholds; repeated rows are scored alike; an empty table gives an empty result; further
+is that of even thresholds; repeated rows are scored alike and count once in training; an empty table gives an empty result; further
 columns pass through, those named like the operator's own are replaced.
 """
 
@@ -126,10 +126,14 @@ def _score(batches: Iterator[pa.RecordBatch], model, schema: pa.Schema, cut: flo
         yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in schema], schema=schema)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict[int, float]:
+    """Weights by slot, and thresholds by slots below 0."""
+    return fit_in_a_task(training_rows(docs, labels, "toxic", most), fit)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, cut: float = CUT, keep_text: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) with severity (the expected grade), p_toxic (chance of a grade above 0), grade (the median) and toxic."""
-    found = fit_in_a_task(training_rows(docs, labels, "toxic", most), fit)
-    model = docs.sparkSession.sparkContext.broadcast(found)  # SLOTS weights at most
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, most))  # SLOTS weights at most
     own = [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
     schema = T.StructType([f for f in docs.schema.fields if f.name not in {x.name for x in own} and (keep_text or f.name != "text")] + own)
     return short_batches(docs).mapInArrow(partial(_score, model=model, schema=to_arrow_schema(schema), cut=cut), schema)

@@ -13,9 +13,11 @@ pages, not the decision, are many.
 Bundles have a new name for every attempt at a task. The index is written by Spark and names only the
 bundles of attempts that succeeded, so a lost executor leaves at most files that nothing refers to.
 
-Defined results: a null payload is empty; pages without an id are revisits of the smallest id, or
+Defined results: a page of any size is one record, alone in its frame if it is longer than FRAME; a null payload is empty; pages without an id are revisits of the smallest id, or
 responses where no page of their payload has one; rows that repeat both payload and smallest id are all
-responses; null and odd addresses are left out or percent-encoded; an empty table gives an empty index.
+responses, with one record id, as an id names its page; null and odd addresses are left out or
+percent-encoded; only page_id, url and html are archived, further columns of any name are not; an empty
+table gives an empty index.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from .common import settle, shared_dir, short_batches
 #: Bytes of records in a frame before compression, and of frames in a bundle after it.
 FRAME, BUNDLE = 256 * 1024, 256 * 1024 * 1024
 LEVEL = 3
+#: Frames that a task reads, about.
+TASK_FRAMES = 1000
 
 # Fixed values of the formats
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -48,6 +52,12 @@ DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id long, record_type string, bundle string, frame long, frame_at long, frame_bytes long, at long, length long"
 
 
+def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a file in the shared folder; Hadoop's names of S3 are known by the plain one there."""
+    scheme, _, rest = uri.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -119,7 +129,7 @@ class _Writer:
             return
         if self.out is None:
             self.name = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
-            fs, path = pyarrow.fs.FileSystem.from_uri(self.name)
+            fs, path = _store(self.name)
             fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
             self.out, self.place, self.sizes = fs.open_output_stream(path, compression=None), 0, []
         frame = self.packer.compress(b"".join(x[2] for x in self.waiting))
@@ -176,7 +186,7 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, lis
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for row in sorted(batch.to_pylist(), key=lambda r: (r["bundle"], r["frame_at"])):
-            fs, path = pyarrow.fs.FileSystem.from_uri(row["bundle"])
+            fs, path = _store(row["bundle"])
             with fs.open_input_file(path) as f:
                 f.seek(row["frame_at"])
                 yield row["bundle"], unpack.decompress(f.read(row["frame_bytes"])), row.get("wanted")
@@ -205,13 +215,19 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
+def _dealt(frames: DataFrame) -> DataFrame:
+    """Frames over as many tasks as their number asks for: their rows are short, what they stand for is not."""
+    least = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frames.repartition(max(least, frames.count() // TASK_FRAMES + 1), "bundle", "frame_at")
+
+
 def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the frames that an index names, digests checked against payloads."""
-    frames = index.select("bundle", "frame_at", "frame_bytes").distinct()
+    frames = _dealt(index.select("bundle", "frame_at", "frame_bytes").distinct())
     return frames.mapInArrow(partial(_read, payloads=payloads), RECORDS)
 
 
 def fetch(index: DataFrame, payloads: bool = True) -> DataFrame:
     """Only the records that the index rows name: one read for each frame, the records at their offsets in it."""
     frames = index.groupBy("bundle", "frame_at", "frame_bytes").agg(F.sort_array(F.collect_list("at")).alias("wanted"))
-    return frames.mapInArrow(partial(_read, payloads=payloads), RECORDS)
+    return _dealt(frames).mapInArrow(partial(_read, payloads=payloads), RECORDS)
