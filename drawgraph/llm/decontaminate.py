@@ -5,13 +5,14 @@ word, the length of the longest item passage that ends there. A length of WINDOW
 an item; items shorter than that count as a whole. Hit words join into spans, and spans are cut from the
 text, or the document goes where they cover too much of it.
 
-At scale: documents are only mapped, never shuffled. Items are split into blocks of at most BLOCK_WORDS
-words (long items into overlapping pieces), which bounds what is broadcast; further blocks are further
-passes over the documents, each adding to what the pass before found.
+At scale: documents are only mapped. Items are split into blocks of about BLOCK_WORDS words (long items
+into overlapping pieces), and one block's automaton is held at a time. Where there is more than one, each
+block is a pass over the documents that writes what it found; the findings then meet the documents by id and
+hash of the text, for which texts are shuffled once.
 
 Defined results: a null text has no words, and a null or wordless item no windows; rows that share an
 item_id are one item; an item without an id is called ''; rows that repeat a doc_id are judged each by
-itself; empty tables give empty or clean results; further columns pass through, those named like the
+itself; a text of any length is walked through once; empty tables give empty or clean results; further columns pass through, those named like the
 operator's own are replaced.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import NON_WORD, WORD_BYTES, count_words, lower_ascii, short_batches, squeeze
+from .common import NON_WORD, WORD_BYTES, count_words, key_of, lower_ascii, settle, short_batches, squeeze
 
 #: Words of a window.
 WINDOW = 10
@@ -137,65 +138,89 @@ class Automaton:
         return spans, found
 
 
-def _pass(batches: Iterator[pa.RecordBatch], held, names: list[str], window: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _pass(batches: Iterator[pa.RecordBatch], held, names: list[str], window: int, schema: pa.Schema, hits_only: bool) -> Iterator[pa.RecordBatch]:
     automaton = held.value
     for batch in batches:
         n_words, spans, items = [], [], []
-        before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if "spans" in batch.schema.names else None
         for text in batch.column("text").cast(pa.binary()):
             words = (text.as_py() or b"").translate(WORD_BYTES).split()
             hit, found = automaton.scan(words, window)
-            old_spans, old_items = next(before) if before else ([], [])
             n_words.append(len(words))
-            spans.append([{"first": a, "end": b} for a, b in hit] + old_spans)
-            items.append(sorted({names[i] for i in found}.union(old_items)))
+            spans.append([{"first": a, "end": b} for a, b in hit])
+            items.append(sorted(names[i] for i in found))
         made = {"n_words": n_words, "spans": spans, "items": items}
-        yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in schema], schema=schema)
+        out = pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in schema], schema=schema)
+        yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if hits_only else out
 
 
 def blocks_of(items: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items' words, block_words at a time, about; an item over block_words comes in pieces that share window - 1 words."""
-    words = F.split(squeeze(lower_ascii(F.col("text")), NON_WORD), " ")
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), words.alias("w"), count_words(squeeze(lower_ascii(F.col("text")), NON_WORD)).alias("n")).filter("n > 0")
+    """The items' words, block_words at a time, about; an item over block_words comes in pieces that share window - 1 words. Equal pieces come once, so those that share an id are spread."""
+    flat = squeeze(lower_ascii(F.col("text")), NON_WORD)
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.split(flat, " ").alias("w"), count_words(flat).alias("n")).filter("n > 0")
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("n") - window + 1).cast("int")), F.lit(block_words))))
-    rows = rows.select("id", "at", F.slice("w", F.col("at"), F.lit(block_words + window - 1)).alias("w")).withColumn("size", F.size("w"))
+    rows = settle(rows.select("id", "at", F.slice("w", F.col("at"), F.lit(block_words + window - 1)).alias("w")).distinct().withColumn("size", F.size("w")), "items")
     total = rows.agg(F.sum("size")).first()[0] or 0
     count = -(-total // block_words)
     for k in range(count):
-        part = rows.filter(F.pmod(F.xxhash64("id", "at"), F.lit(count)) == k) if count > 1 else rows
+        part = rows.filter(F.pmod(F.xxhash64("id", "at", "w"), F.lit(count)) == k) if count > 1 else rows
         yield [(r["id"], [w.encode() for w in r["w"]]) for r in part.select("id", "w").toLocalIterator()]
 
 
+def _automaton(block: list[tuple[str, list[bytes]]], window: int) -> tuple[Automaton, list[str]]:
+    names = sorted({name for name, _ in block})
+    place = {name: i for i, name in enumerate(names)}
+    return Automaton([(place[name], words) for name, words in block], window), names
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of several blocks made disjoint, in order."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            merged: list[dict] = []
+            for x in sorted(spans or (), key=lambda x: (x["first"], x["end"])):
+                if merged and x["first"] <= merged[-1]["end"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], x["end"])
+                else:
+                    merged.append(x)
+            out.append(merged)
+        i = batch.schema.get_field_index("spans")
+        yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type))
+
+
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep_text: bool = True, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs(doc_id, text, ...) with n_words, spans (of hit words, from 0, merged within a block) and items (ids, sorted)."""
+    """docs(doc_id, text, ...) with n_words, spans (of hit words, from 0, disjoint and in order) and items (ids, sorted)."""
+    spark = docs.sparkSession
     out = short_batches(docs).drop(*_OWN)
+    words = count_words(squeeze(lower_ascii(F.col("text")), NON_WORD))
+    fields = [f for f in out.schema.fields if keep_text or f.name != "text"]
+    own = [T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
     blocks = blocks_of(items, window, block_words)
-    block = next(blocks, None)
+    block, more = next(blocks, None), next(blocks, None)
     if block is None:
-        words = count_words(squeeze(lower_ascii(F.col("text")), NON_WORD))
         out = out.withColumns({"n_words": words, "spans": F.array().cast(_SPANS), "items": F.array().cast("array<string>")})
         return out if keep_text else out.drop("text")
+    if more is None:
+        automaton, names = _automaton(block, window)
+        schema = T.StructType([*fields, *own])
+        return out.mapInArrow(partial(_pass, held=spark.sparkContext.broadcast(automaton), names=names, window=window, schema=to_arrow_schema(schema), hits_only=False), schema)
+    # Several blocks: one pass each, whose few findings are written before the next automaton is made. Rows equal in id and text have equal findings.
+    thin = T.StructType([out.schema["doc_id"], T.StructField("__key", T.LongType()), *own[1:]])
+    rows = out.select("doc_id", key_of(F.col("text")).alias("__key"), "text")
+    parts = []
     while block is not None:
-        names = sorted({name for name, _ in block})
-        place = {name: i for i, name in enumerate(names)}
-        automaton = Automaton([(place[name], words) for name, words in block], window)
-        block = next(blocks, None)
-        fields = [f for f in out.schema.fields if f.name not in _OWN and (keep_text or block is not None or f.name != "text")]
-        schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
-        out = out.mapInArrow(partial(_pass, held=docs.sparkSession.sparkContext.broadcast(automaton), names=names, window=window, schema=to_arrow_schema(schema)), schema)
-    return out
-
-
-def merged(spans: Column) -> Column:
-    """Spans of several blocks as disjoint spans."""
-    start = F.struct(F.array().cast(_SPANS).alias("done"), F.lit(None).cast("struct<first:bigint,end:bigint>").alias("open"))
-
-    def step(a, x):
-        joins = x["first"] <= a["open"]["end"]
-        grown = F.struct(a["open"]["first"].alias("first"), F.greatest(a["open"]["end"], x["end"]).alias("end"))
-        return F.when(a["open"].isNull(), F.struct(a["done"].alias("done"), x.alias("open"))).when(joins, F.struct(a["done"].alias("done"), grown.alias("open"))).otherwise(F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), x.alias("open")))
-
-    return F.aggregate(F.array_sort(spans), start, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+        automaton, names = _automaton(block, window)
+        held = spark.sparkContext.broadcast(automaton)
+        hits = rows.mapInArrow(partial(_pass, held=held, names=names, window=window, schema=to_arrow_schema(thin), hits_only=True), thin)
+        parts.append(settle(hits.groupBy("doc_id", "__key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "hits"))
+        held.destroy()
+        block, more = more, next(blocks, None)
+    found = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "__key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    a, b = out.withColumn("__key", key_of(F.col("text"))).alias("a"), found.alias("b")
+    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__key") == F.col("b.__key")), "left")
+    empty = {"spans": F.array().cast(_SPANS), "items": F.array().cast("array<string>")}
+    joined = joined.select(*[F.col(f"a.`{f.name}`") for f in fields], count_words(squeeze(lower_ascii(F.col("a.text")), NON_WORD)).alias("n_words"), *[F.coalesce(F.col(f"b.{c}"), x).alias(c) for c, x in empty.items()])
+    return joined.mapInArrow(_union, joined.schema)
 
 
 def n_hit(spans: Column) -> Column:
@@ -223,6 +248,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_covered: float = MOST_COVERED) -> DataFrame:
     """docs without item passages: hit spans are cut from the texts; documents of which most_covered or more is hit are gone. Clean texts stay as they are."""
-    found = find_overlaps(docs, items, window).withColumn("spans", merged(F.col("spans")))
+    found = find_overlaps(docs, items, window)
     left = found.filter(~((n_hit(F.col("spans")) > 0) & (n_hit(F.col("spans")) >= most_covered * F.col("n_words"))))
     return left.mapInArrow(_cut, left.schema).select(*docs.columns)

@@ -6,13 +6,15 @@ by start, then by length, level and rule order, and one fold keeps the reach of
 that lies within an earlier one of its own or a stronger level is suppressed. There is no shuffle, and
 nothing is held but a row's own matches.
 
-Defined results: a null text has no words and no labels; repeated rows are scanned each by itself; an empty
+Defined results: a null text has no words and no labels; a long text with many matches takes time in
+proportion to them, but for their sorting; repeated rows are scanned each by itself; an empty
 table gives an empty result; columns named like the operator's own are replaced, others pass through, the
 text excepted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import groupby
 
@@ -25,6 +27,9 @@ from .license_rules import BASE, GATES, build
 #: Score by the strongest level that stays.
 SCORES = {1: 1.0, 2: 0.8, 3: 0.5}
 
+#: Matches that are laid out in one fold.
+PIECE = 256
+
 _SPAN = "array<struct<start:int,back:int,level:int,ord:int,end:int,label:string>>"
 
 
@@ -38,16 +43,31 @@ def _rules() -> Column:
     return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*[F.struct(F.lit(label).alias("label"), F.lit(level).alias("level"), F.lit(f"(?<= )(?:{rx})(?= )").alias("rx"), F.lit(i).alias("ord")) for label, level, _, rx, i in own]).alias("rules")) for k, own in groupby(sorted(rules, key=lambda r: r[2]), key=lambda r: r[2])])
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _matches(text: Column, rule: Column) -> Column:
-    """Intervals of all matches of a rule: what stands between matches and the matches themselves, laid end to end."""
-    parts = F.zip_with(F.split(text, rule["rx"]), F.regexp_extract_all(text, rule["rx"], F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
+    """Intervals of all matches of a rule: what stands between matches and the matches themselves, laid end to end.
+
+    A fold copies what it has gathered at every step, so matches are laid in pieces of PIECE, each from where the pieces before end."""
 
     def lay(a, x):
         start = a["at"] + x["gap"]
         span = F.struct(start.cast("int").alias("start"), (-x["hit"]).cast("int").alias("back"), rule["level"].alias("level"), rule["ord"].alias("ord"), (start + x["hit"]).cast("int").alias("end"), rule["label"].alias("label"))
         return F.struct((start + F.coalesce(x["hit"], F.lit(0))).cast("int").alias("at"), F.when(x["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(span))).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), lay, lambda a: a["out"])
+    def laid(piece, at):
+        return F.aggregate(piece, F.struct(at.cast("int").alias("at"), F.array().cast(_SPAN).alias("out")), lay, lambda a: a["out"])
+
+    def starts(pieces):
+        sizes = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda a, x: (a + x["gap"] + F.coalesce(x["hit"], F.lit(0))).cast("int")))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array((F.element_at(a, -1) + n).cast("int"))), lambda a: F.slice(a, 1, F.size(a) - 1))
+
+    parts = F.zip_with(F.split(text, rule["rx"]), F.regexp_extract_all(text, rule["rx"], F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
+    pieces = _once(parts, lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(PIECE)), lambda i: F.slice(p, i + 1, F.lit(PIECE))))
+    return _once(pieces, lambda ps: F.flatten(F.zip_with(ps, starts(ps), laid)))
 
 
 def _settled(spans: Column) -> Column:

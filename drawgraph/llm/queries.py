@@ -13,7 +13,7 @@ from .quality_rules import apply_quality_rules
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
-    hit = decontaminate.n_hit(decontaminate.merged(F.col("spans")))
+    hit = decontaminate.n_hit(F.col("spans"))
     found = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 

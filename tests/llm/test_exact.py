@@ -117,12 +117,26 @@ def test_decontaminate(spark):
     it = spark.createDataFrame(items, "item_id long, text string")
     want = brute_overlaps(texts, items)
     for block in (10**6, 13):  # one automaton; many, with items in pieces
-        got = decontaminate.find_overlaps(df, it, block_words=block).withColumn("spans", decontaminate.merged(F.col("spans"))).withColumn("h", decontaminate.n_hit(F.col("spans"))).collect()
+        got = decontaminate.find_overlaps(df, it, block_words=block).withColumn("h", decontaminate.n_hit(F.col("spans"))).collect()
         assert sorted((r.doc_id, r.n_words, r.h, r["items"]) for r in got) == [(i, *w) for i, w in enumerate(want)]
+        assert all(a.end < b.first for r in got for a, b in zip(r.spans, r.spans[1:]))
     clean = decontaminate.find_overlaps(df, it.limit(0)).collect()
     assert {r.doc_id: r.n_words for r in clean} == {i: w[0] for i, w in enumerate(want)}
 
 
+def test_decontaminate_in_blocks_meets_repeated_rows_and_names(spark):
+    """Items that share an id or have none are spread over blocks; repeated and null ids, a long text and clashing names meet all blocks' findings."""
+    rnd = random.Random(8)
+    item = [" ".join(f"i{k}w{rnd.randint(0, 999)}" for _ in range(30)) for k in range(12)]
+    it = spark.createDataFrame([(None if k % 2 else 7, t) for k, t in enumerate(item)], "item_id long, text string")
+    assert len(list(decontaminate.blocks_of(it, 10, 40))) == 9 and all(b for b in decontaminate.blocks_of(it, 10, 200))
+    long = "filler words " * 50_000 + item[3] + " end"
+    rows = [(1, item[0], 5), (1, item[0], 6), (1, "clean", 7), (None, item[1] + " and " + item[2], 8), (None, None, 9), (2, long, 10)]
+    df = spark.createDataFrame([(i, t, n, n) for i, t, n in rows], "doc_id long, text string, items long, other long")
+    got = sorted(((r.other, r.n_words, sum(x.end - x.first for x in r.spans), r["items"]) for r in decontaminate.find_overlaps(df, it, block_words=40).collect()))
+    assert got == [(5, 30, 30, ["7"]), (6, 30, 30, ["7"]), (7, 1, 0, []), (8, 61, 60, ["", "7"]), (9, 0, 0, []), (10, 100_031, 30, [""])]
+
+
 def test_decontaminated_texts(spark):
     item = "one two three four five six seven eight nine ten eleven"
     texts = ["Start here, it is long enough to stay: " + item.upper() + "! And more words that are the document's own.", item, "nothing of it", None]

@@ -78,3 +78,10 @@ def test_alternatives_are_found(spark):
     texts = ["may not be copied or reproduced without the prior written permission", "may not be published without consent", "the apache software license", "end user licence agreement", "an open rail m model"]
     got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [(r.labels, r.score) for r in sorted(got)] == [("proprietary", 1.0), ("proprietary", 1.0), ("apache", 0.5), ("eula", 0.5), ("openrail-m", 0.8)]
+
+
+def test_many_matches_in_one_text(spark):
+    """Intervals from piece to piece, and a text of 40,000 notices in one row."""
+    texts = ["cc by x " * n for n in (1, 255, 256, 257, 40_000)]
+    got = sorted(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [(r.n_found, r.n_base, r.last_word, r.labels) for r in got] == [(n, n, 3 * (n - 1), "cc-by") for n in (1, 255, 256, 257, 40_000)]
