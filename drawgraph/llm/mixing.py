@@ -55,9 +55,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tupl
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tuple[int, int] = (3, 2), most: int = 2, keep_text: bool = False) -> DataFrame:
-    """docs(doc_id, text, source, ...) with size, source_size, target, finish (of the first copy) and taken; with keep_text also text, which is then shuffled once."""
+    """docs(doc_id, text, source, ...) with size, source_size, target, finish (of the first copy) and taken; with keep_text also text."""
     own = ["size", "source_size", "target", "finish", "taken"]
-    kept = [c for c in docs.columns if c not in (*own, "doc_id", "source") and (keep_text or c != "text")]
+    if keep_text:  # rows get numbers, are mixed without their texts, and meet them again by number: texts are shuffled once, and no number repeats
+        whole = settle(docs.drop(*own, "__row").withColumn("__row", F.monotonically_increasing_id()), "whole")
+        mixed = mix_sources(whole.select("doc_id", "text", "source", "__row"), weights, budget, most)
+        return whole.join(mixed.select("__row", *own), "__row").drop("__row")
+    kept = [c for c in docs.columns if c not in (*own, "doc_id", "source", "text")]
     size = count_words(squeeze(F.col("text"), SPACES))
     rows = docs.select("doc_id", "source", *kept, size.alias("size"), key_of(F.col("text")).alias("__key"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__order"))
     rows = settle(rows, "sized")

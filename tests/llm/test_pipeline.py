@@ -60,9 +60,30 @@ def test_stages(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in last.values() if r.text is not None)
     mixed = seen["mix"]
     assert sorted(r.doc_id for r in mixed) == sorted(last) and all(r.taken <= 2 * r["size"] for r in mixed)
+    assert all(r.text == last[r.doc_id].text and r["size"] == len((r.text or "").split()) for r in mixed)
     assert abs(sum(r.taken for r in mixed) - 1.5 * sum(r["size"] for r in mixed)) < 400
 
 
+def test_run_on_clashing_columns_and_repeated_rows(spark, tmp_path):
+    """run() itself: rows that repeat, null ids, and columns named like the operators' own."""
+    rows, passage, item = corpus(tmp_path, spark)
+    clash = "spans long, items string, fp string, size long, taken string, __row long, copy long, packed string, severity string, root long"
+    extra = (7, "i", "f", 8, "t", 9, 1, "p", "s", 2)
+    more = [(*r, *extra) for r in rows] + [(None, "a text of no id at all, alone in the world", None, None, None, *extra)] * 2
+    spark.createDataFrame(more, f"{COLUMNS}, {clash}").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in got]
+    assert len(ids) == len(set(ids)) and {*range(40), 300, None} <= set(ids) and not set(ids) & {*range(100, 105), *range(200, 205), *range(500, 505), 600}
+    assert all(r["size"] == len((r.text or "").split()) for r in got) and sum(passage in (r.text or "") for r in got) == 1
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_mixing_brute_force(spark):
     import hashlib
 
