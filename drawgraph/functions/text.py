@@ -23,8 +23,8 @@ SHEET_HINT = r"(?iu)(СМ\.?\s*ЛИСТ|СМ\.?\s*SHEET|SEE\s+SHEET|CONTINUATION
 HANDWHEEL_HINT = r"(?iu)(ШТУРВАЛ|РУКОЯТКА|РУКОЯТЬ|РУЧКА|МАХОВИК|КОЛЕСО|ТРОС|РЫЧАГ|HANDWHEEL|WHEEL|HANDLE|CRANK|LEVER)"
 SHEET_NUMBERS = (r"(?iu)(?:ЛИСТ|SHEET)\s*[:№]?\s*(?:№\s*)?(\d+)", r"(?iu)(?:SEE\s+SHEET|CONTINUATION)\s*(?:[A-Z0-9\-_/]+\s+)?(\d+)")
 TIE_IN = ("ПОДКЛЮЧЕНИЕ", "ПОДСОЕДИНЕНИЕ", "ВРЕЗКА", "TIE-IN", "TIE IN", "CONNECTION")
-CONTINUATION = ("СМ.", "ЛИСТ")
-CROSS_SHEET = r"(?iu)ЛИСТ\D{0,3}?(\d+)(?![\dXxХх×])"
+CONTINUATION = ("СМ.", "СМ ", "SEE SHEET", "SEE SHEET ", "CONTINUATION", "ЛИСТ", "SHEET")
+CROSS_SHEET = r"(?iu)ЛИСТ\s*[:№]?\s*(?:№\s*)?(\d+)(?![\dXx×])"
 CALLOUT = r"(^|\s)[ОO]\s*\d+\b"
 CANDIDATE_ID = r"C-\d{3}-\d{4}"
 SHORT_TEXT = 160
@@ -40,9 +40,9 @@ def line_id(c: Column) -> Column:
 
 
 def line_ids(c: Column) -> Column:
-    """Distinct line numbers of a text, sorted, without those of skipped prefixes."""
+    """Distinct line numbers of a text, sorted, without those whose whole prefix is the skipped one."""
     found = F.transform(F.regexp_extract_all(c, F.lit(LINE_ID), F.lit(0)), lambda x: F.replace(x, F.lit("-"), F.lit("_")))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda x: ~x.startswith(SKIPPED_PREFIX))))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: ~x.startswith(f"{SKIPPED_PREFIX}_"))))
 
 
 def line_ids_unspaced(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .spatial import spread
 
 # Distances that results depend on.
 MERGE, REPLACE, ANCHOR = 9.0, 11.0, 22.0
@@ -31,13 +32,13 @@ def merged_hits(hits: DataFrame, radius: float = MERGE) -> DataFrame:
         out["n"] = out["n"].astype(int)
         return out[["page", "vertex", "x", "y", "n"]]
 
-    return hits.groupBy("page").applyInPandas(page, "page int, vertex string, x double, y double, n int")
+    return spread(hits, "page").groupBy("page").applyInPandas(page, "page int, vertex string, x double, y double, n int")
 
 
 def replaced_vertices(source: DataFrame, final: DataFrame, radius: float = REPLACE) -> DataFrame:
-    """The first final vertex within radius of a source vertex takes its place."""
+    """The first by place of the final vertices (page, place, vertex, x, y) within radius of a source vertex takes its place."""
     pairs = source.alias("s").join(final.alias("f"), (F.col("s.page") == F.col("f.page")) & ((F.col("s.x") - F.col("f.x")) * (F.col("s.x") - F.col("f.x")) + (F.col("s.y") - F.col("f.y")) * (F.col("s.y") - F.col("f.y")) <= radius * radius))
-    return pairs.groupBy(F.col("s.page").alias("page"), F.col("s.id").alias("id")).agg(F.min("f.vertex").alias("replaced_by"))
+    return pairs.groupBy(F.col("s.page").alias("page"), F.col("s.id").alias("id")).agg(F.min_by("f.vertex", "f.place").alias("replaced_by"))
 
 
 def anchored(vertices: DataFrame, anchors: DataFrame, radius: float = ANCHOR) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .spatial import spread
 
 # Distances that results depend on.
 SNAP, CLUSTER, COMPONENT_SIZE, COMPONENT_DEGREE = 4.0, 20.0, 40.0, 3
@@ -70,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
         number = rows["page"].iloc[0]
         return pd.DataFrame([(number, *n, *sets.find(n)) for n in list(sets.up)], columns=["page", "x", "y", "root_x", "root_y"])
 
-    return edges.groupBy("page").applyInPandas(page, "page int, x double, y double, root_x double, root_y double")
+    return spread(edges, "page").groupBy("page").applyInPandas(page, "page int, x double, y double, root_x double, root_y double")
 
 
 def component_metrics(nodes: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def snapped_nodes(strokes: DataFrame, radius: float = SNAP) -> DataFrame:
         found["page"], found["x"], found["y"] = rows["page"].iloc[0], np.array(xs)[found["node"]], np.array(ys)[found["node"]]
         return found[["page", "stroke_id", "end", "node", "x", "y"]]
 
-    return strokes.groupBy("page").applyInPandas(page, "page int, stroke_id long, end int, node int, x double, y double")
+    return spread(strokes, "page").groupBy("page").applyInPandas(page, "page int, stroke_id long, end int, node int, x double, y double")
 
 
 def clusters(points: DataFrame, radius: float = CLUSTER) -> DataFrame:
@@ -122,7 +123,7 @@ def clusters(points: DataFrame, radius: float = CLUSTER) -> DataFrame:
         out = [(rows["page"].iloc[0], role, int((root == r).sum()), *xy[root == r].mean(axis=0)) for r in np.unique(root)]
         return pd.DataFrame([o for o in out if role != "endpoint" or o[2] == 1], columns=["page", "role", "n", "x", "y"])
 
-    return points.groupBy("page", "role").applyInPandas(group, "page int, role string, n int, x double, y double")
+    return spread(points, "page").groupBy("page", "role").applyInPandas(group, "page int, role string, n int, x double, y double")
 
 
 def shortest_paths(edges: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
         number = rows["page"].iloc[0]
         return pd.DataFrame([(number, *n, *v) for n, v in best.items()], columns=["page", "x", "y", "distance", "hops"])
 
-    return edges.groupBy("page").applyInPandas(page, "page int, x double, y double, distance double, hops int")
+    return spread(edges, "page").groupBy("page").applyInPandas(page, "page int, x double, y double, distance double, hops int")
 
 
 def rectangles(strokes: DataFrame, least: float = 5.0, most: float = 45.0) -> DataFrame:
@@ -202,7 +203,7 @@ def merged_strokes(strokes: DataFrame, gap: float = 6.0, least: float = 0.97) ->
             out.append((rows["page"].iloc[0], ids[i], sorted(ids[list(seen)].tolist())))
         return pd.DataFrame(out, columns=["page", "stroke_id", "members"])
 
-    return strokes.groupBy("page").applyInPandas(page, "page int, stroke_id long, members array<long>")
+    return spread(strokes, "page").groupBy("page").applyInPandas(page, "page int, stroke_id long, members array<long>")
 
 
 def first_of(c: Column, *order: Column) -> Column:
@@ -245,7 +246,7 @@ def longest_walks(edges: DataFrame) -> DataFrame:
                 out.append((rows["page"].iloc[0], -hops, *one, *two))
         return pd.DataFrame(out, columns=["page", "hops", "from_x", "from_y", "to_x", "to_y"])
 
-    return edges.groupBy("page").applyInPandas(page, "page int, hops int, from_x double, from_y double, to_x double, to_y double")
+    return spread(edges, "page").groupBy("page").applyInPandas(page, "page int, hops int, from_x double, from_y double, to_x double, to_y double")
 
 
 def nearest_tour(points: DataFrame) -> DataFrame:
@@ -261,7 +262,7 @@ def nearest_tour(points: DataFrame) -> DataFrame:
             order.append(at)
         return pd.DataFrame({"page": rows["page"].iloc[0], "id": [ids[i] for i in order], "place": range(len(order))})
 
-    return points.groupBy("page").applyInPandas(page, "page int, id long, place int")
+    return spread(points, "page").groupBy("page").applyInPandas(page, "page int, id long, place int")
 
 
 def coordinate_blocks(labels: DataFrame, column: float = 3.0, step: float = 12.0, most: int = 3) -> DataFrame:
@@ -281,4 +282,4 @@ def coordinate_blocks(labels: DataFrame, column: float = 3.0, step: float = 12.0
         found = [b for b in blocks if len(b["axes"]) >= 2]
         return pd.DataFrame({"page": [rows["page"].iloc[0]] * len(found), "block": range(len(found)), "ids": [b["ids"] for b in found], "axes": [sorted(b["axes"]) for b in found]})
 
-    return labels.groupBy("page").applyInPandas(page, "page int, block int, ids array<long>, axes array<string>")
+    return spread(labels, "page").groupBy("page").applyInPandas(page, "page int, block int, ids array<long>, axes array<string>")

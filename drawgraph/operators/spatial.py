@@ -20,7 +20,7 @@ def ends(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def nearest(points: DataFrame, segments: DataFrame, point: str, key: str, most: float | None = None, strict: bool = False) -> DataFrame:
     """For each row of points(page, ..., point) the nearest of segments(page, key, a, b), least key first where they tie; null if none is within most."""
-    pairs = points.join(segments.select("page", F.col(key).alias("near_id"), "a", "b"), "page", "left")
+    pairs = spread(points, "page").join(spread(segments.select("page", F.col(key).alias("near_id"), "a", "b"), "page"), "page", "left")
     pairs = pairs.withColumn("d2", g.squared_to_segment(F.col(point), F.col("a"), F.col("b")))
     if most is not None:
         within = F.col("d2") < most * most if strict else F.col("d2") <= most * most
@@ -59,30 +59,51 @@ def overlapping_intervals(rows: DataFrame, order: str) -> DataFrame:
 
     rows(page, id, a, b, offset). The shared stretch is over 2, at least 10 and a quarter of the shorter line; lines within 22 of each other's
     offset are one axis; near-equal centres within 32 are repeats."""
-    l, r = rows.alias("l"), rows.alias("r")
+    m = _measured(rows)
+    l, r = m.alias("l"), m.alias("r")
     pairs = l.join(r, (F.col("l.page") == F.col("r.page")) & (F.col(f"l.{order}") < F.col(f"r.{order}")))
-    la, lb, ra, rb = (F.col(c) for c in ("l.a", "l.b", "r.a", "r.b"))
-    one, two = g.interval_on(la, lb, la, lb), g.interval_on(ra, rb, la, lb)
-    shared = F.least(one["high"], two["high"]) - F.greatest(one["low"], two["low"])
-    shorter = F.least(g.distance(la, lb), g.distance(ra, rb))
-    delta = F.abs(F.col("l.offset") - F.col("r.offset"))
-    centres = F.abs((one["low"] + one["high"]) / 2 - (two["low"] + two["high"]) / 2)
-    keep = g.same_direction(la, lb, ra, rb) & (shared > 2) & (delta > 22) & (shared >= F.greatest(F.lit(10.0), 0.25 * shorter)) & ~((centres <= 0.15 * shorter) & (delta <= 32))
-    return pairs.filter(keep).select(F.col("l.page").alias("page"), F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), shared.alias("shared"))
+    low, high, cosine = _along("l", "r")
+    pairs = pairs.select(F.col("l.page").alias("page"), F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), low.alias("low"), high.alias("high"), cosine.alias("cosine"), F.col("l.full").alias("size"), F.least("l.size", "r.size").alias("shorter"), F.abs(F.col("l.offset") - F.col("r.offset")).alias("delta"))
+    shared = F.least("size", "high") - F.greatest(F.lit(0.0), F.col("low"))
+    centres = F.abs((0 + F.col("size")) / 2 - (F.col("low") + F.col("high")) / 2)
+    keep = (F.abs("cosine") >= g.ANGLE_MATCH) & (shared > 2) & (F.col("delta") > 22) & (shared >= F.greatest(F.lit(10.0), 0.25 * F.col("shorter"))) & ~((centres <= 0.15 * F.col("shorter")) & (F.col("delta") <= 32))
+    return pairs.filter(keep).select("page", "left_id", "right_id", shared.alias("shared"))
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """Lines (a, b) as plain numbers, so that pairs of them need few: start, end, way and length. Dealt by page over all partitions, as pairs are many beside the rows' few bytes."""
+    a, b = F.col("a"), F.col("b")
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    flat = rows.withColumns({"ax": a["x"], "ay": a["y"], "bx": b["x"], "by": b["y"], "dx": dx, "dy": dy, "ll": dx * dx + dy * dy, "size": F.sqrt(dx * dx + dy * dy)}).drop("a", "b")
+    return spread(flat.withColumn("full", F.col("ll") / F.nullif("size", F.lit(0.0))), "page")
+
+
+def _along(o: str, i: str) -> tuple[Column, Column, Column]:
+    """G12 and the cosine of two measured lines: where line i lies along line o."""
+    c = lambda t, n: F.col(f"{t}.{n}")
+    size = F.nullif(c(o, "size"), F.lit(0.0))
+    one, two = [(c(o, "dx") * (c(i, f"{e}x") - c(o, "ax")) + c(o, "dy") * (c(i, f"{e}y") - c(o, "ay"))) / size for e in "ab"]
+    cosine = (c(o, "dx") * c(i, "dx") + c(o, "dy") * c(i, "dy")) / F.nullif(F.sqrt(c(o, "ll") * c(i, "ll")), F.lit(0.0))
+    return F.least(one, two), F.greatest(one, two), cosine
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over all shuffle partitions. What is done with a page's rows is much beside their few bytes, by which partitions would be joined again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def nested_intervals(rows: DataFrame) -> DataFrame:
     """Pairs (outer, inner) of a page: 82 % of the inner line lies along the outer, which it exceeds by 8 or 8 % at most."""
-    o, i = rows.alias("o"), rows.alias("i")
+    m = _measured(rows)
+    o, i = m.alias("o"), m.alias("i")
     pairs = o.join(i, (F.col("o.page") == F.col("i.page")) & (F.col("o.id") != F.col("i.id")))
-    a, b, c, d = (F.col(x) for x in ("o.a", "o.b", "i.a", "i.b"))
-    one, two = g.interval_on(a, b, a, b), g.interval_on(c, d, a, b)
-    size = F.greatest(F.lit(1.0), one["high"] - one["low"])
-    child = two["high"] - two["low"]
-    overlap = F.greatest(F.lit(0.0), F.least(one["high"], two["high"]) - F.greatest(one["low"], two["low"]))
-    over = F.greatest(one["low"] - two["low"], two["high"] - one["high"], F.lit(0.0))
-    keep = (child > 0) & (overlap >= 0.82 * child) & (over <= F.greatest(F.lit(8.0), 0.08 * size))
-    return pairs.filter(keep).select(F.col("o.page").alias("page"), F.col("o.id").alias("outer_id"), F.col("i.id").alias("inner_id"), F.col("o.value").alias("outer_value"), F.col("i.value").alias("inner_value"))
+    low, high, _ = _along("o", "i")
+    pairs = pairs.select(F.col("o.page").alias("page"), F.col("o.id").alias("outer_id"), F.col("i.id").alias("inner_id"), F.col("o.value").alias("outer_value"), F.col("i.value").alias("inner_value"), low.alias("low"), high.alias("high"), F.col("o.full").alias("size"))
+    child = F.col("high") - F.col("low")
+    overlap = F.greatest(F.lit(0.0), F.least("size", "high") - F.greatest(F.lit(0.0), F.col("low")))
+    over = F.greatest(-F.col("low"), F.col("high") - F.col("size"), F.lit(0.0))
+    keep = (child > 0) & (overlap >= 0.82 * child) & (over <= F.greatest(F.lit(8.0), 0.08 * F.greatest(F.lit(1.0), F.col("size"))))
+    return pairs.filter(keep).drop("low", "high", "size")
 
 
 def shared_strokes(rows: DataFrame) -> DataFrame:
@@ -147,3 +168,53 @@ def support_offsets(dims: DataFrame, strokes: DataFrame) -> DataFrame:
     long = strokes.select(F.col("page").alias("p"), F.col("id").alias("long_id"), F.col("a").alias("c"), F.col("b").alias("d")).filter(g.distance(F.col("c"), F.col("d")) > 40)
     beside = g.is_parallel(F.col("a"), F.col("b"), F.col("c"), F.col("d")) & (g.to_segment(F.col("a"), F.col("c"), F.col("d"))["distance"] <= 30)
     return small.join(long, (F.col("page") == F.col("p")) & (F.col("stroke_id") != F.col("long_id")) & beside, "left_semi").select("page", "dim_id")
+
+
+def as_segments(points: DataFrame, key: str) -> DataFrame:
+    """Points(page, key, x, y) as segments without length, for nearest()."""
+    return points.select("page", key, g.point(F.col("x"), F.col("y")).alias("a"), g.point(F.col("x"), F.col("y")).alias("b"))
+
+
+def pipe_anchors(points: DataFrame, pipes: DataFrame, key: str, plain: float = 20.0, led: float = 35.0) -> DataFrame:
+    """The nearest pipe edge of points(page, id, p, leader) within 20, or 35 for those with a leader; null beyond."""
+    found = nearest(points, pipes, "p", key)
+    most = F.when(F.col("leader"), led).otherwise(plain)
+    return found.select("page", "id", "leader", F.when(F.col("d2") <= most * most, F.col("near_id")).alias("near_id"))
+
+
+def touching(edges: DataFrame, most: float = 12.0) -> DataFrame:
+    """Pairs of edges(page, edge_id, a, b) of which two ends are within most of each other; ends meet by a grid, and pairs count once."""
+    ends_ = edges.select("page", "edge_id", F.explode(F.array("a", "b")).alias("p"))
+    cell = lambda v: F.floor(v / F.lit(most))
+    here = ends_.withColumns({"cx": cell(F.col("p")["x"]), "cy": cell(F.col("p")["y"])})
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    there = here.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("page", F.col("edge_id").alias("other"), F.col("p").alias("q"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    pairs = here.join(there, ["page", "cx", "cy"]).filter((F.col("edge_id") < F.col("other")) & (g.distance(F.col("p"), F.col("q")) <= most))
+    return pairs.select("page", F.col("edge_id").alias("first_id"), F.col("other").alias("second_id")).distinct()
+
+
+def snapped_misses(misses: DataFrame, vertices: DataFrame, side: float = 6.0, away: float = 22.0, reach: float = 90.0, back: float = 6.0) -> DataFrame:
+    """Near misses(page, id, o, ux, uy, p) of rays snapped to the best vertex(page, vertex, x, y, role) beside the ray and near the point: by side gap, role, gap, way along the ray."""
+    pairs = misses.join(vertices, "page")
+    qx, qy = F.col("x") - F.col("o")["x"], F.col("y") - F.col("o")["y"]
+    along, beside = qx * F.col("ux") + qy * F.col("uy"), F.abs(qy * F.col("ux") - qx * F.col("uy"))
+    gap = g.distance(F.col("p"), g.point(F.col("x"), F.col("y")))
+    role = F.when(F.col("role") == "junction", 0).when(F.col("role") == "corner", 1).when(F.col("role") == "endpoint", 2)
+    fits = along.between(-back, reach) & (beside <= side) & (gap <= away) & role.isNotNull()
+    return pairs.filter(fits).groupBy("page", "id").agg(F.min_by("vertex", F.struct(beside, role, gap, F.abs(along), "vertex")).alias("vertex"))
+
+
+def invalid_overlaps(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Of overlapping pairs(page, left_id, right_id) the one with the smaller of values(id, value) is invalid; equal ones are not. The last pair in order names the conflict."""
+    l, r = values.select(F.col("id").alias("left_id"), F.col("value").alias("lv")), values.select(F.col("id").alias("right_id"), F.col("value").alias("rv"))
+    lost = pairs.join(l, "left_id").join(r, "right_id").filter("lv <> rv")
+    lost = lost.select("page", F.when(F.col("lv") < F.col("rv"), F.col("left_id")).otherwise(F.col("right_id")).alias("id"), F.when(F.col("lv") < F.col("rv"), F.col("right_id")).otherwise(F.col("left_id")).alias("larger"), F.struct("left_id", "right_id").alias("pos"))
+    return lost.groupBy("page", "id").agg(F.max_by("larger", "pos").alias("conflict_with"), F.count(F.lit(1)).alias("conflicts"))
+
+
+def oriented_leaders(strokes: DataFrame, tip: float = 5.0, start: float = 28.0) -> DataFrame:
+    """strokes(page, id, a, b, label, tips): the end away from the label is the target; a leader has an arrowhead there and starts near its number."""
+    to_a, to_b = g.distance(F.col("a"), F.col("label")), g.distance(F.col("b"), F.col("label"))
+    target = F.when(to_b >= to_a, F.col("b")).otherwise(F.col("a"))
+    rows = strokes.withColumns({"target": target, "near": F.least(to_a, to_b)})
+    return rows.select("page", "id", F.col("target")["x"].alias("x"), F.col("target")["y"].alias("y"), (F.exists("tips", lambda q: g.distance(q, F.col("target")) <= tip) & (F.col("near") <= start)).alias("is_leader"))

@@ -164,9 +164,9 @@ def split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.split_at_points(edges, points)
 
 
-@query(t.with_views("""select 'dimension' as kind, dim_id as id, page, value_mm, null as linewidth from dims where dim_id % 100 = 0 union all select 'stroke', stroke_id, page, null, linewidth from strokes where stroke_id % 100 = 1""", "strokes", "dims"))
+@query(t.with_views("""select 'dimension' as kind, dim_id as id, page, value_mm, null as linewidth from dims union all select 'stroke', stroke_id, page, null, linewidth from strokes""", "strokes", "dims"))
 def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two kinds of rows under one another."""
-    d = t.dims(spark, sf_dir).filter("dim_id % 100 = 0").select(F.lit("dimension").alias("kind"), F.col("dim_id").alias("id"), "page", "value_mm")
-    s = t.strokes(spark, sf_dir).filter("stroke_id % 100 = 1").select(F.lit("stroke").alias("kind"), F.col("stroke_id").alias("id"), "page", "linewidth")
+    d = t.dims(spark, sf_dir).select(F.lit("dimension").alias("kind"), F.col("dim_id").alias("id"), "page", "value_mm")
+    s = t.strokes(spark, sf_dir).select(F.lit("stroke").alias("kind"), F.col("stroke_id").alias("id"), "page", "linewidth")
     return assembly.merged_results(d, s)

@@ -66,10 +66,10 @@ def containing_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(t.with_views("""select a.page, a.stroke_id as axis_id, b.stroke_id as thin_id, ((a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0)) = 0 as parallel,
   case when ((a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0)) <> 0 then
     ((b.x0 - a.x0) * (b.y1 - b.y0) - (b.y0 - a.y0) * (b.x1 - b.x0)) / ((a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0)) end as at
-  from axes a join thin b on b.page = a.page where a.stroke_id % 10 = 1""", "strokes", "axes", "thin"))
+  from axes a join thin b on b.page = a.page""", "strokes", "axes", "thin"))
 def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where dimension lines cross pipe lines."""
-    a = spatial.ends(t.axis_strokes(spark, sf_dir).filter(F.col("stroke_id") % 10 == 1)).select("page", F.col("stroke_id").alias("axis_id"), "a", "b")
+    a = spatial.ends(t.axis_strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("axis_id"), "a", "b")
     b = spatial.ends(t.thin_strokes(spark, sf_dir), "c", "d").select("page", F.col("stroke_id").alias("thin_id"), "c", "d")
     pairs = a.join(b, "page")
     args = [F.col(k) for k in "abcd"]
@@ -77,7 +77,7 @@ def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _THIN = """rows as (
-  select page, stroke_id as id, x0, y0, x1, y1, cast(stroke_id % 97 as double) as off, x1 - x0 as dx, y1 - y0 as dy, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) as len2 from thin where stroke_id % 3 = 0
+  select page, stroke_id as id, x0, y0, x1, y1, cast(stroke_id % 97 as double) as off, x1 - x0 as dx, y1 - y0 as dy, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) as len2 from thin
 ), pairs as (
   select l.page, l.id as l_id, r.id as r_id, l.off as l_off, r.off as r_off, l.len2 as ll, r.len2 as rl, l.dx * r.dx + l.dy * r.dy as dot, 0.0::double as l_low, l.len2 / sqrt(l.len2) as l_high,
     least((l.dx * (r.x0 - l.x0) + l.dy * (r.y0 - l.y0)) / sqrt(l.len2), (l.dx * (r.x1 - l.x0) + l.dy * (r.y1 - l.y0)) / sqrt(l.len2)) as r_low,
@@ -90,7 +90,7 @@ _THIN = """rows as (
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spatial.ends(t.thin_strokes(spark, sf_dir).filter(F.col("stroke_id") % 3 == 0))
+    s = spatial.ends(t.thin_strokes(spark, sf_dir))
     return s.select("page", F.col("stroke_id").alias("id"), "a", "b", (F.col("stroke_id") % 97).cast("double").alias("offset"), (F.col("stroke_id") % 50).cast("double").alias("value"))
 
 
@@ -141,7 +141,7 @@ def free_standing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RAYS = """hits as (
   select a.page, a.stroke_id as ray_id, b.stroke_id as edge_id, (a.x0 - b.x0) * 1.0 as dx, b.x0 as ex, case when b.y1 = b.y0 then null else (a.y0 - b.y0) / (b.y1 - b.y0) end as place, b.x0 + (case when b.y1 = b.y0 then null else (a.y0 - b.y0) / (b.y1 - b.y0) end) * (b.x1 - b.x0) - a.x0 as far
-  from thin a join axes b on a.page = b.page and a.stroke_id % 4 = 0
+  from thin a join axes b on a.page = b.page
 )
 """
 
@@ -149,7 +149,7 @@ _RAYS = """hits as (
 @query(t.with_views(_RAYS + """select page, ray_id, edge_id, far from (select *, row_number() over (partition by page, ray_id order by far, edge_id) as k from hits where place between -0.02 and 1.02 and far between -6 and 2000) where k = 1""", "strokes", "axes", "thin"))
 def first_ray_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first pipe edge that a ray to the right meets."""
-    rays = t.thin_strokes(spark, sf_dir).filter("stroke_id % 4 = 0").select("page", F.col("stroke_id").alias("ray_id"), g.point(F.col("x0"), F.col("y0")).alias("o"))
+    rays = t.thin_strokes(spark, sf_dir).select("page", F.col("stroke_id").alias("ray_id"), g.point(F.col("x0"), F.col("y0")).alias("o"))
     edges = spatial.ends(t.axis_strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("edge_id"), "a", "b")
     hit = g.ray_hit(F.col("o"), g.point(F.lit(1.0), F.lit(0.0)), F.col("a"), F.col("b"), 2000.0)
     found = rays.join(edges, "page").select("page", "ray_id", "edge_id", hit.alias("h")).filter("h is not null")
@@ -179,24 +179,24 @@ def parallel_nested_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.parallel_nested(_lines(spark, sf_dir))
 
 
-@query(t.with_views("""s as (select page, stroke_id as id, x0, y0, x1 - x0 as dx, y1 - y0 as dy, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) as size from strokes where stroke_id % 2 = 1), k as (select * from s where size between 8 and 90),
+@query(t.with_views("""s as (select page, stroke_id as id, x0, y0, x1 - x0 as dx, y1 - y0 as dy, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) as size from strokes), k as (select * from s where size between 8 and 90),
 pairs as (select l.page, l.id as first_id, r.id as second_id, l.x0, l.y0, l.dx, l.dy, l.dx * r.dy - l.dy * r.dx as det, (r.x0 - l.x0) * r.dy - (r.y0 - l.y0) * r.dx as n1, (l.x0 - r.x0) * l.dy - (l.y0 - r.y0) * l.dx as n2 from k l join k r on l.page = r.page and l.id < r.id and greatest(l.size, r.size) <= 2 * least(l.size, r.size)),
 met as (select *, n1 / det as one, n2 / -det as two from pairs where det <> 0)
 select page, first_id, second_id, x0 + one * dx as x, y0 + one * dy as y from met where one between 0.28 and 0.72 and two between 0.28 and 0.72""", "strokes"))
 def crossing_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J24"""
-    s = spatial.ends(t.strokes(spark, sf_dir).filter("stroke_id % 2 = 1")).select("page", F.col("stroke_id").alias("id"), "a", "b")
+    s = spatial.ends(t.strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("id"), "a", "b")
     return spatial.crossing_legs(s)
 
 
-@query(t.with_views("""p as (select page, dim_id as id, cx as x, cy as y from dims where dim_id % 3 = 0), a as (select page, x0 as x, y0 as y from axes), m as (select page, cx as x, cy as y from dims where dim_id % 3 = 1)
+@query(t.with_views("""p as (select page, dim_id as id, cx as x, cy as y from dims), a as (select page, x0 as x, y0 as y from axes), m as (select * from p)
 select page, id, x, y, case when exists (select 1 from a where a.page = p.page and sqrt((p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y)) <= 36) then 'arrow' else 'text' end as "by" from p
-where exists (select 1 from a where a.page = p.page and sqrt((p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y)) <= 36) or exists (select 1 from m where m.page = p.page and sqrt((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y)) <= 95)""", "strokes", "axes", "dims"))
+where exists (select 1 from a where a.page = p.page and sqrt((p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y)) <= 36) or exists (select 1 from m where m.page = p.page and m.id <> p.id and sqrt((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y)) <= 95)""", "strokes", "axes", "dims"))
 def near_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J25, J26"""
+    """Every label, with all others as texts."""
     d = t.dims(spark, sf_dir).select("page", F.col("dim_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     arrows = t.axis_strokes(spark, sf_dir).select("page", F.col("x0").alias("x"), F.col("y0").alias("y"))
-    return spatial.near_marks(d.filter("id % 3 = 0"), arrows, d.filter("id % 3 = 1"))
+    return spatial.near_marks(d, arrows, d, others=True)
 
 
 @query(t.with_views("""p as (select *, x1 - x0 as dx, y1 - y0 as dy, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) as len2 from axes), s as (select * from thin),

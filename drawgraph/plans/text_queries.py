@@ -31,7 +31,7 @@ def kind_zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(t.with_views(r"""select label_id, array_to_string(ids, ',') as ids, coalesce(case when label_id % 10 = 0 then 'STAMP_1' end, list_filter(ids, lambda v: contains(v, '_'))[1], 'UNKNOWN_' || lpad(cast(page as varchar), 3, '0')) as primary_id
-  from (select *, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(' ' || txt || ' ', '[^A-Za-z0-9_]([A-Z]{1,4}[0-9]{0,2}[_-][0-9]{4})[^A-Za-z0-9_]', 1), lambda v: replace(v, '-', '_')), lambda v: not starts_with(v, 'RD')))) as ids from label_texts)""", "label_texts"))
+  from (select *, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(' ' || txt || ' ', '[^A-Za-z0-9_]([A-Z]{1,4}[0-9]{0,2}[_-][0-9]{4})[^A-Za-z0-9_]', 1), lambda v: replace(v, '-', '_')), lambda v: not starts_with(v, 'RD_')))) as ids from label_texts)""", "label_texts"))
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T02, T05"""
     ids = x.line_ids(F.col("txt"))
@@ -53,13 +53,12 @@ def label_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
   case when regexp_matches(txt, '(ЛИСТ|SHEET) *[0-9]+') then 'continuation' else 'other' end as connection, regexp_matches(txt, '(ЛИСТ|SHEET) *[0-9]+') as hint,
   case when regexp_matches(txt, 'ЛИСТ [0-9]+$') then cast(regexp_extract(txt, 'ЛИСТ ([0-9]+)$', 1) as int) when regexp_matches(txt, 'ЛИСТ [0-9]{2}X') then cast(null as int) end as cross_sheet,
   case when regexp_matches(txt, '(ЛИСТ|SHEET) *[0-9]+') then 'cross_sheet_reference' else '' end as hints
-  from label_texts where label_id % 7 in (5, 6) and (label_id % 7 = 5 or label_id % 2 = 1)""", "label_texts"))
+  from label_texts""", "label_texts"))
 def sheet_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T13, T14, T15, T16"""
     c = F.col("txt")
     kind = x.connection_class(c)
-    rows = t.label_texts(spark, sf_dir).filter((F.col("label_id") % 7).isin(5, 6) & ((F.col("label_id") % 7 == 5) | (F.col("label_id") % 2 == 1)))
-    return rows.select("label_id", x.sheet_number(c).cast("int").alias("sheet"), kind["kind"].alias("connection"), kind["hint"].alias("hint"), x.cross_sheet_reference(c).alias("cross_sheet"), F.array_join(x.text_hints(c), ",").alias("hints"))
+    return t.label_texts(spark, sf_dir).select("label_id", x.sheet_number(c).cast("int").alias("sheet"), kind["kind"].alias("connection"), kind["hint"].alias("hint"), x.cross_sheet_reference(c).alias("cross_sheet"), F.array_join(x.text_hints(c), ",").alias("hints"))
 
 
 @query(t.with_views(r"""select label_id, case when length(s) > 12 then left(s, 11) || '…' else s end as short, regexp_replace(regexp_replace(s, '[^\p{L}\p{N}_-]', '_', 'g'), '^_+|_+$', '', 'g') as file,
@@ -86,7 +85,7 @@ def reviewer_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 lines as (select doc_id, i, word, sum(case when ends_with(coalesce(before, ''), '.') then 1 else 0 end) over (partition by doc_id order by i) as line from (select *, lag(word) over (partition by doc_id order by i) as before from words))
 select doc_id, count(distinct line) as n_lines, max(n) as longest, max(first) as last_start from (select doc_id, line, count(*) as n, min(i) as first from lines group by doc_id, line) group by doc_id""")
 def reading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W10, T04's order of words: lines open where the word before ended one (gaps and islands)."""
+    """Lines open where the word before ended one (gaps and islands)."""
     from pyspark.sql import Window
 
     docs = t.supplied(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("p", "word"))

@@ -69,6 +69,21 @@ def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(n.alias("label_id"), (n / 8).cast("int").alias("page"), txt.alias("txt"), ((n * 37) % 1000).cast("double").alias("cx"), ((n * 53) % 700).cast("double").alias("cy"))
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, block, line, word_id, text, x0, y0, x1, y1): labels as words on two lines of their page."""
+    k = F.col("label_id")
+    return label_texts(spark, sf_dir).select("page", F.col("page").alias("block"), (k % 2).alias("line"), k.alias("word_id"), F.col("txt").alias("text"), F.col("cx").alias("x0"), (F.col("cy") - 4).alias("y0"), (F.col("cx") + 8).alias("x1"), (F.col("cy") + 4).alias("y1"))
+
+
+def stamp_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, idx, text, x0, x1, top, bottom): a stamp for each supplier: two words of its head, some far from each other, and a number in two parts, some outside its box."""
+    k = F.col("s_suppkey")
+    word = lambda idx, text, x0, top: F.struct(idx.cast("int").alias("idx"), text.alias("text"), x0.cast("double").alias("x0"), (x0 + 40).cast("double").alias("x1"), top.cast("double").alias("top"), (top + 8).cast("double").alias("bottom"))
+    number = F.lpad((k % 10000).cast("string"), 4, "0")
+    parts = [word(F.lit(0), F.lit("Номер"), F.lit(100), F.lit(600)), word(1 + k % 7, F.lit("линии"), F.lit(150), 600 + k % 6), word(F.lit(20), F.lit("LC -"), F.lit(100), 618 + k % 40), word(F.lit(21), number, F.lit(142), 618 + k % 40)]
+    return supplied(spark, sf_dir, "supplier").select(k.cast("int").alias("page"), F.explode(F.array(*parts)).alias("w")).select("page", "w.*")
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, created_at, run_id, candidate_id, rating, prompt_name, prompt_version, prompt_sha256)"""
     e = supplied(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -114,6 +129,10 @@ VIEWS = {
     "label_texts": """select p_partkey as label_id, cast(floor(p_partkey / 8) as int) as page, case p_partkey % 7 when 0 then 'DN' || p_size || 'X25' when 1 then ['X', 'y', 'Z+', 'Х'][p_partkey % 4 + 1] when 2 then cast(10000 + p_partkey % 80000 as varchar)
   when 3 then 'LC-' || lpad(cast(p_partkey % 10000 as varchar), 4, '0') when 4 then cast(20 + p_partkey % 900 as varchar) when 5 then 'SEE SHEET ' || (p_partkey % 50) || ' rd_0001 CO_0166'
   else p_name || ' ЛИСТ ' || (p_partkey % 30) || case when p_partkey % 2 = 0 then 'X300' else '' end end as txt, cast((p_partkey * 37) % 1000 as double) as cx, cast((p_partkey * 53) % 700 as double) as cy from part""",
+    "words": "select page, page as block, label_id % 2 as line, label_id as word_id, txt as text, cx as x0, cy - 4 as y0, cx + 8 as x1, cy + 4 as y1 from label_texts",
+    "stamp_words": """select page, w.idx as idx, w.text as text, cast(w.x0 as double) as x0, cast(w.x0 + 40 as double) as x1, cast(w.top as double) as top, cast(w.top + 8 as double) as bottom from (
+  select cast(s_suppkey as int) as page, unnest([{'idx': 0, 'text': 'Номер', 'x0': 100, 'top': 600}, {'idx': 1 + s_suppkey % 7, 'text': 'линии', 'x0': 150, 'top': 600 + s_suppkey % 6},
+    {'idx': 20, 'text': 'LC -', 'x0': 100, 'top': 618 + s_suppkey % 40}, {'idx': 21, 'text': lpad(cast(s_suppkey % 10000 as varchar), 4, '0'), 'x0': 142, 'top': 618 + s_suppkey % 40}]) as w from supplier)""",
     "feedback": """select event_id as id, ts as created_at, user_id as run_id, strftime(ts, '%Y-%m-%d') as candidate_id, case when event_type = 'error' then 'down' else 'up' end as rating, case when user_id % 2 = 0 then 'dimension' else 'length' end as prompt_name,
   case when event_id % 4 <> 0 then cast(event_id % 3 as varchar) end as prompt_version, case when event_id % 5 <> 0 then sha256(case when event_id % 4 <> 0 then cast(event_id % 3 as varchar) else '0' end) end as prompt_sha256
   from events where event_type in ('purchase', 'signup', 'error')""",
