@@ -79,3 +79,20 @@ def test_touching_across_cells(spark):
     edges = [stroke(1, 1, (0, 0), (11, 11)), stroke(1, 2, (13, 12), (80, 80)), stroke(1, 3, (80, 92), (99, 99)), stroke(1, 4, (80, 93), (80, 200)), stroke(2, 5, (0, 0), (11, 11)), (1, 6, None, None)]
     got = spatial.touching(spark.createDataFrame(edges, f"page int, edge_id long, a {point}, b {point}")).collect()
     assert sorted((r.first_id, r.second_id) for r in got) == [(1, 2), (2, 3), (3, 4)]
+
+
+def test_extension_lines_strict_relaxed_and_mirrored(spark):
+    """Dimension 1 from (0, 0) to (60, 0), its pipe 30 below; what leads from its left end, and what stands like its mirror image at the right one."""
+    point = "struct<x:double,y:double>"
+    dims = spark.createDataFrame([(1, 1, 1, 7, {"x": 0.0, "y": 0.0}, {"x": 60.0, "y": 0.0})], f"page int, dim_id long, own_id long, edge_id long, a {point}, b {point}")
+    pipes = spark.createDataFrame([stroke(1, 7, (-50, 30), (150, 30))], f"page int, pipe_id long, a {point}, b {point}")
+    left, strict, relaxed, mirror, along = stroke(1, 2, (0, 0), (0, 28)), stroke(1, 3, (60, 4), (60, 28)), stroke(1, 4, (60, 15), (60, 28)), stroke(1, 5, (66, 25), (66, 50)), stroke(1, 6, (50, 1), (70, 1))
+
+    def found(*strokes):
+        rows = leaders.extension_lines(dims, spark.createDataFrame([stroke(1, 1, (0, 0), (60, 0)), *strokes], f"page int, stroke_id long, a {point}, b {point}"), pipes).collect()
+        return sorted((r.end, r.stroke_id, r.level, r.pipe_id) for r in rows)
+
+    assert found(left, strict, relaxed, along) == [(0, 2, 0, 7), (1, 3, 0, 7)]
+    assert found(left, relaxed, along) == [(0, 2, 0, 7), (1, 4, 1, 7)]
+    assert found(left, mirror, along) == [(0, 2, 0, 7), (1, 5, 2, 7)]
+    assert found(along) == [] and found(left) == [(0, 2, 0, 7)]
