@@ -86,7 +86,7 @@ def test_extension_lines_strict_relaxed_and_mirrored(spark):
     point = "struct<x:double,y:double>"
     dims = spark.createDataFrame([(1, 1, 1, 7, {"x": 0.0, "y": 0.0}, {"x": 60.0, "y": 0.0})], f"page int, dim_id long, own_id long, edge_id long, a {point}, b {point}")
     pipes = spark.createDataFrame([stroke(1, 7, (-50, 30), (150, 30))], f"page int, pipe_id long, a {point}, b {point}")
-    left, strict, relaxed, mirror, along = stroke(1, 2, (0, 0), (0, 28)), stroke(1, 3, (60, 4), (60, 28)), stroke(1, 4, (60, 15), (60, 28)), stroke(1, 5, (66, 25), (66, 50)), stroke(1, 6, (50, 1), (70, 1))
+    left, strict, relaxed, mirror, along = stroke(1, 2, (0, 0), (0, 28)), stroke(1, 3, (60, 4), (60, 28)), stroke(1, 4, (60, 12), (60, 31)), stroke(1, 5, (70, 18), (70, 38)), stroke(1, 6, (50, 1), (70, 1))
 
     def found(*strokes):
         rows = leaders.extension_lines(dims, spark.createDataFrame([stroke(1, 1, (0, 0), (60, 0)), *strokes], f"page int, stroke_id long, a {point}, b {point}"), pipes).collect()
