@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,17 +62,42 @@ class _Sets:
             self.up[max(a, b)] = min(a, b)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(page, x, y, root_x, root_y): the least node that each node of a page is joined with."""
+def _least_nodes(edges: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of whole pages with the least node that each is joined with: labels fall along all edges at once until none does."""
+    ends = pd.concat([edges[["page", f"{p}_x", f"{p}_y"]].set_axis(["page", "x", "y"], axis=1) for p in ("from", "to")], ignore_index=True)
+    number = ends.groupby(["page", "x", "y"], sort=True).ngroup().to_numpy()  # in order of page and place
+    a, b = number[: len(edges)], number[len(edges) :]
+    nodes = np.zeros((number.max() + 1, 3))
+    nodes[number] = ends.to_numpy(float)
+    least = np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[a], least[b])
+        after = least.copy()
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
+        after = after[after]
+        if (after == least).all():
+            break
+        least = after
+    return pd.DataFrame({"page": nodes[:, 0].astype("int32"), "x": nodes[:, 1], "y": nodes[:, 2], "root_x": nodes[least, 1], "root_y": nodes[least, 2]})
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = _Sets()
-        for a, b, c, d in rows[["from_x", "from_y", "to_x", "to_y"]].itertuples(index=False):
-            sets.join((a, b), (c, d))
-        number = rows["page"].iloc[0]
-        return pd.DataFrame([(number, *n, *sets.find(n)) for n in list(sets.up)], columns=["page", "x", "y", "root_x", "root_y"])
 
-    return spread(edges, "page").groupBy("page").applyInPandas(page, "page int, x double, y double, root_x double, root_y double")
+def components(edges: DataFrame) -> DataFrame:
+    """(page, x, y, root_x, root_y): the least node that each node of a page is joined with. Pages are taken many at a time, as they lie one after another in a partition."""
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(held):
+                open_page = held["page"] == held["page"].iloc[-1]
+                if not open_page.all():
+                    yield _least_nodes(held[~open_page])
+                    held = held[open_page]
+        if held is not None and len(held):
+            yield _least_nodes(held)
+
+    return spread(edges, "page").sortWithinPartitions("page").mapInPandas(pages, "page int, x double, y double, root_x double, root_y double")
 
 
 def component_metrics(nodes: DataFrame) -> DataFrame:
