@@ -247,28 +247,22 @@ def links(prints: DataFrame, bits: int, segments: int, radius: int, distance: in
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the least node of each component, for all nodes of links (a, b), roots included. Large and small stars in turn until nothing changes."""
+    """(node, root): the least node of each component, for all nodes of links (a, b), roots included. Large and small stars in turn, until every node has one link only, to a root."""
     edges = settle(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = settle(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        below = F.col("b") < F.col("a")
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(below).alias("below"), F.bool_or(~below).alias("above")).select("a", F.least("a", "m").alias("m"), "below", "above"), "least")
+        if least.agg(F.count_if(F.expr("below > 1 or (below = 1 and above)"))).first()[0] == 0:
+            break
+        large = settle(both.join(least.select("a", "m"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         least_below = settle(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         joined = large.join(least_below, "a")
         small = settle(joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").filter("a <> b").distinct(), "small")
         for old in (edges, least, large, least_below):
             forget(old)
-        edges, was = small, mark
-        mark = _mark(edges)
-        if mark == was:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Tells sets of edges apart: their number and two hashes, each joined by exclusive or."""
-    return tuple(edges.agg(F.count(F.lit(1)), *[F.bit_xor(F.xxhash64(F.lit(k), "a", "b")) for k in (1, 2)]).first())
+        edges = small
+    return least.select(F.col("a").alias("node"), F.col("m").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 64, segments: int = 1, radius: int = 3, distance: int = 3, seed: int = 42, width: int | None = None) -> DataFrame:
@@ -310,14 +304,14 @@ def _with_sets(docs: DataFrame, kept: list[str], made: str, shingle: int, seed:
 
 
 def similar(sets: list[np.ndarray], groups: list, similarity: float) -> list[tuple[int, int]]:
-    """Places of links that join what pairs of sets with at least the Jaccard similarity join; sets of one group are joined already."""
+    """Places of links, from one set to all that are reached from it, that join what pairs of sets with at least the Jaccard similarity join; sets of one group are joined already."""
     sizes = np.array([len(x) for x in sets])
     flat, ends = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
     _, names = np.unique(groups, return_inverse=True)
     out: list[tuple[int, int]] = []
     rest = np.arange(len(sets))
     while len(rest):
-        same = names[rest] == names[rest[0]]
+        hub, same = int(rest[0]), names[rest] == names[rest[0]]
         wave, rest = rest[same].tolist(), rest[~same]
         while wave and len(rest):
             at = wave.pop()
@@ -325,7 +319,7 @@ def similar(sets: list[np.ndarray], groups: list, similarity: float) -> list[tup
             shared = np.array([np.isin(flat[ends[x] : ends[x + 1]], sets[at], assume_unique=True).sum() for x in fits.tolist()], np.int64)
             near = fits[shared >= similarity * (sizes[fits] + sizes[at] - shared) - 1e-9]
             if len(near):
-                out += [(at, int(x)) for x in near]
+                out += [(hub, int(x)) for x in near]
                 reached = np.isin(names[rest], names[near])
                 wave += rest[reached].tolist()
                 rest = rest[~reached]
