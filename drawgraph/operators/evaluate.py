@@ -29,9 +29,16 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     return known.rollup("group_id").agg(F.count(F.lit(1)).alias("total"), right.alias("correct"), F.count_if("unanswered").alias("missing"), (right * 100.0 / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("accuracy"), F.grouping("group_id").cast("int").alias("all_groups"))
 
 
+def _begun(names: DataFrame, name: str, starts: DataFrame, start: str) -> DataFrame:
+    """Pairs of a name and a start of it, by equality with each of its starts."""
+    n = F.length(name)
+    every = names.withColumn(start, F.explode(F.transform(F.sequence(F.least(F.lit(1), n), n), lambda k: F.left(F.col(name), k))))
+    return every.join(starts, start)
+
+
 def groups_of_lines(lines: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups of a line by name, or by name and underscore either way; only where there is none, by beginnings either way. Lines without any stay, not configured."""
-    pairs = lines.join(groups, F.substring("line_id", 1, 1) == F.substring("group_id", 1, 1))  # either way of beginning shares the first letter
+    pairs = _begun(lines, "line_id", groups, "group_id").unionByName(_begun(groups, "group_id", lines, "line_id")).distinct()
     l, g = F.col("line_id"), F.col("group_id")
     level = F.when((l == g) | l.startswith(F.concat(g, F.lit("_"))) | g.startswith(F.concat(l, F.lit("_"))), 1).when(l.startswith(g) | g.startswith(l), 2)
     found = pairs.withColumn("level", level).filter("level is not null")
