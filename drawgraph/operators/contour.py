@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .spatial import spread
+from .spatial import gridded_within, nearest, spread
 
 # Distances that results depend on.
 MERGE, REPLACE, ANCHOR = 9.0, 11.0, 22.0
+RIGHT_END, FAR_TIP, AT_EDGE, MOST_MOVED = 7.0, 80.0, 18.0, 180.0
 
 
 def merged_hits(hits: DataFrame, radius: float = MERGE) -> DataFrame:
@@ -65,3 +66,27 @@ def assigned(dims: DataFrame, *stages: Column) -> DataFrame:
 def swapped(points: DataFrame) -> DataFrame:
     """points(page, id, x, y) with candidates as an array of (side, role_rank, gap, vertex): the best by side gap, role and distance."""
     return points.withColumn("vertex", F.array_min("candidates")["vertex"]).drop("candidates")
+
+
+def adjusted_ends(vertices: DataFrame, extensions: DataFrame, edges: DataFrame) -> DataFrame:
+    """Where ends of the contour should stand, by the nearest extension line: (page, vertex_id, edge_id, extension_id, x, y, moved).
+
+    vertices(page, vertex_id, p) are ends; extensions(page, extension_id, a, b); edges(page, edge_id, a, b). An extension's tip is its end nearer to a pipe. A vertex whose nearest tip
+    is within RIGHT_END stands right, beyond FAR_TIP it has none. Of the edges that end within AT_EDGE, the nearest end is first, then the pipe of the tip, then the smaller gap, then
+    the least id; the vertex moves along it to the extension's line, or beside the tip where they are parallel, by more than RIGHT_END and at most MOST_MOVED."""
+    a, b, p, tip = (F.col(c) for c in ("a", "b", "p", "tip"))
+    both = extensions.select("page", "extension_id", F.posexplode(F.array("a", "b")).alias("k", "p"))
+    near = nearest(both, edges, "p", "edge_id").filter("near_id is not null")
+    tips = near.groupBy("page", "extension_id").agg(F.min_by(F.struct("p", F.col("near_id").alias("pipe")), F.struct("d2", "k")).alias("t")).join(extensions, ["page", "extension_id"])
+    tips = tips.select("page", F.struct("extension_id", F.col("t.p").alias("tip"), F.col("t.pipe").alias("pipe"), F.col("a").alias("c"), F.col("b").alias("d")).alias("e"), F.col("t.p").alias("a"), F.col("t.p").alias("b"))
+    led = gridded_within(vertices, tips, "p", "e", FAR_TIP).groupBy("page", "vertex_id").agg(F.min_by(F.struct("p", F.col("near_id").alias("e"), "d2"), F.struct("d2", "near_id.extension_id")).alias("v"))
+    led = led.filter(F.col("v.d2") > RIGHT_END * RIGHT_END).select("page", "vertex_id", "v.p", "v.e.*")
+    rows = gridded_within(led, edges, "p", "edge_id", AT_EDGE).withColumnRenamed("near_id", "edge_id").withColumns({"from_a": g.distance(p, a), "from_b": g.distance(p, b)}).filter(F.least("from_a", "from_b") <= AT_EDGE)
+    meet, beside = g.lines_meet_at(a, b, F.col("c"), F.col("d")), g.to_segment(tip, a, b)
+    rows = rows.withColumns({"at": F.coalesce(meet, beside["at"]), "gap": F.when(meet.isNotNull(), 0.0).otherwise(F.sqrt(g.squared_to_segment(tip, a, b)))})
+    moved = F.abs(F.when(F.col("from_a") <= F.col("from_b"), F.col("at")).otherwise(1 - F.col("at"))) * g.distance(a, b)
+    rows = rows.withColumn("moved", moved).filter((F.col("moved") > RIGHT_END) & (F.col("moved") <= MOST_MOVED))
+    place = lambda k: a[k] + F.col("at") * (b[k] - a[k])
+    rank = F.struct(F.least("from_a", "from_b"), F.col("edge_id") != F.col("pipe"), F.round("gap", 6), "edge_id")
+    best = F.min_by(F.struct("edge_id", "extension_id", place("x").alias("x"), place("y").alias("y"), "moved"), rank)
+    return rows.groupBy("page", "vertex_id").agg(best.alias("best")).select("page", "vertex_id", "best.*")
