@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,40 @@ def merged_results(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+#: Columns of a finished page; a snapshot of the local stage has none of them.
+FINAL = ("final_vertices", "handwheel_vertices", "edge_segments", "final_contour", "handwheels", "handwheel_edges", "valve_edges", "handwheel_glyphs", "source_edges", "parent_edges")
+
+
+def _listed(c: str) -> Column:
+    return F.coalesce(F.col(c), F.array())
+
+
+def local_snapshot(pages: DataFrame) -> DataFrame:
+    """pages(page, vertices, edges, dimensions, ...) as they were before the final contour: without FINAL, with copies of vertices and edges, and each named dimension's decision. Null lists are empty."""
+    named = F.filter(_listed("dimensions"), lambda d: d["id"].isNotNull())
+    decisions = F.transform(named, lambda d: F.struct(d["id"].alias("candidate_id"), d["value_mm"].alias("value_mm"), d["decision"].alias("decision"), d["reason"].alias("reason"), d["conflict_with"].alias("conflict_with"), d["status"].alias("status")))
+    return pages.drop(*FINAL).withColumns({"analysis_stage": F.lit("local_processing"), "base_vertices": _listed("vertices"), "base_edges": _listed("edges"), "local_decisions": decisions})
+
+
+def _line(*parts: Column | str) -> Column:
+    """Parts after one another; what is null is told as None."""
+    return F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("None")) for x in parts])
+
+
+def map_text(pages: DataFrame) -> DataFrame:
+    """(page, map_text): pages(page, pdf, vertices, edges, dimensions) as text for a reviewer, one line for each part, in the order of the lists."""
+    vertices = F.transform(_listed("vertices"), lambda v: _line(v["id"], " role=", v["role"], " x=", v["x"], " y=", v["y"], " confidence=", F.coalesce(v["confidence"], F.lit(1.0))))
+    edges = F.transform(_listed("edges"), lambda e: _line(e["id"], " ", e["from_vertex"], " -> ", e["to_vertex"], " status=", e["status"], " pixel_length=", e["pixel_length"]))
+    dims = F.transform(_listed("dimensions"), lambda d: _line(d["id"], " value_mm=", d["value_mm"], " selected_edge=", d["selected_edge_id"], " status=", d["status"], " preliminary_decision=", d["decision"], " preliminary_reason=", d["reason"], " preliminary_conflict_with=", d["conflict_with"]))
+    head = F.array(_line("PDF: ", F.col("pdf")), _line("PAGE: ", F.col("page")))
+    lines = F.concat(head, F.array(F.lit("VERTICES:")), vertices, F.array(F.lit("EDGES:")), edges, F.array(F.lit("DIMENSIONS:")), dims)
+    return pages.select("page", F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("map_text"))
+
+
+def review_payload(pages: DataFrame) -> DataFrame:
+    """(page, payload): what a reviewer gets of a page as one JSON text: its parts and the preliminary decision of each dimension. Nulls are told."""
+    decisions = F.transform(_listed("dimensions"), lambda d: F.struct(d["id"].alias("candidate_id"), d["value_mm"].alias("value_mm"), d["selected_edge_id"].alias("edge_id"), d["decision"].alias("decision"), d["reason"].alias("reason"), d["conflict_with"].alias("conflict_with")))
+    parts = F.struct("page", _listed("vertices").alias("vertices"), _listed("edges").alias("edges"), decisions.alias("preliminary_decisions"))
+    return pages.select("page", F.to_json(parts, {"ignoreNullFields": "false"}).alias("payload"))
