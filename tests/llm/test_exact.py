@@ -212,3 +212,13 @@ def test_empty_tables(spark):
     assert suffix_dedup.removal_report(none).collect() == []
     assert simhash.near_duplicates(none).collect() == []
     assert decontaminate.find_overlaps(none, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
+def test_components_of_chains_and_stars(spark):
+    """Chains need several rounds, stars none; repeated links and links to oneself change nothing; no links give no rows."""
+    chain = [(i, i + 1) for i in range(100, 118)]
+    star = [(7, i) for i in (9, 3, 12, 5)]
+    pairs = spark.createDataFrame([*chain, *star, (9, 7), (50, 50)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(pairs).collect()}
+    assert got == {i: 100 for i in range(100, 119)} | {i: 3 for i in (3, 5, 7, 9, 12)}
+    assert simhash.components(pairs.limit(0)).count() == 0
