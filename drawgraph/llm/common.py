@@ -53,8 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not held:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        held = "file://" + tempfile.mkdtemp(prefix="spark-drawgraph-")
-        spark.conf.set("spark.checkpoint.dir", held)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-drawgraph-"))
+        held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
 
 
