@@ -208,3 +208,39 @@ select t.doc_id, t.n_words, cast(coalesce(b.n, 0) as bigint) as n_base, cast(b.a
        cast(coalesce(m.n, 0) as bigint) as n_found
 from texts t left join base b on b.doc_id = t.doc_id left join method m on m.doc_id = t.doc_id
 """
+
+#: CRC-32 is computed bitwise from its polynomial: DuckDB has no such function. Letters are below U+0100, so one or two bytes each.
+SPELLING = r"""
+with recursive crc_table as (
+  select list(list_reduce(range(9), lambda c, k: case when k = 0 then c else xor(c >> 1, 3988292384 * (c & 1)) end, v) order by v) as t from (select unnest(range(256)) as v)
+), runs as (
+  select coalesce(cast(doc_id as varchar), '') as id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents) group by all
+), hashed as (
+  select *, xor(list_reduce(flatten(list_transform(string_split(id || ':' || run, ''), lambda x: case when ord(x) < 128 then [ord(x)] else [192 | (ord(x) >> 6), 128 | (ord(x) & 63)] end)),
+                            lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) as h
+  from runs cross join crc_table where len(run) >= 5
+), spelt as (
+  select case when h % 97 = 0 then left(run, h % len(run)) || substring(run, h % len(run) + 2) else run end as word, n from hashed
+), words as (
+  select word, cast(sum(n) as bigint) as n from spelt where len(word) >= 5 group by word having sum(n) >= 3
+), shorter as (
+  select word, i, left(word, i) || substring(word, i + 2) as x from (select word, unnest(range(len(word))) as i from words)
+), pairs as (
+  select word, x as near from shorter where x in (select word from words)
+  union select x, word from shorter where x in (select word from words)
+  union select a.word, b.word from shorter a join shorter b on a.i = b.i and a.x = b.x and a.word <> b.word
+), best as (
+  select p.word, count(*) as n_near, max(w.n) as near_n, arg_max(p.near, (w.n, -1 * rank)) as near
+  from pairs p join (select *, row_number() over (order by encode(word)) as rank from words) w on p.near = w.word group by p.word
+), forms as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 2 * w.n then b.near end as form, case when b.near_n >= 2 * w.n then b.near_n end as form_n
+  from words w left join best b on w.word = b.word
+), walks as (
+  select word, word as at from forms
+  union all select w.word, f.form from walks w join forms f on w.at = f.word where f.form is not null
+), ends as (
+  select w.word, w.at as root from walks w join forms f on w.at = f.word where f.form is null
+)
+select f.word, f.form, e.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n from forms f join ends e on f.word = e.word
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, lm_scoring, oracles, quality_classifier, sharding, simhash, suffix_dedup, toxicity, warc, whitening
+from . import decontaminate, license_scan, lm_scoring, oracles, quality_classifier, sharding, simhash, spelling, suffix_dedup, toxicity, warc, whitening
 from .common import table
 from .mixing import mix_sources
 from .quality_rules import apply_quality_rules
@@ -58,6 +58,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as long)"))
 
@@ -66,5 +70,5 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mixing, op4_lm_scoring, op5_warc, op6_toxicity, op7_simhash, op8_quality_classifier, op9_quality_rules, op10_suffix_dedup, op12_whitening, op13_sharding)}
-ORACLES = {"op2_license_scan": oracles.license_scan(), "op3_mixing": oracles.MIXING, "op4_lm_scoring": oracles.LM_SCORING, "op1_decontaminate": oracles.DECONTAMINATE, "op9_quality_rules": oracles.QUALITY_RULES}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mixing, op4_lm_scoring, op5_warc, op6_toxicity, op7_simhash, op8_quality_classifier, op9_quality_rules, op10_suffix_dedup, op11_spelling, op12_whitening, op13_sharding)}
+ORACLES = {"op2_license_scan": oracles.license_scan(), "op3_mixing": oracles.MIXING, "op4_lm_scoring": oracles.LM_SCORING, "op1_decontaminate": oracles.DECONTAMINATE, "op9_quality_rules": oracles.QUALITY_RULES, "op11_spelling": oracles.SPELLING}
