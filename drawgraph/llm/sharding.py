@@ -155,8 +155,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24) -> DataFrame:
     A shard is as many files as it has multiples of FILE_ROWS rows; texts are shuffled once, to where their file is written."""
     own = [c for c in docs.columns if c not in (*_OWN, "__row")]
     whole = settle(docs.select(*own, F.monotonically_increasing_id().alias("__row")), "whole")
-    placed = assign_shards(whole.select("text", F.col("__row").alias("__at")), shards)
-    rows = whole.join(placed.withColumnRenamed("__at", "__row"), "__row").drop("__row").withColumn("__file", F.floor(F.col("slot") / FILE_ROWS))
+    placed = assign_shards(whole.select("text", F.col("__row").alias("__number")), shards)
+    rows = whole.join(placed.withColumnRenamed("__number", "__row"), "__row").drop("__row").withColumn("__file", F.floor(F.col("slot") / FILE_ROWS))
     rows.repartition("shard", "__file").sortWithinPartitions("shard", "slot").drop("__file").write.partitionBy("shard").parquet(path)
     forget(whole)
     return docs.sparkSession.read.parquet(path)

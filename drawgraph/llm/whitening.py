@@ -83,16 +83,22 @@ def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
 
 
 def _sums(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    """Per dimension the sum and the sum of squares, exact."""
-    total, squares = [0] * dim, [0] * dim
+    """Per dimension the exact sum."""
+    total = [0] * dim
     for batch in batches:
         x = _unpack(batch.column("x"), dim)
-        if len(x) and max(-int(x.min()), int(x.max())) ** 2 * len(x) >= 2**62:
+        if len(x) and max(-int(x.min()), int(x.max())) * len(x) >= 2**62:
             x = x.astype(object)
         total = [a + int(b) for a, b in zip(total, x.sum(axis=0), strict=True)]
-        squares = [a + int(b) for a, b in zip(squares, (x * x).sum(axis=0), strict=True)]
-    number = pa.decimal128(38, 0)
-    yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), *[pa.array([Decimal(v) for v in c], number) for c in (total, squares)]], ["cell", "total", "squares"])
+    yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array([Decimal(v) for v in total], pa.decimal128(38, 0))], ["cell", "total"])
+
+
+def _squares(batches: Iterator[pa.RecordBatch], mean: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per dimension the sum of squares, centred."""
+    part = np.zeros(len(mean))
+    for batch in batches:
+        part += ((_unpack(batch.column("x"), len(mean)) - mean) ** 2).sum(axis=0)
+    yield _cells(part)
 
 
 def _product(batches: Iterator[pa.RecordBatch], mean: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -125,16 +131,16 @@ class Fit:
         packed = short_batches(vectors).mapInArrow(partial(_packed, dim=dim), "x binary")
         self.rows = settle(packed.distinct(), "fit")
         self.n = self.rows.count()
-        sums = self.rows.mapInArrow(partial(_sums, dim=dim), "cell int, total decimal(38,0), squares decimal(38,0)")
-        got = {r["cell"]: (int(r["total"]), int(r["squares"])) for r in sums.groupBy("cell").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares")).collect()}  # a row for each dimension
-        self.sums = [got.get(i, (0, 0))[0] for i in range(dim)]
-        self.trace = sum(self.n * got[i][1] - got[i][0] ** 2 for i in got) / max(self.n, 1) ** 2
+        sums = self.rows.mapInArrow(partial(_sums, dim=dim), "cell int, total decimal(38,0)").groupBy("cell").agg(F.sum("total").alias("total"))
+        got = {r["cell"]: int(r["total"]) for r in sums.collect()}  # a row for each dimension
+        self.sums = [got.get(i, 0) for i in range(dim)]
         self.mean = np.array([s / max(self.n, 1) for s in self.sums])
         self.passes = 0
+        self.trace = float(self._summed(_squares, (dim,), np.zeros(0)).sum()) if self.n else 0.0
 
-    def _summed(self, function, shape: tuple[int, int], q: np.ndarray) -> np.ndarray:
+    def _summed(self, function, shape: tuple[int, ...], q: np.ndarray) -> np.ndarray:
         cells = self.rows.mapInArrow(partial(function, mean=self.mean, q=q), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-        out = np.zeros(shape[0] * shape[1])
+        out = np.zeros(int(np.prod(shape)))
         out[[c["cell"] for c in cells]] = [c["value"] for c in cells]
         self.passes += 1
         return out.reshape(shape) / self.n
