@@ -55,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-drawgraph-"))
         held = spark.sparkContext.getCheckpointDir()
+    if held.startswith("file:/") and not held.startswith("file://"):
+        held = "file://" + held.removeprefix("file:")
     return held.rstrip("/")
 
 

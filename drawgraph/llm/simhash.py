@@ -42,6 +42,8 @@ BUCKET = 4096
 ROWS, BANDS = 5, 32
 #: Keys after which known links are joined before further ones are looked at.
 ROUNDS = (2, 10, BANDS)
+#: Hashes that one task compares at a time, in all sets of a bucket.
+SET_HASHES = 500_000
 #: Bytes that part words, made spaces; A-Z lower-cased.
 _TEXT_BYTES = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b + 32 if chr(b) in string.ascii_uppercase else b for b in range(256))
 
@@ -291,7 +293,7 @@ def _min_hashes(h: np.ndarray) -> np.ndarray:
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int, seed: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """What the schema asks for of each text's set of shingles: its digest fp, its keys, its hashes."""
-    make = {"fp": lambda h: xxhash.xxh3_128_digest(h.tobytes(), seed), "hashes": lambda h: h.tobytes(), "keys": _min_hashes}
+    make = {"size": len, "fp": lambda h: xxhash.xxh3_128_digest(h.tobytes(), seed), "hashes": lambda h: h.tobytes(), "keys": _min_hashes}
     for batch in batches:
         sets = [np.unique(shingle_hashes(text.as_py(), shingle, seed)) for text in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array([make[f.name](h) for h in sets], f.type) if f.name in make else batch.column(f.name) for f in schema], schema=schema)
@@ -303,26 +305,71 @@ def _with_sets(docs: DataFrame, kept: list[str], made: str, shingle: int, seed:
     return short_batches(docs).mapInArrow(partial(_shingle_sets, shingle=shingle, seed=seed, schema=to_arrow_schema(schema)), schema)
 
 
+def prefix_sizes(sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets in one order of their elements: how many of the first ones a set meets others by, as the larger or the smaller of a pair.
+
+    Sets of at least the similarity share many elements, so one of the first ones: the smaller one's few and the larger one's more."""
+    probe = sizes - np.ceil(similarity * sizes - 1e-9) + 1
+    index = sizes - np.ceil(2 * similarity / (1 + similarity) * sizes - 1e-9) + 1
+    return np.minimum(probe, sizes).astype(np.int64), np.minimum(index, sizes).astype(np.int64)
+
+
+class Prefixes:
+    """Which of some sets can be similar: the rarest elements of each, by element."""
+
+    def __init__(self, sizes: np.ndarray, flat: np.ndarray, similarity: float):
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((at, times[at], owner))
+        at, owner = at[order], owner[order]
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        probe, index = prefix_sizes(sizes, similarity)
+        self.kinds = []
+        for first in (probe, index):
+            mine = rank < first[owner]
+            by = np.argsort(at[mine], kind="stable")
+            elements, owners = at[mine][by], owner[mine][by]
+            self.kinds.append((at[mine], np.concatenate(([0], np.cumsum(first))), owners, np.searchsorted(elements, np.arange(len(times) + 1))))
+
+    def near(self, x: int) -> np.ndarray:
+        """Sets that share one of the first elements, as the larger ones and as the smaller ones."""
+        out = []
+        for (mine, ends, _, _), (_, _, owners, starts) in (self.kinds, self.kinds[::-1]):
+            out += [owners[starts[e] : starts[e + 1]] for e in mine[ends[x] : ends[x + 1]].tolist()]
+        return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+
+
 def similar(sets: list[np.ndarray], groups: list, similarity: float) -> list[tuple[int, int]]:
     """Places of links, from one set to all that are reached from it, that join what pairs of sets with at least the Jaccard similarity join; sets of one group are joined already."""
     sizes = np.array([len(x) for x in sets])
     flat, ends = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
     _, names = np.unique(groups, return_inverse=True)
+    members = np.argsort(names, kind="stable")
+    first = np.searchsorted(names[members], np.arange(names.max() + 2))
+    prefixes = Prefixes(sizes, flat, similarity)
     out: list[tuple[int, int]] = []
-    rest = np.arange(len(sets))
-    while len(rest):
-        hub, same = int(rest[0]), names[rest] == names[rest[0]]
-        wave, rest = rest[same].tolist(), rest[~same]
-        while wave and len(rest):
+    free, left = np.ones(len(sets), bool), len(sets)
+    for hub in range(len(sets)):
+        if not free[hub]:
+            continue
+        wave = members[first[names[hub]] : first[names[hub] + 1]]
+        free[wave] = False
+        left -= len(wave)
+        wave = wave.tolist()
+        while wave and left:
             at = wave.pop()
-            fits = rest[np.minimum(sizes[rest], sizes[at]) >= similarity * np.maximum(sizes[rest], sizes[at]) - 1e-9]
+            fits = prefixes.near(at)
+            fits = fits[free[fits]]
+            fits = fits[np.minimum(sizes[fits], sizes[at]) >= similarity * np.maximum(sizes[fits], sizes[at]) - 1e-9]
             shared = np.array([np.isin(flat[ends[x] : ends[x + 1]], sets[at], assume_unique=True).sum() for x in fits.tolist()], np.int64)
             near = fits[shared >= similarity * (sizes[fits] + sizes[at] - shared) - 1e-9]
             if len(near):
                 out += [(hub, int(x)) for x in near]
-                reached = np.isin(names[rest], names[near])
-                wave += rest[reached].tolist()
-                rest = rest[~reached]
+                for name in np.unique(names[near]).tolist():
+                    reached = members[first[name] : first[name + 1]]
+                    free[reached] = False
+                    left -= len(reached)
+                    wave += reached.tolist()
     return out
 
 
@@ -337,34 +384,78 @@ def _similar_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
+def _compared(members: DataFrame, sets: DataFrame, similarity: float, *keys: str) -> DataFrame:
+    """Links (a, b) within each group of members(keys, fp, root); groups hold about SET_HASHES hashes at most."""
+    groups = members.join(sets, "fp").groupBy(*keys).agg(F.collect_list(F.struct("fp", "root", "hashes")).alias("members")).select("members")
+    return settle(short_batches(groups).mapInArrow(partial(_similar_links, similarity=similarity), "a binary, b binary").distinct(), "links")
+
+
+def _rooted(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """rows(fp, ...) with the root that known links lead to."""
+    return rows.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")) if known else rows.withColumn("root", F.col("fp"))
+
+
+def _unlike(dealt: DataFrame, key: str) -> DataFrame:
+    """Groups of dealt(key, fp, root, size) that are not joined yet, those with the same members once: (key, low, weight)."""
+    groups = dealt.groupBy(key).agg(F.min("root").alias("from"), F.max("root").alias("to"), F.min("fp").alias("low"), F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"x{k}") for k in (1, 2)])
+    return groups.filter("`from` <> `to`").groupBy("n", "x1", "x2").agg(F.min(F.struct(key, "low", "weight")).alias("g")).select("g.*")
+
+
+def prefix_components(large: DataFrame, sets: DataFrame, known: DataFrame | None, similarity: float) -> DataFrame:
+    """Links (a, b) between the nodes large(fp, size), whatever their number: by the rarest hashes of each set (see Prefixes), rare among all of large.
+
+    Similar sets share one of them, so those of one hash are compared; where they are more than a task takes, in pairs of their parts."""
+    hashes = settle(sets.join(large.filter("size > 0"), "fp").select("fp", "size", F.explode(F.expr("transform(sequence(1, size), i -> substring(hashes, 8 * i - 7, 8))")).alias("hash")), "hashes")
+    times = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("times"))
+    size = F.col("size")
+    rank = F.row_number().over(Window.partitionBy("fp").orderBy("times", "hash"))
+    probe, index = [size - F.ceil(F.lit(share) * size - 1e-9) + 1 for share in (similarity, 2 * similarity / (1 + similarity))]
+    first = hashes.join(times, "hash").withColumn("rank", rank).filter((F.col("rank") <= probe) & (F.col("times") > 1))
+    first = settle(_rooted(first.select("fp", "size", "hash", (F.col("rank") <= index).alias("smaller")), known), "first")
+    met = first.groupBy("hash").agg(F.bool_or("smaller").alias("met")).filter("met").select("hash")  # else no pair meets here
+    first = first.join(met, "hash", "left_semi")
+    parts = F.ceil(F.col("weight") / SET_HASHES).cast("int")
+    dealt = first.join(_unlike(first, "hash").select("hash", parts.alias("parts")), "hash")
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return _compared(dealt.select("hash", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "fp", "root"), sets, similarity, "hash", "one", "two")
+
+
 def similar_components(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """(node, root) of nodes(fp, keys), linked where the exact Jaccard similarity of their sets(fp, hashes) is at least similarity; None without any link.
+    """(node, root) of nodes(fp, keys, size), linked where the exact Jaccard similarity of their sets(fp, hashes) is at least similarity; None without any link.
 
     Candidates share a key. Bands are taken in few rounds: a bucket whose members are joined already is not compared again, and buckets of the same
-    members are compared once, so groups of many copies are compared in the first round and not in every band."""
-    known = parts = None
-    for low, high in zip((0, *ROUNDS), ROUNDS, strict=False):
-        dealt = nodes.select("fp", F.explode(F.slice("keys", low + 1, high - low)).alias("key"))
-        dealt = dealt.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")) if known else dealt.withColumn("root", F.col("fp"))
-        dealt = settle(dealt.select("fp", "key", "root"), "dealt")
-        unlike = dealt.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"x{k}") for k in (1, 2)]).filter("low <> high")
-        once = settle(unlike.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "once")
-        members = settle(dealt.join(once, "key", "left_semi"), "members")
-        buckets = members.join(sets, "fp").groupBy("key").agg(F.collect_list(F.struct("fp", "root", "hashes")).alias("members")).select("members")
-        fresh = settle(short_batches(buckets).mapInArrow(partial(_similar_links, similarity=similarity), "a binary, b binary").distinct(), "links")
-        for old in (dealt, once, members):
-            forget(old)
+    members are compared once, so groups of many copies are compared in the first round and not in every band. A bucket of over SET_HASHES hashes is
+    compared in parts of that size, each with the bucket's least member, which joins many copies of a text; pairs over its parts are left to prefix_components()."""
+    known = parts = large = None
+
+    def add(fresh: DataFrame) -> None:
+        nonlocal known, parts
         if not fresh.isEmpty():
             parts = parts.unionByName(fresh) if parts else fresh
             known = settle(components(parts), "components")
+
+    for low, high in zip((0, *ROUNDS), ROUNDS, strict=False):
+        dealt = settle(_rooted(nodes.select("fp", "size", F.explode(F.slice("keys", low + 1, high - low)).alias("key")), known), "dealt")
+        once = settle(_unlike(dealt, "key").withColumn("parts", F.ceil(F.col("weight") / SET_HASHES).cast("int")), "once")
+        members = dealt.join(once, "key").withColumn("part", F.when(F.col("fp") == F.col("low"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))))
+        members = settle(members.select("key", "parts", F.explode("part").alias("part"), "fp", "root", "size"), "members")
+        add(_compared(members, sets, similarity, "key", "part"))
+        more = settle(members.filter("parts > 1").select("fp", "size").distinct(), "large")
+        if not more.isEmpty():
+            large = large.unionByName(more) if large else more
+        for old in (dealt, once, members):
+            forget(old)
+    if large:
+        add(prefix_components(large.distinct(), sets, known, similarity))
     return known
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the least id (of several rows with it, that with the least hash of its text)."""
     keyed = docs.withColumns({"__key": key_of(F.col("text")), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    found = settle(_with_sets(keyed.select("doc_id", "text", "__key", "__id"), ["doc_id", "__key", "__id"], "fp binary, keys array<long>", shingle, seed), "found")
-    nodes = settle(found.groupBy("fp").agg(F.min("__key").alias("__key"), F.first("keys").alias("keys")), "nodes")  # equal sets are one node and have equal keys
+    found = settle(_with_sets(keyed.select("doc_id", "text", "__key", "__id"), ["doc_id", "__key", "__id"], "fp binary, keys array<long>, size int", shingle, seed), "found")
+    nodes = settle(found.groupBy("fp").agg(F.min("__key").alias("__key"), F.first("keys").alias("keys"), F.first("size").alias("size")), "nodes")  # equal sets are one node and have equal keys
     dealt = nodes.select("fp", F.explode("keys").alias("key"))
     shared = settle(dealt.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("key"), "shared")
     some = settle(dealt.join(shared, "key", "left_semi").select("fp").distinct(), "some")
@@ -380,8 +471,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     stay = firsts.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("__id"), F.col("first.key").alias("__key"))
     out = keyed.join(stay, ["__id", "__key"], "left_semi")
     n_rows, ids = found.select(F.count(F.lit(1)), F.countDistinct("__id", "__key")).first()
-    if n_rows != ids:  # rows repeat an id and its text: one of them stays
-        out = out.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(1)))).filter("__n = 1")
+    if n_rows != ids:  # rows repeat an id and its text: one of them stays, and each task sends one of those that it reads
+        out = out.dropDuplicates(["__id", "__key"])
     return out.select(*docs.columns)
 
 

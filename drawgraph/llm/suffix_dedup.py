@@ -18,7 +18,8 @@ be in one task.
 
 Defined results: a null text is empty and nothing is removed from it; rows that share a doc_id are
 documents in the order of their text's hash, so of two equal rows one is the earlier; rows without an id
-come first; an empty table gives an empty result; further columns pass through, those named like the
+come first; ids may be of any type that has an order (then, as with null and repeated ids, rows are numbered by a sort of ids
+and hashes, and texts are written and shuffled once more); an empty table gives an empty result; further columns pass through, those named like the
 operator's own are replaced.
 """
 
@@ -47,10 +48,6 @@ LEAD = LENGTH + 1 - ROUNDS[0]
 CHUNK = 1 << 19
 #: Sampled suffixes in a bucket, about, and rows of the sample for each splitter.
 BUCKET_ROWS, SAMPLE = 250_000, 64
-#: Places of one document are below this; repeated ids count up above it.
-COPY = 2**40
-
-_NO_ID = -(2**63)
 _FIELDS = ("lead", "pack", "full", "doc", "pos")
 _SUFFIXES = "lead long, pack long, full long, doc long, pos long"
 
@@ -156,7 +153,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], splitters: np.ndarray | None) -
     """Rows of _FIELDS, and with splitters also the bucket."""
     for batch in batches:
         texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
-        doc, copy = batch.column("doc").to_numpy(), batch.column("copy").to_numpy()
+        doc = batch.column("doc").to_numpy()
         for rows, offsets, parts, _ in _pieces(texts):
             ends = np.cumsum([len(p) for p in parts])
             place, _, _, head, pack, full = sample(np.frombuffer(b"".join(parts), np.uint8), ends)
@@ -164,7 +161,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], splitters: np.ndarray | None) -
                 continue
             part = np.searchsorted(ends, place, "right")
             row = np.array(rows)[part]
-            pos = place - np.concatenate(([0], ends[:-1]))[part] + np.array(offsets)[part] + copy[row] * COPY
+            pos = place - np.concatenate(([0], ends[:-1]))[part] + np.array(offsets)[part]
             columns = [head, pack, full, doc[row], pos]
             names = list(_FIELDS)
             if splitters is not None:
@@ -261,10 +258,10 @@ def refine(data: np.ndarray, pos: np.ndarray, pack: np.ndarray, strings: int) ->
 
 def _refined(batches: Iterator[pa.RecordBatch], strings: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for packed, doc, copy, asked in zip(batch.column("packed"), batch.column("doc").to_pylist(), batch.column("copy").to_pylist(), batch.column("asked"), strict=True):
+        for packed, doc, asked in zip(batch.column("packed"), batch.column("doc").to_pylist(), batch.column("asked"), strict=True):
             asked = asked.values
             lead, pack, full, pos = refine(np.frombuffer(_unpack(packed), np.uint8), asked.field("pos").to_numpy(), asked.field("pack").to_numpy(), strings)
-            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(pack), pa.array(full), pa.array(np.full(len(pos), doc)), pa.array(pos + copy * COPY)], list(_FIELDS))
+            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(pack), pa.array(full), pa.array(np.full(len(pos), doc)), pa.array(pos)], list(_FIELDS))
 
 
 def _pack(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -284,13 +281,18 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(partial(_pack, schema=to_arrow_schema(schema)), schema)
 
 
-def number_copies(docs: DataFrame) -> DataFrame:
-    """docs with doc and copy: together one place in the order of documents for each row."""
-    docs = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    rows, ids = docs.select(F.count(F.lit(1)), F.countDistinct("doc")).first()
-    if rows == ids:
-        return docs.withColumn("copy", F.lit(0).cast("long"))
-    return docs.withColumn("copy", (F.row_number().over(Window.partitionBy("doc").orderBy(key_of(F.col("text")))) - 1).cast("long"))
+def number_documents(docs: DataFrame) -> DataFrame:
+    """docs with doc, a number in the order of documents: the id itself where ids are whole numbers, none null and none repeated.
+
+    Else rows are sorted by id (none first), text's hash and row number, and numbered in that order; the range partitions of the sort also split one id that many rows share."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        doc = F.col("doc_id").cast("long")
+        rows, ids = docs.select(F.count(F.lit(1)), F.countDistinct(doc)).first()
+        if rows == ids:
+            return docs.withColumn("doc", doc)
+    whole = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "whole")
+    order = whole.select("__row", "doc_id", key_of(F.col("text")).alias("key")).orderBy(F.col("doc_id").asc_nulls_first(), "key", "__row")
+    return whole.join(settle(order.select("__row", F.monotonically_increasing_id().alias("doc")), "order"), "__row").drop("__row")
 
 
 def _splitters(some: DataFrame, buckets: int) -> np.ndarray:
@@ -304,7 +306,7 @@ def _splitters(some: DataFrame, buckets: int) -> np.ndarray:
 
 
 def _round(rows: DataFrame, buckets: int) -> DataFrame:
-    """Sort and compare rows (_FIELDS, bucket): (kind, doc, copy, pos, pack) of suffixes whose strings are all repeats (0) or still open (1)."""
+    """Sort and compare rows (_FIELDS, bucket): (kind, doc, pos, pack) of suffixes whose strings are all repeats (0) or still open (1)."""
     found = settle(rows.repartitionById(buckets, "bucket").mapInArrow(_compare, _FOUND), "found")
     lead = [F.col("lead"), F.shiftright("pack", 14)]
     ends = found.filter("kind >= 2")  # two rows a bucket
@@ -313,7 +315,7 @@ def _round(rows: DataFrame, buckets: int) -> DataFrame:
     ends = ends.withColumn("earlier", F.row_number().over(context) > 1).filter("kind = 2")
     ends = ends.withColumn("kind", F.when(F.col("earlier"), 0).when(F.col("several"), 1)).filter("kind is not null")
     known = found.filter("kind < 2").select("kind", "doc", "pos", "pack").unionByName(ends.select("kind", "doc", "pos", "pack"))
-    return known.select("kind", "doc", F.floor(F.col("pos") / COPY).cast("long").alias("copy"), F.pmod("pos", F.lit(COPY)).alias("pos"), "pack")
+    return known.select("kind", "doc", "pos", "pack")
 
 
 def _bucketed(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -322,20 +324,20 @@ def _bucketed(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Itera
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """docs(doc, copy, text): rows (doc, copy, spans), the byte ranges that strings which occurred before cover, unmerged."""
+    """docs(doc, text): rows (doc, spans), the byte ranges that strings which occurred before cover, unmerged."""
     spark = docs.sparkSession
-    texts = short_batches(docs).select("doc", "copy", "text")
+    texts = short_batches(docs).select("doc", "text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, size // 35 // BUCKET_ROWS + 1)
     share = min(1.0, buckets * SAMPLE * 35 * 8 / max(size, 1))  # neighbouring suffixes are of one kind, so one in eight of more documents
-    some = texts.filter(F.pmod(F.xxhash64("doc", "copy"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    some = texts.filter(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     splitters = _splitters(some.mapInArrow(partial(_suffixes, splitters=None), _SUFFIXES).filter(F.pmod(F.xxhash64(*_FIELDS), F.lit(8)) == 0), buckets)
     known = _round(texts.mapInArrow(partial(_suffixes, splitters=splitters), f"{_SUFFIXES}, bucket int"), buckets)
     parts = [known]
     for strings in ROUNDS[1:]:
-        asked = known.filter("kind = 1").groupBy("doc", "copy").agg(F.collect_list(F.struct("pos", "pack")).alias("asked"))
-        rows = settle(asked.join(packed(texts), ["doc", "copy"]).mapInArrow(partial(_refined, strings=strings), _SUFFIXES), "finer")
+        asked = known.filter("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("pos", "pack")).alias("asked"))
+        rows = settle(asked.join(packed(texts), ["doc"]).mapInArrow(partial(_refined, strings=strings), _SUFFIXES), "finer")
         n = rows.count()
         buckets = max(least, n // BUCKET_ROWS + 1)
         splitters = _splitters(rows.filter(F.pmod(F.xxhash64(*_FIELDS), F.lit(max(1, n // (buckets * SAMPLE)))) == 0), buckets)
@@ -343,8 +345,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         parts.append(known)
     every = reduce(DataFrame.unionByName, parts).filter("kind = 0")
     start = F.col("pos") - F.shiftright("pack", 7).bitwiseAND(127)
-    spans = every.select("doc", "copy", start.alias("start"), (F.col("pos") - F.col("pack").bitwiseAND(127) + LENGTH).alias("end"))
-    return spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = every.select("doc", start.alias("start"), (F.col("pos") - F.col("pack").bitwiseAND(127) + LENGTH).alias("end"))
+    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -401,11 +403,11 @@ def _shorten(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     """docs with text packed, and the byte ranges to remove."""
-    docs = number_copies(docs)
-    return packed(docs.withColumn("null_text", F.col("text").isNull())).join(repeats(docs), ["doc", "copy"], "left")
+    docs = number_documents(docs)
+    return packed(docs.withColumn("null_text", F.col("text").isNull())).join(repeats(docs), ["doc"], "left")
 
 
-_HELPERS = ("doc", "copy", "spans", "null_text", "packed")
+_HELPERS = ("doc", "spans", "null_text", "packed")
 
 
 def removal_report(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ bundles of attempts that succeeded, so a lost executor leaves at most files that
 Defined results: a page of any size is one record, alone in its frame if it is longer than FRAME; a null payload is empty; pages without an id are revisits of the smallest id, or
 responses where no page of their payload has one; rows that repeat both payload and smallest id are all
 responses, with one record id, as an id names its page; null and odd addresses are left out or
-percent-encoded; only page_id, url and html are archived, further columns of any name are not; an empty
+percent-encoded; page_id must be a whole number and folder a place that pyarrow opens on every node (a shared file://, s3:// (also s3a), gs://, abfss://, or hdfs:// where
+libhdfs is installed; keys come from the environment, not from Spark's settings), else an error is raised before any page is read; only page_id, url and html are archived, further columns of any name are not; an empty
 table gives an empty index.
 """
 
@@ -35,6 +36,7 @@ import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import settle, shared_dir, short_batches
 
@@ -172,7 +174,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
     """Write a record for each row of pages(page_id, url, html); returns the index of all records. Payloads below least_bytes are all responses."""
+    if not isinstance(pages.schema["page_id"].dataType, IntegralType):
+        raise TypeError("page_id must be a whole number")
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    _store(folder)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = short_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(html).alias("digest"))
     thin = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))

@@ -178,3 +178,48 @@ def test_similar_sets_against_all_pairs():
 
     every = [(a, b) for a in range(40) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) * 5 >= 4 * len(np.union1d(sets[a], sets[b]))]
     assert joined(simhash.similar(sets, known, 0.8)) == joined(every) and len(every) > 20
+
+
+def test_many_unlinked_near_sets_take_seconds():
+    """20,000 sets in one bucket that share 170 of 200 elements (0.74): nothing links, and no pair of them is compared; near ones among them are found."""
+    import time
+
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    common = rnd.integers(0, 2**63, 170, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rnd.integers(0, 2**63, 30, dtype=np.uint64)])) for _ in range(20_000)]
+    sets[77] = np.unique(np.concatenate([sets[9][:-3], rnd.integers(0, 2**63, 3, dtype=np.uint64)]))
+    began = time.time()
+    assert simhash.similar(sets, list(range(20_000)), 0.8) == [(9, 77)]
+    assert time.time() - began < 60
+
+
+def test_large_buckets_are_compared_in_parts(spark, monkeypatch):
+    """Parts of 1,500 hashes: dense copies, unlinked texts of one template and chains, against brute force."""
+    monkeypatch.setattr(simhash, "SET_HASHES", 1500)
+    rnd = random.Random(5)
+    template = [f"t{k}" for k in range(64)]
+    texts = [" ".join(template + [f"u{i}x{k}" for k in range(14)]) for i in range(120)]  # 60 of 74 shingles shared: 0.68
+    texts += [" ".join(template[:40] + [f"v{i}"] + template[41:]) for i in range(60)]  # 55 of 65 on either side, or fewer in common
+    chain = [f"c{k}" for k in range(80)]
+    for i in range(40):
+        chain = chain[:-2] + [f"d{i}x{k}" for k in range(2)] if i % 2 else [f"e{i}"] + chain[1:]
+        texts.append(" ".join(chain))
+    rnd.shuffle(texts)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) * 5 >= 4 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = sorted({find(i) for i in range(len(texts))})
+    out = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in out) == want and 100 < len(want) < 200
