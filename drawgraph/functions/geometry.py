@@ -95,7 +95,7 @@ def contact(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.struct(F.when(hit.isNotNull(), F.lit(0.0)).otherwise(nearer["distance"]).alias("gap"), F.coalesce(hit["x"], nearer["x"]).alias("x"), F.coalesce(hit["y"], nearer["y"]).alias("y"))
 
 
-def ray_hit(o: Column, u: Column, a: Column, b: Column, most: float, back: float = RAY_BACK) -> Column:
+def ray_hit(o: Column, u: Column, a: Column, b: Column, most: Column | float, back: float = RAY_BACK) -> Column:
     """struct(distance, at) where a ray from o along unit vector u meets segment ab."""
     det = u["x"] * (b["y"] - a["y"]) - u["y"] * (b["x"] - a["x"])
     safe = F.nullif(det, F.lit(0.0))
@@ -104,8 +104,8 @@ def ray_hit(o: Column, u: Column, a: Column, b: Column, most: float, back: float
     return F.when((F.abs(det) > PARALLEL) & far.between(-back, most) & at.between(-SEGMENT_SLACK, 1 + SEGMENT_SLACK), F.struct(far.alias("distance"), at.alias("at")))
 
 
-def ray_near_miss(o: Column, u: Column, a: Column, b: Column, most: float, side: float, back: float = RAY_BACK) -> Column:
-    """struct(side_gap, reach, distance, x, y) of the best of both ends and the place where ab crosses the ray's line."""
+def ray_near_miss(o: Column, u: Column, a: Column, b: Column, most: Column | float, side: float) -> Column:
+    """struct(side_gap, reach, distance, x, y) of the best of both ends and the place where ab crosses the ray's line, none behind its start."""
 
     def seen(p: Column) -> Column:
         ahead = (p["x"] - o["x"]) * u["x"] + (p["y"] - o["y"]) * u["y"]
@@ -113,9 +113,9 @@ def ray_near_miss(o: Column, u: Column, a: Column, b: Column, most: float, side:
         return F.struct(off.alias("side_gap"), F.abs(ahead).alias("reach"), ahead.alias("distance"), p["x"].alias("x"), p["y"].alias("y"))
 
     end = point(o["x"] + u["x"], o["y"] + u["y"])
-    middle = line_meets_segment(a, b, o, end, 0.0)
+    middle = line_meets_segment(a, b, o, end, SEGMENT_SLACK)
     places = F.array_compact(F.array(seen(a), seen(b), F.when(middle.isNotNull(), seen(middle))))
-    return F.array_min(F.filter(places, lambda p: (p["side_gap"] <= side) & p["distance"].between(-back, most)))
+    return F.array_min(F.filter(places, lambda p: (p["side_gap"] <= side) & p["distance"].between(0.0, most)))
 
 
 def parallel_sine(a: Column, b: Column, c: Column, d: Column) -> Column:
