@@ -10,8 +10,8 @@ from ..functions import text as x
 
 # Confidences and tolerances that results depend on.
 LOCAL_CONFIDENCE, SECOND_AXIS = 0.7, 10.0
-#: Arrays of a reviewer's answer.
-ANSWER_PARTS = ("candidate_assessments", "final_vertices", "vertex_coordinates", "final_edges", "branches", "inter_sheet_distances", "cross_sheet_references", "uncertainties")
+#: Arrays of a reviewer's answer; the second name counts where the first is missing or empty.
+ANSWER_PARTS = (("candidate_assessments",), ("unresolved_reviews",), ("edge_routes",), ("branch_routes", "branches"), ("route_segments",), ("cross_sheet_links",), ("intermediate_distances",), ("vertex_coordinates", "points"))
 
 
 def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -90,13 +90,47 @@ def unresolved_rows(dims: DataFrame) -> DataFrame:
 
 
 def answer_rows(answers: DataFrame, page: str, text: str) -> DataFrame:
-    """Rows (page, part, pos, key, status) of all arrays of JSON answers; ids get their page, missing arrays are empty."""
-    item = "array<struct<candidate_id:string,edge_id:string,vertex_id:string,id:string,status:string>>"
-    parsed = F.from_json(text, ", ".join(f"{p} {item}" for p in ANSWER_PARTS), {"mode": "PERMISSIVE"})
-    parts = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.coalesce(F.col("_a")[p], F.array().cast(item)).alias("rows")) for p in ANSWER_PARTS]))
-    rows = answers.select(page, parsed.alias("_a")).select(page, parts.alias("_p")).select(page, "_p.part", F.posexplode("_p.rows").alias("pos", "_r"))
-    key = x.first_filled(*[F.col("_r")[c] for c in ("candidate_id", "edge_id", "vertex_id", "id")])
-    return rows.select(page, "part", "pos", x.page_key(F.col(page), key).alias("key"), F.coalesce(x.first_filled(F.col("_r")["status"]), F.lit("unknown")).alias("status"))
+    """A row for each item of the arrays of JSON answers, read as VARIANT: (page, part, pos, ids..., from_page, to_page, on_page, local_decision, item).
+
+    Ids of this page get it before them: candidate_id and candidate_key, either of which stands for the other, target_final_edge_id, edge_id, vertex_id (also named id) with
+    vertex_key, which it stands for, and its own form as local_vertex_id, and those within edge_ids and candidate_ids. Pages that an item does not name are its answer's;
+    one that it gives as null stays null. A local decision may be an object that holds it. What a part does not have is null; other fields are in item. Answers that are no
+    objects, and arrays that are missing, have no rows."""
+    field = lambda name, kind="string": F.try_variant_get("_v", f"$.{name}", kind)
+    filled = lambda *names: F.coalesce(*[F.nullif(field(n), F.lit("")) for n in names])
+    key = lambda c: x.page_key(F.col(page), c)
+    keys = lambda name: F.transform(F.coalesce(field(name, "array<string>"), F.array().cast("array<string>")), key)
+    in_ = lambda *parts: F.col("part").isin(*parts)
+
+    def own_page(name: str) -> Column:
+        """The page that an item names, null if it names null, its answer's if it names none."""
+        return F.when(field(name, "variant").isNull(), F.col(page).cast("string")).otherwise(field(name))
+
+    arrays = []
+    for names in ANSWER_PARTS:
+        lists = [F.try_variant_get("_a", f"$.{n}", "array<variant>") for n in names]
+        arrays.append(F.struct(F.lit(names[0]).alias("part"), F.coalesce(*[F.when(F.size(v) > 0, v) for v in lists]).alias("rows")))
+    rows = answers.select(page, x.answer_object(F.col(text) if isinstance(text, str) else text).alias("_a")).select(page, F.explode(F.array(*arrays)).alias("_p")).select(page, "_p.part", F.posexplode("_p.rows").alias("pos", "_v"))
+    judged, with_candidate = in_("candidate_assessments", "unresolved_reviews"), in_("intermediate_distances")
+    vertex = in_("vertex_coordinates")
+    decision = F.when(F.schema_of_variant(field("local_decision", "variant")).startswith("OBJECT"), F.try_variant_get("_v", "$.local_decision.decision", "string")).otherwise(field("local_decision"))
+    return rows.select(
+        page, "part", "pos",
+        F.when(judged, key(filled("candidate_id", "candidate_key"))).when(with_candidate, key(filled("candidate_id"))).alias("candidate_id"),
+        F.when(judged, key(filled("candidate_key", "candidate_id"))).alias("candidate_key"),
+        F.when(in_("candidate_assessments"), key(filled("target_final_edge_id"))).alias("target_final_edge_id"),
+        F.when(in_("edge_routes"), key(filled("edge_id"))).alias("edge_id"),
+        F.when(vertex, key(filled("vertex_id", "id"))).alias("vertex_id"),
+        F.when(vertex, key(filled("vertex_key", "vertex_id", "id"))).alias("vertex_key"),
+        F.when(vertex & filled("vertex_id", "id").isNotNull(), F.when(field("local_vertex_id", "variant").isNull(), filled("vertex_id", "id")).otherwise(field("local_vertex_id"))).alias("local_vertex_id"),
+        F.when(in_("branch_routes"), keys("edge_ids")).alias("edge_ids"),
+        F.when(in_("branch_routes", "route_segments"), keys("candidate_ids")).alias("candidate_ids"),
+        F.when(in_("route_segments", "cross_sheet_links", "intermediate_distances"), own_page("from_page")).alias("from_page"),
+        F.when(in_("route_segments"), own_page("to_page")).alias("to_page"),
+        F.when(in_("cross_sheet_links", "intermediate_distances", "vertex_coordinates"), own_page("page")).alias("on_page"),
+        F.when(in_("candidate_assessments"), decision).alias("local_decision"),
+        F.to_json("_v").alias("item"),
+    )
 
 
 def valve_edges(edges: DataFrame, handwheels: DataFrame) -> DataFrame:

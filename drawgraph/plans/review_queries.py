@@ -108,16 +108,42 @@ def unresolved_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.unresolved_rows(rows)
 
 
-@query(t.with_views("""a as (select page, dim_id, row_number() over (partition by page order by dim_id) - 1 as pos, local_decision from dims)
-select page, 'candidate_assessments' as part, cast(pos as int) as pos, case when dim_id % 3 = 0 then page || ':' || dim_id when dim_id % 3 = 1 then '7:' || dim_id end as key, case when dim_id % 4 = 0 then 'unknown' else local_decision end as status from a
-union all select page, 'branches', cast(pos as int), page || ':B' || dim_id, 'unknown' from a""", "dims"))
+_ANSWER_SQL = """a as (select page, dim_id as k, cast(row_number() over (partition by page order by dim_id) - 1 as int) as pos, local_decision as d from dims),
+e as (select page, pos, k, d, page || ':' as own, cast(page as varchar) as pg from a),
+r as (select page, 'candidate_assessments' as part, pos, case k % 3 when 0 then own || k when 1 then '7:' || k else own || 'K' || k end as candidate_id, case k % 3 when 0 then own || k when 1 then '7:' || k else own || 'K' || k end as candidate_key,
+  case when k % 4 = 0 then own || 'F' || k end as target_final_edge_id, null as edge_id, null as vertex_id, null as vertex_key, null as local_vertex_id, null as edge_ids, null as candidate_ids, null as from_page, null as to_page, null as on_page, d as local_decision from e
+union all select page, 'unresolved_reviews', pos, own || 'K' || k, own || 'K' || k, null, null, null, null, null, null, null, null, null, null, null from e where k % 2 = 0
+union all select page, 'edge_routes', pos, null, null, null, own || k, null, null, null, null, null, null, null, null, null from e
+union all select page, 'branch_routes', pos, null, null, null, null, null, null, null, own || 'e' || k || ',9:x', own || k, null, null, null, null from e
+union all select page, 'route_segments', pos, null, null, null, null, null, null, null, null, own || k, case when k % 2 = 0 then '5' else pg end, pg, null, null from e
+union all select page, 'cross_sheet_links', pos, null, null, null, null, null, null, null, null, null, pg, null, case when k % 2 = 0 then '3' else pg end, null from e
+union all select page, 'intermediate_distances', pos, case when k % 2 = 0 then own || k end, null, null, null, null, null, null, null, null, case when k % 2 = 1 then pg end, null, pg, null from e
+union all select page, 'vertex_coordinates', pos, null, null, null, null, own || 'V' || k, case when k % 2 = 0 then own || 'V' || k else own || 'W' end, 'V' || k, null, null, null, null, pg, null from e)
+select r.* replace (cast(row_number() over (partition by page, part order by pos) - 1 as int) as pos) from r"""
+
+
+@query(t.with_views(_ANSWER_SQL, "dims"))
 def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON answers of one page each, of whose eight arrays two are there."""
-    k = F.col("dim_id")
-    one = F.struct("dim_id", F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(F.lit("7:"), k)).alias("candidate_id"), F.when(k % 4 != 0, F.col("local_decision")).alias("status"))
-    pages = t.dims(spark, sf_dir).groupBy("page").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    answer = F.to_json(F.struct(F.col("rows").alias("candidate_assessments"), F.transform("rows", lambda r: F.struct(F.concat(F.lit("B"), r["dim_id"]).alias("id"))).alias("branches")))
-    return review.answer_rows(pages.select("page", answer.alias("answer")), "page", F.col("answer"))
+    """JSON answers of one page each, with all of their arrays, some by their other names, and nested lists of ids."""
+    k, odd = F.col("dim_id"), F.col("dim_id") % 2 == 1
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    items = {
+        "candidate_assessments": text("{", F.when(k % 3 == 0, text('"candidate_id":"', k, '"')).when(k % 3 == 1, text('"candidate_id":"7:', k, '","candidate_key":""')).otherwise(text('"candidate_key":"K', k, '"')), F.when(k % 4 == 0, text(',"target_final_edge_id":"F', k, '"')).otherwise(""), ',"local_decision":', F.when(odd, text('{"decision":"', F.col("local_decision"), '"}')).otherwise(text('"', F.col("local_decision"), '"')), "}"),
+        "unresolved_reviews": F.when(~odd, text('{"candidate_key":"K', k, '"}')),
+        "edge_routes": text('{"edge_id":', k, "}"),
+        "branches": text('{"edge_ids":["e', k, '","9:x"],"candidate_ids":[', k, "]}"),
+        "route_segments": text('{"candidate_ids":["', k, '"]', F.when(odd, "").otherwise(',"from_page":5'), "}"),
+        "cross_sheet_links": F.when(odd, "{}").otherwise('{"page":3}'),
+        "intermediate_distances": F.when(odd, '{"candidate_id":""}').otherwise(text('{"from_page":null,"candidate_id":"', k, '"}')),
+        "points": F.when(odd, text('{"id":"V', k, '","vertex_key":"W"}')).otherwise(text('{"vertex_id":"V', k, '"}')),
+    }
+    rows = t.dims(spark, sf_dir).select("page", "dim_id", *[v.alias(n) for n, v in items.items()])
+    pages = rows.groupBy("page").agg(*[F.array_sort(F.collect_list(F.when(F.col(n).isNotNull(), F.struct("dim_id", F.col(n).alias("j"))))).alias(n) for n in items])
+    lists = {n: text("[", F.array_join(F.transform(n, lambda r: r["j"]), ","), "]") for n in items}
+    named = [text('"', F.when(F.col("page") % 2 == 0, {"branches": "branch_routes", "points": "vertex_coordinates"}.get(n, n)).otherwise(n), '":', v) for n, v in lists.items()]
+    answer = text("{", F.when(F.col("page") % 2 == 1, '"branch_routes":[],').otherwise(""), F.concat_ws(",", *named), "}")
+    found = review.answer_rows(pages.select("page", answer.alias("answer")), "page", "answer")
+    return found.drop("item").withColumns({c: F.array_join(c, ",") for c in ("edge_ids", "candidate_ids")})
 
 
 @query(t.with_views("""w as (select page, dim_id as wheel_id, page * 800 + 101 + dim_id % 3 as edge_id, dim_id % 5 = 0 as created from dims where dim_id % 7 <> 0)
