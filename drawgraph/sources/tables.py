@@ -147,3 +147,15 @@ VIEWS = {
 def with_views(sql: str, *names: str) -> str:
     """A query over some of VIEWS, in their order."""
     return "with " + ",\n".join(f"{n} as (\n{VIEWS[n]}\n)" for n in VIEWS if n in names) + ("\n" if sql.lstrip().startswith("select") else ",\n") + sql.strip()
+
+
+def drawn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, seg_id, x0, y0, x1, y1): thin strokes as they are drawn: in two halves, and every third with the two legs of an arrowhead at its end."""
+    s = thin_strokes(spark, sf_dir)
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    size = F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
+    mx, my, ux, uy = (x0 + x1) / 2, (y0 + y1) / 2, (x1 - x0) / size, (y1 - y0) / size
+    part = lambda k, *ends: F.struct(F.lit(k).alias("k"), *[v.alias(n) for v, n in zip(ends, ("x0", "y0", "x1", "y1"), strict=True)])
+    legs = [part(2 + i, x1, y1, x1 - 6 * ux - side * 3 * uy, y1 - 6 * uy + side * 3 * ux) for i, side in enumerate((1, -1))]
+    parts = F.concat(F.array(part(0, x0, y0, mx, my), part(1, mx, my, x1, y1)), F.when(F.col("stroke_id") % 3 == 0, F.array(*legs)).otherwise(F.array().cast("array<struct<k: int, x0: double, y0: double, x1: double, y1: double>>")))
+    return s.select("page", "stroke_id", F.explode(parts).alias("p")).select("page", (F.col("stroke_id") * 4 + F.col("p.k")).alias("seg_id"), "p.x0", "p.y0", "p.x1", "p.y1")
