@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import lengths
@@ -72,6 +72,44 @@ def route_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.route_totals(rows)
 
 
+_REVIEWED_SQL = """c as (select d.*, c.edge_id, c.route_type, cast(floor(d.page / 4) as int) as line_no from dims d join candidate_edges c on c.dim_id = d.dim_id),
+twice as (select line_no, dim_id as pos, page, dim_id, page || ':' || dim_id as key, edge_id, local_decision, value_mm from c
+  union all select line_no, dim_id + 10000000000, page + 1, dim_id, page || ':' || dim_id, edge_id, 'include', value_mm * 2 from c where dim_id % 10 = 0),
+d as (select * from twice qualify row_number() over (partition by line_no, key order by pos) = 1),
+a as (select line_no, key, max(case when k = 0 then s end) as s0, max(case when k = 1 then s end) as s1 from (
+  select c.line_no, c.page || ':' || c.dim_id as key, case when c.dim_id % 2 = 0 then 0 else 1 end as k, {'a': r.assessment, 'p': r.proposed, 'n': case when c.dim_id % 3 = 0 then 'include' end} as s from c join reviews r on r.dim_id = c.dim_id) group by 1, 2),
+er as (select line_no, edge_id, arg_max(coalesce(route_type, 'main'), dim_id) as route from c where edge_id is not null group by 1, 2),
+b as (select *, case when dim_id % 19 = 0 then 'BC-' || line_no when edge_id % 10 = 2 then 'BR-' || (page % 2) end as branch_id from d),
+has as (select distinct line_no, branch_id from (select line_no, 'BR-' || (page % 2) as branch_id from c where edge_id % 10 = 2 union all select line_no, 'BC-' || line_no from c where dim_id % 19 = 0)),
+p as (select b.*, coalesce(s0, s1) as s, er.route as edge_route, b.dim_id % 7 = 0 as keep, b.dim_id % 11 = 0 as accept from b left join a on a.line_no = b.line_no and a.key = b.key left join er on er.line_no = b.line_no and er.edge_id = b.edge_id),
+q as (select line_no, case when branch_id is not null or edge_route = 'branch' then 'branch' else 'main' end as route, branch_id, value_mm, false as between,
+  case when keep then local_decision when accept then coalesce(s.p, local_decision) when s.p is not null then s.p when s.a = 'accepted' then coalesce(s.n, local_decision) when s.a in ('disputed', 'insufficient') then 'ambiguous' else local_decision end as decision from p),
+i as (select *, row_number() over (partition by line_no order by dim_id) - 1 as idx, case when dim_id % 3 = 0 then 'BR-' || (dim_id % 2) end as br from c where dim_id % 23 = 0),
+u as (select * from q union all select i.line_no, case when has.branch_id is not null or dim_id % 5 = 0 then 'branch' else 'main' end, has.branch_id, case when dim_id % 4 = 0 then 0 else value_mm end, true, 'include' from i left join has on has.line_no = i.line_no and has.branch_id = br where idx % 2 = 0 and dim_id % 4 <> 0)
+"""
+
+
+@query(t.with_views(_REVIEWED_SQL + f"select line_no, route, branch_id, {_SUMS}, count(*) filter (decision = 'include' and not between) as n_candidates, count(*) filter (between) as n_distances, cast(grouping(line_no, route, branch_id) as bigint) as level from u group by grouping sets ((line_no, route, branch_id), (line_no, route), (line_no))", "dims", "candidate_edges", "reviews"))
+def reviewed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A09 with R10, R11 and distances between sheets: some candidates are listed twice, reviews and branches name them with and without their page."""
+    d, k = t.dims(spark, sf_dir), F.col("dim_id")
+    line = F.floor(F.col("page") / 4).cast("int").alias("line_no")
+    c = d.join(t.candidate_edges(d).drop("page"), "dim_id").withColumn("line_no", line)
+    name = F.concat_ws(":", "page", "dim_id")
+    dims = c.select("line_no", k.alias("pos"), "page", "dim_id", F.when(k % 4 != 0, name).alias("candidate_key"), "edge_id", "local_decision", "value_mm")
+    dims = dims.unionByName(c.filter(k % 10 == 0).select("line_no", (k + 10_000_000_000).alias("pos"), (F.col("page") + 1).alias("page"), "dim_id", name.alias("candidate_key"), "edge_id", F.lit("include").alias("local_decision"), (F.col("value_mm") * 2).alias("value_mm")))
+    assessments = c.join(t.reviews(d), "dim_id").select("line_no", k.alias("pos"), F.when(k % 2 == 0, name).otherwise(k.cast("string")).alias("candidate_id"), "assessment", "proposed", F.when(k % 3 == 0, "include").alias("noted"))
+    edges = c.filter("edge_id is not null").select("line_no", k.alias("pos"), F.col("edge_id").cast("string").alias("edge_id"), F.coalesce("route_type", F.lit("main")).alias("route_type"))
+    none = F.array().cast("array<string>")
+    by_edge = c.filter("edge_id % 10 = 2").groupBy("line_no", "page").agg(F.max(k).alias("pos"), F.collect_set(F.concat_ws(":", "page", "edge_id")).alias("edge_ids")).select("line_no", "pos", F.concat(F.lit("BR-"), F.col("page") % 2).alias("branch_id"), none.alias("candidate_ids"), "edge_ids")
+    by_name = c.filter(k % 19 == 0).groupBy("line_no").agg(F.max(k).alias("pos"), F.collect_set(k.cast("string")).alias("candidate_ids")).select("line_no", "pos", F.concat(F.lit("BC-"), "line_no").alias("branch_id"), "candidate_ids", none.alias("edge_ids"))
+    place = F.row_number().over(Window.partitionBy("line_no").orderBy("dim_id")) - 1
+    between = c.filter(k % 23 == 0).withColumn("idx", place).select("line_no", "idx", F.when(k % 4 == 0, 0.0).otherwise(F.col("value_mm")).alias("value_mm"), F.when(k % 5 == 0, "Branch").alias("route"), F.when(k % 3 == 0, F.concat(F.lit("BR-"), k % 2)).alias("branch_id"))
+    said = c.groupBy("line_no").agg(F.collect_set(F.when(k % 11 == 0, name)).alias("candidate_ids"), F.collect_set(F.when(k % 7 == 0, k.cast("string"))).alias("keep_ids"))
+    confirmed = said.join(between.filter("idx % 2 = 0").groupBy("line_no").agg(F.collect_set("idx").alias("distance_ids")), "line_no", "left")
+    return lengths.reviewed_totals(dims, assessments, edges, by_edge.unionByName(by_name), confirmed, between)
+
+
 @query(t.with_views(_DECIDED + """, rows as (
   select d.dim_id, d.decision, c.kind, case d.dim_id % 4 when 0 then 'Same Axis label' when 1 then 'see sheet 3' else 'plain' end as reason from decided d join candidate_edges c on c.dim_id = d.dim_id
 ) select dim_id, coalesce(decision = 'exclude' and (kind in ('valve_dimension', 'cross_sheet_dimension', 'other') or regexp_matches(lower(reason), 'handwheel|cross_sheet|see sheet|continuation|invalid_overlap|same axis')), false) as invalid from rows""", "dims", "reviews", "overrides", "candidate_edges"))
