@@ -175,11 +175,13 @@ def as_segments(points: DataFrame, key: str) -> DataFrame:
     return points.select("page", key, g.point(F.col("x"), F.col("y")).alias("a"), g.point(F.col("x"), F.col("y")).alias("b"))
 
 
-def pipe_anchors(points: DataFrame, pipes: DataFrame, key: str, plain: float = 20.0, led: float = 35.0) -> DataFrame:
-    """The nearest pipe edge of points(page, id, p, leader) within 20, or 35 for those with a leader; null beyond."""
-    found = nearest(points, pipes, "p", key)
-    most = F.when(F.col("leader"), led).otherwise(plain)
-    return found.select("page", "id", "leader", F.when(F.col("d2") <= most * most, F.col("near_id")).alias("near_id"))
+def pipe_anchors(dims: DataFrame, edges: DataFrame, plain: float = 20.0, led: float = 35.0) -> DataFrame:
+    """Where dims(page, id, edge_id, a, b, leader) are anchored on their own edge(page, edge_id, c, d): (page, id, edge_id, at, x, y, gap). The end of the line that is nearer to it counts,
+    within 20, or 35 for those with a leader; others are left out."""
+    rows = dims.join(edges, ["page", "edge_id"])
+    one, two = g.to_segment(F.col("a"), F.col("c"), F.col("d")), g.to_segment(F.col("b"), F.col("c"), F.col("d"))
+    rows = rows.withColumn("foot", F.when(one["distance"] <= two["distance"], one).otherwise(two)).filter(F.col("foot.distance") <= F.when(F.col("leader"), led).otherwise(plain))
+    return rows.select("page", "id", "edge_id", F.round("foot.at", 4).alias("at"), F.round("foot.x", 2).alias("x"), F.round("foot.y", 2).alias("y"), F.round("foot.distance", 2).alias("gap"))
 
 
 def touching(edges: DataFrame, most: float = 12.0) -> DataFrame:

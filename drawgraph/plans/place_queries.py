@@ -38,13 +38,20 @@ def anchor_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("page", "dim_id").agg(F.min_by("near_id", F.struct("d2", "near_id")).alias("n")).select("page", "dim_id", F.col("n.x0").alias("x"), F.col("n.y0").alias("y"))
 
 
-@query(t.with_views(_PIPES + """, e as (select page, dim_id as id, dim_id % 2 = 0 as leader, cx as px, cy as py from dims), pairs as (select * from e left join pipes on p = page), """ + _NEAREST + """
-select page, id, leader, case when d2 <= case when leader then 1225 else 400 end then edge_id end as near_id from (select *, row_number() over (partition by page, id order by d2, edge_id) as k from far) where k = 1""", "strokes", "axes", "dims"))
+@query(t.with_views(_PIPES + """, e as (select page, stroke_id as id, x0 as ax, y0 as ay, x1 as bx, y1 as "by", (x0 + x1) / 2 as px, (y0 + y1) / 2 as py from thin), pairs as (select * from e join pipes on p = page), """ + _NEAREST + """,
+own as (select * from far qualify row_number() over (partition by page, id order by d2, edge_id) = 1),
+feet as (select *, least(1.0::double, greatest(0.0::double, ((ax - x0) * sx + (ay - y0) * sy) / len2)) as ta, least(1.0::double, greatest(0.0::double, ((bx - x0) * sx + ("by" - y0) * sy) / len2)) as tb from own),
+gaps as (select *, sqrt((ax - (x0 + ta * sx)) * (ax - (x0 + ta * sx)) + (ay - (y0 + ta * sy)) * (ay - (y0 + ta * sy))) as ga, sqrt((bx - (x0 + tb * sx)) * (bx - (x0 + tb * sx)) + ("by" - (y0 + tb * sy)) * ("by" - (y0 + tb * sy))) as gb from feet),
+best as (select *, case when ga <= gb then ta else tb end as a, least(ga, gb) as gap from gaps)
+select page, id, edge_id, round(a, 4) as "at", round(x0 + a * sx, 2) as x, round(y0 + a * sy, 2) as y, round(gap, 2) as gap from best where gap <= case when id % 2 = 0 then 35 else 20 end""", "strokes", "axes", "thin"))
 def pipe_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J20"""
-    points = t.dims(spark, sf_dir).select("page", F.col("dim_id").alias("id"), (F.col("dim_id") % 2 == 0).alias("leader"), g.point(F.col("cx"), F.col("cy")).alias("p"))
+    """Thin strokes as dimension lines, their edge the pipe nearest to their middle; every second has a leader."""
+    thin = spatial.ends(t.thin_strokes(spark, sf_dir))
     pipes = spatial.ends(t.axis_strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("edge_id"), "a", "b")
-    return spatial.pipe_anchors(points, pipes, "edge_id")
+    middles = thin.select("page", F.col("stroke_id").alias("id"), g.point((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2).alias("p"))
+    own = spatial.nearest(middles, pipes, "p", "edge_id").select("page", "id", F.col("near_id").alias("edge_id"))
+    dims = thin.select("page", F.col("stroke_id").alias("id"), "a", "b", (F.col("stroke_id") % 2 == 0).alias("leader")).join(own, ["page", "id"])
+    return spatial.pipe_anchors(dims, pipes.withColumnsRenamed({"a": "c", "b": "d"}))
 
 
 @query(t.with_views("""e as (select page, stroke_id, x0 as x, y0 as y from axes union select page, stroke_id, x1, y1 from axes)

@@ -120,16 +120,12 @@ def shared_stroke_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.shared_strokes(rows)
 
 
-@query(t.with_views("""l as (select page, dim_id, cx + 8 as x1, cy from dims where dim_id % 2 = 0), v as (select page, dim_id, cx as x0, cy from dims where dim_id % 2 = 1),
-pairs as (select l.page, l.dim_id as label_id, v.dim_id as value_id, row_number() over (partition by l.page, l.dim_id order by v.x0 - l.x1, v.dim_id) as k from l join v on l.page = v.page and abs(l.cy - v.cy) <= 40 and v.x0 - l.x1 between 0 and 200)
-select page, label_id, value_id from pairs where k = 1""", "dims"))
+@query(t.with_views("""pairs as (select l.page, l.id as label_id, v.id as value_id, row_number() over (partition by l.page, l.id order by v.x0 - l.x1, v.id) as k from letters l join letter_values v on l.page = v.page and abs(l.cy - v.cy) <= 2 and v.x0 - l.x1 between 0 and 8)
+select page, label_id, value_id from pairs where k = 1""", "label_texts", "letters", "letter_values"))
 def values_beside_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J08, T12, on a wider row, as the derived labels are sparse."""
-    d = t.dims(spark, sf_dir)
-    l, v = d.filter("dim_id % 2 = 0").alias("l"), d.filter("dim_id % 2 = 1").alias("v")
-    gap = F.col("v.cx") - (F.col("l.cx") + 8)
-    pairs = l.join(v, (F.col("l.page") == F.col("v.page")) & (F.abs(F.col("l.cy") - F.col("v.cy")) <= 40) & gap.between(0, 200))
-    return pairs.groupBy(F.col("l.page").alias("page"), F.col("l.dim_id").alias("label_id")).agg(F.min_by("v.dim_id", F.struct(gap, F.col("v.dim_id"))).alias("value_id"))
+    """J08, T12"""
+    w = t.coordinate_words(spark, sf_dir)
+    return spatial.same_row_values(w.filter("is_label"), w.filter("not is_label"))
 
 
 @query(t.with_views("""select d.page, d.dim_id from dims d where d.page % 5 <> 0 and not exists (select 1 from axes a where a.page = d.page and abs(a.x0 - d.cx) <= 20 and abs(a.y0 - d.cy) <= 20)""", "strokes", "axes", "dims"))
@@ -199,13 +195,13 @@ def near_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.near_marks(d, arrows, d, others=True)
 
 
-@query(t.with_views("""p as (select *, x1 - x0 as dx, y1 - y0 as dy, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) as len2 from axes), s as (select * from thin),
-pairs as (select s.page, s.stroke_id, s.x0 as ax, s.y0 as ay, s.x1 as bx, s.y1 as b_y, p.x0, p.y0, p.dx, p.dy, case when len2 = 0 then 0 else least(1.0::double, greatest(0.0::double, ((s.x0 - p.x0) * dx + (s.y0 - p.y0) * dy) / len2)) end as pa, case when len2 = 0 then 0 else least(1.0::double, greatest(0.0::double, ((s.x1 - p.x0) * dx + (s.y1 - p.y0) * dy) / len2)) end as pb from s join p on p.page = s.page),
-hit as (select distinct page, stroke_id from pairs where (ax - (x0 + pa * dx)) * (ax - (x0 + pa * dx)) + (ay - (y0 + pa * dy)) * (ay - (y0 + pa * dy)) <= 400 and (bx - (x0 + pb * dx)) * (bx - (x0 + pb * dx)) + (b_y - (y0 + pb * dy)) * (b_y - (y0 + pb * dy)) <= 400)
-select s.page, s.stroke_id as id, h.stroke_id is not null as reserved from s left join hit h on h.page = s.page and h.stroke_id = s.stroke_id""", "strokes", "axes", "thin"))
+@query(t.with_views("""p as (select *, x1 - x0 as dx, y1 - y0 as dy, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) as len2 from axes),
+pairs as (select s.page, s.seg_id, s.x0 as ax, s.y0 as ay, s.x1 as bx, s.y1 as b_y, p.x0, p.y0, p.dx, p.dy, least(1.0::double, greatest(0.0::double, ((s.x0 - p.x0) * dx + (s.y0 - p.y0) * dy) / len2)) as pa, least(1.0::double, greatest(0.0::double, ((s.x1 - p.x0) * dx + (s.y1 - p.y0) * dy) / len2)) as pb from drawn s join p on p.page = s.page),
+gaps as (select page, seg_id, greatest((ax - (x0 + pa * dx)) * (ax - (x0 + pa * dx)) + (ay - (y0 + pa * dy)) * (ay - (y0 + pa * dy)), (bx - (x0 + pb * dx)) * (bx - (x0 + pb * dx)) + (b_y - (y0 + pb * dy)) * (b_y - (y0 + pb * dy))) as d2 from pairs), best as (select page, seg_id, min(d2) as d2 from gaps group by 1, 2)
+select s.page, s.seg_id as id, coalesce(d2 <= 9, false) as reserved, coalesce(d2 <= 6.25, false) as on_pipe from drawn s left join best b on b.page = s.page and b.seg_id = s.seg_id""", "strokes", "axes", "thin", "drawn"))
 def reserved_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J27, J28, with a wider slack, as derived strokes are far apart."""
-    s = spatial.ends(t.thin_strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("id"), "a", "b")
+    """Drawn segments that lie on a pipe, within 3 as a handwheel's arrow would, within 2.5 as a part of it."""
+    s = spatial.ends(t.drawn_segments(spark, sf_dir)).select("page", F.col("seg_id").alias("id"), "a", "b")
     pipes = spatial.ends(t.axis_strokes(spark, sf_dir), "c", "d").select("page", "c", "d")
-    on = spatial.reserved(s, pipes, 20.0).select("page", "id", F.lit(True).alias("reserved"))
-    return on.unionByName(spatial.on_pipes(s, pipes, 20.0).select("page", "id", F.lit(False).alias("reserved")))
+    rows = s.join(spatial.reserved(s, pipes).select("page", "id", F.lit(True).alias("reserved")), ["page", "id"], "left").join(spatial.on_pipes(s, pipes).select("page", "id", F.lit(False).alias("on_pipe")), ["page", "id"], "left")
+    return rows.select("page", "id", F.coalesce("reserved", F.lit(False)).alias("reserved"), F.coalesce("on_pipe", F.lit(True)).alias("on_pipe"))

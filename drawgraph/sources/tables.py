@@ -159,3 +159,29 @@ def drawn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = [part(2 + i, x1, y1, x1 - 6 * ux - side * 3 * uy, y1 - 6 * uy + side * 3 * ux) for i, side in enumerate((1, -1))]
     parts = F.concat(F.array(part(0, x0, y0, mx, my), part(1, mx, my, x1, y1)), F.when(F.col("stroke_id") % 3 == 0, F.array(*legs)).otherwise(F.array().cast("array<struct<k: int, x0: double, y0: double, x1: double, y1: double>>")))
     return s.select("page", "stroke_id", F.explode(parts).alias("p")).select("page", (F.col("stroke_id") * 4 + F.col("p.k")).alias("seg_id"), "p.x0", "p.y0", "p.x1", "p.y1")
+
+
+def box_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, x0, y0, x1, y1): the four sides of a box around every ninth label, those of odd number without one side, some wider than a box may be."""
+    k, cx, cy = F.col("dim_id"), F.col("cx"), F.col("cy")
+    half = (6 + k % 20).cast("double")
+    sides = F.array(*[F.struct(F.lit(i).alias("i"), *[v.alias(n) for v, n in zip(ends, ("x0", "y0", "x1", "y1"), strict=True)]) for i, ends in enumerate(((cx - half, cy - 5, cx + half, cy - 5), (cx - half, cy + 5, cx + half, cy + 5), (cx - half, cy - 5, cx - half, cy + 5), (cx + half, cy + 5, cx + half, cy - 5)))])
+    return dims(spark, sf_dir).filter(k % 9 == 0).select("page", "dim_id", F.explode(sides).alias("s")).filter((F.col("dim_id") % 2 == 0) | (F.col("s.i") != 3)).select("page", "s.x0", "s.y0", "s.x1", "s.y1")
+
+
+def coordinate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, id, is_label, x0, x1, cy): axis letters and, on most of their rows, a value to their right, some too far or too low."""
+    k = F.col("label_id")
+    letters = label_texts(spark, sf_dir).filter(k % 7 == 1).select("page", k.alias("id"), F.lit(True).alias("is_label"), F.col("cx").alias("x0"), (F.col("cx") + 8).alias("x1"), "cy")
+    values = letters.filter("id % 5 <> 0").select("page", (F.col("id") + 1_000_000_000).alias("id"), F.lit(False).alias("is_label"), (F.col("x1") + F.col("id") % 11).alias("x0"), (F.col("x1") + F.col("id") % 11 + 30).alias("x1"), (F.col("cy") + F.col("id") % 4 - 1).alias("cy"))
+    return letters.unionByName(values)
+
+
+VIEWS |= {
+    "boxes": """select page, unnest([{'x0': cx - h, 'y0': cy - 5, 'x1': cx + h, 'y1': cy - 5}, {'x0': cx - h, 'y0': cy + 5, 'x1': cx + h, 'y1': cy + 5}, {'x0': cx - h, 'y0': cy - 5, 'x1': cx - h, 'y1': cy + 5}] || case when dim_id % 2 = 0 then [{'x0': cx + h, 'y0': cy + 5, 'x1': cx + h, 'y1': cy - 5}] else [] end, recursive := true)
+  from (select *, cast(6 + dim_id % 20 as double) as h from dims where dim_id % 9 = 0)""",
+    "letters": """select page, label_id as id, cx as x0, cx + 8 as x1, cy from label_texts where label_id % 7 = 1""",
+    "letter_values": """select page, id + 1000000000 as id, x1 + id % 11 as x0, cy + id % 4 - 1 as cy from letters where id % 5 <> 0""",
+    "drawn": """select page, stroke_id * 4 as seg_id, x0, y0, (x0 + x1) / 2 as x1, (y0 + y1) / 2 as y1 from thin union all select page, stroke_id * 4 + 1, (x0 + x1) / 2, (y0 + y1) / 2, x1, y1 from thin
+  union all select page, stroke_id * 4 + 2 + k, x1, y1, x1 - 6 * ((x1 - x0) / size) - f * 3 * ((y1 - y0) / size), y1 - 6 * ((y1 - y0) / size) + f * 3 * ((x1 - x0) / size) from (select *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) as size from thin where stroke_id % 3 = 0), (values (0, 1), (1, -1)) as legs(k, f)""",
+}
