@@ -290,9 +290,12 @@ def number_documents(docs: DataFrame) -> DataFrame:
         rows, ids = docs.select(F.count(F.lit(1)), F.countDistinct(doc)).first()
         if rows == ids:
             return docs.withColumn("doc", doc)
-    whole = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "whole")
-    order = whole.select("__row", "doc_id", key_of(F.col("text")).alias("key")).orderBy(F.col("doc_id").asc_nulls_first(), "key", "__row")
-    return whole.join(settle(order.select("__row", F.monotonically_increasing_id().alias("doc")), "order"), "__row").drop("__row")
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    whole = settle(docs.withColumn(row, F.monotonically_increasing_id()), "whole")
+    order = whole.select(row, "doc_id", key_of(F.col("text")).alias("key")).orderBy(F.col("doc_id").asc_nulls_first(), "key", row)
+    return whole.join(settle(order.select(row, F.monotonically_increasing_id().alias("doc")), "order"), row).drop(row)
 
 
 def _splitters(some: DataFrame, buckets: int) -> np.ndarray:
