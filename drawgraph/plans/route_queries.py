@@ -67,11 +67,12 @@ feet as (select w.page, w.id, e.stroke_id, w.x, w.y, x0, y0, dx, dy, case when l
 near as (select page, id, stroke_id, (x - (x0 + s * dx)) * (x - (x0 + s * dx)) + (y - (y0 + s * dy)) * (y - (y0 + s * dy)) as d2 from feet where d2 <= 2025),
 best as (select page, id, stroke_id, d2 from near qualify row_number() over (partition by page, id order by d2, stroke_id) = 1)
 select w.page, w.id, cast(w.pos as int) as pos, w.x is not null as arrow_found, case when w.x is not null then coalesce(cast(b.stroke_id as varchar), 'HW_EDGE_' || case when w.pos < 10 then '00' when w.pos < 100 then '0' else '' end || w.pos) end as edge_id, round(sqrt(b.d2), 2) as distance,
-  case when w.x is not null then b.id is null end as edge_created, case when w.x is not null then case when b.id is null then 'handwheel_attachment' else 'pipe_edge' end end as edge_kind, case when w.x is not null then b.id is not null end as is_pipe_edge from wheels w left join best b on b.page = w.page and b.id = w.id""", "strokes", "axes", "dims"))
+  w.x is not null and b.id is null as edge_created, case when w.x is not null then case when b.id is null then 'handwheel_attachment' else 'pipe_edge' end end as edge_kind, b.id is not null as is_pipe_edge from wheels w left join best b on b.page = w.page and b.id = w.id""", "strokes", "axes", "dims"))
 def handwheel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every label as a handwheel, a fifth without an arrow, with its pipe edge or one of its own."""
     k = F.col("dim_id")
     pos = F.row_number().over(Window.partitionBy("page").orderBy("dim_id"))
     wheels = t.dims(spark, sf_dir).select("page", k.alias("id"), pos.alias("pos"), F.when(k % 5 != 0, g.point(F.col("cx"), F.col("cy"))).alias("tip"))
     edges = spatial.ends(t.axis_strokes(spark, sf_dir)).select("page", F.col("stroke_id").alias("edge_id"), "a", "b")
-    return routes.handwheel_edges(wheels, edges)
+    told = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return routes.handwheel_edges(wheels, edges).select("page", "id", "pos", "arrow_found", "edge_id", "distance", told("edge_created"), "edge_kind", told("is_pipe_edge"))
