@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,8 +55,6 @@ def interrupted(log: DataFrame) -> DataFrame:
 
 def last_events(log: DataFrame, most: int = 12) -> DataFrame:
     """The last events of each page, light columns only."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("run_id", "page").orderBy(F.desc("seq")))
     return log.select("run_id", "page", "seq", "status", place.alias("place")).filter(F.col("place") <= most)
 
@@ -69,3 +67,22 @@ def confirmed(rows: DataFrame) -> DataFrame:
 def create_table(spark: SparkSession, name: str, columns: str) -> None:
     """D01"""
     spark.sql(f"create table if not exists {name} ({columns}) using parquet")
+
+
+def run_trees(log: DataFrame, most: int = 12) -> DataFrame:
+    """(run_id, created_at, tree): a run with its lines in the order of their first event, those with their pages by number, those with their last events, as one JSON text; nulls are told.
+
+    A page's error is that of its last failure. A line is complete if all its pages are, failed if one is, else running; a run likewise. A run has few lines and pages, however many events: these are
+    summed before they are nested, and only the last ones of a page are listed."""
+    at = ["run_id", "line_id", "page"]
+    state = log.groupBy(*at).agg(F.min("at").alias("created_at"), F.min("seq").alias("first"), F.max_by("status", "seq").alias("status"), F.max(F.when(F.col("status") == "error", F.col("seq"))).alias("error"), F.sum("seconds").alias("seconds"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_events"))
+    place = F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("seq")))
+    events = log.select(*at, "seq", "status", place.alias("place")).filter(F.col("place") <= most).groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("seq", "status"))).alias("events"))
+    page = F.struct(F.col("page").alias("page_number"), "status", "error", "seconds", "tokens", "n_events", "events")
+    worst = lambda c: F.when(F.bool_or(F.col(c) == "error"), "error").when(F.bool_and(F.col(c) == "complete"), "complete").otherwise("running")
+    lines = state.join(events, at).groupBy("run_id", "line_id").agg(F.min("created_at").alias("created_at"), F.min("first").alias("first"), worst("status").alias("status"), F.array_sort(F.collect_list(page)).alias("page_results"))
+    line = F.struct("first", F.struct("line_id", F.transform("page_results", lambda p: p["page_number"]).alias("pages"), "status", "page_results").alias("line"))
+    runs = lines.groupBy("run_id").agg(F.min("created_at").alias("created_at"), worst("status").alias("status"), F.array_sort(F.collect_list(line)).alias("lines"))
+    listed = F.transform("lines", lambda x: x["line"])
+    tree = F.struct("run_id", "status", F.transform(listed, lambda x: x["line_id"]).alias("line_ids"), listed.alias("lines"))
+    return runs.select("run_id", "created_at", F.to_json(tree, {"ignoreNullFields": "false"}).alias("tree"))

@@ -114,3 +114,50 @@ def confirmed_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = f.groupBy("run_id").agg(ids(F.col("rating") == "up").alias("accepted"), ids(F.col("rating") == "down").alias("kept"), ids(F.col("id") % 9 != 0).alias("known"))
     out = store.confirmed(sets)
     return out.select("run_id", *[F.array_join(c, ",").alias(c) for c in ("accepted", "kept", "unknown")])
+
+
+_EVALUATED = """expected as (select doc_id // 40 as group_id, (doc_id // 10) % 4 as sheet, doc_id as candidate_id, case when doc_id % 17 <> 0 then case when quality = 1 then 'include' else 'exclude' end end as expected from labels where (doc_id // 40) % 5 <> 4 and ((doc_id // 40) % 3 <> 2 or (doc_id // 10) % 4 <> 3)),
+said as (select 'v' || v as version, doc_id // 40 as group_id, (doc_id // 10) % 4 as sheet, doc_id as candidate_id, case when (n_chars + v) % 3 <> 0 then 'include' else 'exclude' end as actual from documents, (values (0), (1), (2)) as versions(v) where (doc_id + v) % 10 <> 3),
+answered as (select distinct version, group_id, sheet from said), wanted as (select version, group_id, sheet, candidate_id, expected from answered join expected using (group_id, sheet)),
+paired as (select version, group_id, sheet, candidate_id, w.expected, s.actual, w.candidate_id is not null as known, s.candidate_id is not null as told from wanted w full join said s using (version, group_id, sheet, candidate_id)),
+states as (select version, group_id, sheet, count(*) filter (known) as total from paired group by all), kept as (select p.* from paired p join states s using (version, group_id, sheet) where s.total > 0),
+lists as (select version, group_id, count(*) filter (known) as total, count(*) filter (known and expected is not distinct from actual) as correct, string_agg(sheet || ':' || candidate_id || ':' || coalesce(expected, '-') || ':' || coalesce(actual, '-'), ' ' order by sheet, candidate_id) filter (known and expected is distinct from actual) as mismatches,
+  string_agg(sheet || ':' || candidate_id, ' ' order by sheet || ':' || candidate_id) filter (known and not told) as missing, string_agg(sheet || ':' || candidate_id, ' ' order by sheet || ':' || candidate_id) filter (not known) as extra from kept group by 1, 2),
+groups_ as (select a.version, a.group_id, coalesce(l.total, 0) as total, coalesce(l.correct, 0) as correct, coalesce(l.total - l.correct, 0) as incorrect, coalesce(l.mismatches, '') as mismatches, coalesce(l.missing, '') as missing, coalesce(l.extra, '') as extra, round(coalesce(l.correct, 0)::double / greatest(coalesce(l.total, 0), 1) * 100, 2) as accuracy,
+  case when l.total > 0 then 'evaluated' when a.group_id in (select group_id from expected) then 'empty' else 'not_configured' end as status from (select distinct version, group_id from answered) a left join lists l using (version, group_id))
+"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of forty candidates on four sheets, answered under three versions of a prompt; every fifth line has no truth, and one sheet of every third."""
+    k = F.col("doc_id")
+    at = [F.floor(k / 40).alias("group_id"), (F.floor(k / 10) % 4).alias("sheet"), k.alias("candidate_id")]
+    has = (F.col("group_id") % 5 != 4) & ((F.col("group_id") % 3 != 2) | (F.col("sheet") != 3))
+    truth = t.supplied(spark, sf_dir, "labels").select(*at, F.when(k % 17 != 0, F.when(F.col("quality") == 1, "include").otherwise("exclude")).alias("expected")).filter(has)
+    said = t.supplied(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(F.array(*map(F.lit, range(3)))).alias("v")).filter((k + F.col("v")) % 10 != 3)
+    said = said.select(F.concat(F.lit("v"), "v").alias("version"), *at, F.when((F.col("n_chars") + F.col("v")) % 3 != 0, "include").otherwise("exclude").alias("actual"))
+    pages = said.select("version", "group_id", "sheet").distinct()
+    return evaluate.group_results(evaluate.page_results(pages, truth, said, ["version"]), ["version"])
+
+
+@query("with " + _EVALUATED + "select * from groups_")
+def evaluation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line under each version, with what differs, is missing and is too much."""
+    shown = F.transform("mismatches", lambda m: F.concat_ws(":", m["sheet"].cast("string"), m["candidate_id"].cast("string"), F.coalesce(m["expected"], F.lit("-")), F.coalesce(m["actual"], F.lit("-"))))
+    return _evaluated(spark, sf_dir).withColumns({"mismatches": F.array_join(shown, " "), "missing": F.array_join("missing", " "), "extra": F.array_join("extra", " ")})
+
+
+@query("with " + _EVALUATED + """select version, sum(total)::bigint as total, sum(correct)::bigint as correct, sum(incorrect)::bigint as incorrect, count(*) as groups, count(*) filter (status = 'evaluated') as evaluated, count(*) filter (status = 'empty') as empty, count(*) filter (status = 'not_configured') as not_configured,
+  round(sum(correct)::double / sum(total) * 100, 2) as accuracy, 'evaluated' as status from groups_ group by version having sum(total) > 0""")
+def evaluation_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each version over all lines."""
+    return evaluate.version_results(_evaluated(spark, sf_dir), ["version"])
+
+
+@query(t.with_views("""state as (select run_id, line_id, page, min("at") as created_at, min(seq) as first, max_by(status, seq) as status, max(seq) filter (status = 'error') as error, sum(seconds) as seconds, sum(tokens)::bigint as tokens, count(*) as n_events, list({'seq': seq, 'status': status} order by seq) as every from run_log group by 1, 2, 3),
+by_line as (select run_id, line_id, min(created_at) as created_at, min(first) as first, case when bool_or(status = 'error') then 'error' when bool_and(status = 'complete') then 'complete' else 'running' end as status, list(page order by page) as pages,
+  list({'page_number': page, 'status': status, 'error': error, 'seconds': seconds, 'tokens': tokens, 'n_events': n_events, 'events': every[greatest(len(every) - 11, 1):]} order by page) as page_results from state group by 1, 2)
+select run_id, min(created_at) as created_at, cast(to_json({'run_id': run_id, 'status': case when bool_or(status = 'error') then 'error' when bool_and(status = 'complete') then 'complete' else 'running' end, 'line_ids': list(line_id order by first), 'lines': list({'line_id': line_id, 'pages': pages, 'status': status, 'page_results': page_results} order by first)}) as varchar) as tree from by_line group by run_id""", "run_log"))
+def run_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with their lines, pages and last events, nested."""
+    return store.run_trees(t.run_log(spark, sf_dir))
