@@ -174,3 +174,29 @@ def coordinate_deltas(blocks: DataFrame, values: DataFrame) -> DataFrame:
     every = sure.unionByName(levels.select(*out, F.lit(0.85).alias("confidence"))).groupBy(*out).agg(F.max("confidence").alias("confidence"))
     known = values.select("page", "text").distinct().withColumn("duplicate", F.lit(True))
     return every.join(known, ["page", "text"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+
+
+# What a person may set, and how it is told.
+STATUSES = ("include", "exclude", "ambiguous")
+EDIT_REASON = "Ручная правка пользователя: %s -> %s."
+
+
+def manual_edits(decisions: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits(page, dim_id, seq, status, changed_at) with what they change: (page, dim_id, seq, old_status, new_status, reason, changed_at, rating, error), one row for each edit.
+
+    decisions(page, dim_id, decision, status), one a candidate. Edits of a candidate count one after another: the old status is that of the last accepted edit before, else the decision, else the status. An unknown
+    status is an error, then a candidate without a decision; these change nothing and are no feedback, all others rate the answer down."""
+    joined = edits.join(decisions.select("page", "dim_id", F.col("status").alias("had"), "decision", F.lit(True).alias("known")), ["page", "dim_id"], "left")
+    valid = F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
+    joined = joined.withColumn("error", F.when(~valid, "invalid_status").when(F.col("known").isNull(), "not_found"))
+    fits = F.col("error").isNull()
+    before = F.last(F.when(fits, F.col("status")), ignorenulls=True).over(Window.partitionBy("page", "dim_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    out = joined.withColumn("old_status", F.when(fits, F.coalesce(before, "decision", "had")))
+    return out.select("page", "dim_id", "seq", "old_status", F.col("status").alias("new_status"), F.when(fits, F.format_string(EDIT_REASON, "old_status", "status")).alias("reason"), "changed_at", F.when(fits, "down").alias("rating"), "error")
+
+
+def edited_decisions(decisions: DataFrame, log: DataFrame) -> DataFrame:
+    """Decisions after the accepted edits of manual_edits, with the last one's status and reason; the rest stay."""
+    last = log.filter("error is null").groupBy("page", "dim_id").agg(F.max_by(F.struct("new_status", "reason"), "seq").alias("e"), F.count(F.lit(1)).alias("edits"))
+    kept = [c for c in decisions.columns if c not in ("decision", "reason")]
+    return decisions.join(last, ["page", "dim_id"], "left").select(*kept, F.coalesce("e.new_status", "decision").alias("decision"), F.coalesce("e.reason", "reason").alias("reason"), F.coalesce("edits", F.lit(0)).alias("edits"))

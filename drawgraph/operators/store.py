@@ -86,3 +86,15 @@ def run_trees(log: DataFrame, most: int = 12) -> DataFrame:
     listed = F.transform("lines", lambda x: x["line"])
     tree = F.struct("run_id", "status", F.transform(listed, lambda x: x["line_id"]).alias("line_ids"), listed.alias("lines"))
     return runs.select("run_id", "created_at", F.to_json(tree, {"ignoreNullFields": "false"}).alias("tree"))
+
+
+def run_overviews(log: DataFrame, confirmations: DataFrame, edits: DataFrame, feedback: DataFrame) -> DataFrame:
+    """run_history with, for each run, how many fixes of the reviewer were accepted, how many local decisions kept and the difference, manual edits, and feedback by rating; 0 where there is none.
+
+    confirmations(run_id, line_id, accepted, kept) have lists of ids; edits(run_id) and feedback(run_id, rating) a row each. Errors are the first three, counts are of all."""
+    confirmed_ = confirmations.groupBy("run_id").agg(F.sum(F.coalesce(F.size("accepted"), F.lit(0))).alias("fixes"), F.sum(F.coalesce(F.size("kept"), F.lit(0))).alias("kept"))
+    out = run_history(log)
+    for part in (confirmed_, edits.groupBy("run_id").agg(F.count(F.lit(1)).alias("manual_edits")), feedback_counts(feedback, "run_id")):
+        out = out.join(part, "run_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return out.withColumns({c: n(c) for c in ("fixes", "kept", "manual_edits", "positive", "negative", "total")}).withColumn("net", F.col("fixes") - F.col("kept"))

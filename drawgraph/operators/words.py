@@ -63,3 +63,27 @@ def stamp_lines(words: DataFrame) -> DataFrame:
     texts = heads.join(v, under).groupBy("h.page", "h.head", "h.next").agg(F.array_sort(F.collect_list(F.struct("v.top", "v.x0", "v.text"))).alias("held"))
     found = texts.withColumn("line_id", F.get(x.line_ids_unspaced(F.array_join(F.transform("held", lambda w: w["text"]), " ")), F.lit(0))).filter("line_id is not null")
     return found.groupBy("page").agg(F.min_by("line_id", F.struct("head", "next")).alias("line_id"))
+
+
+# How far below the middle of the word before a line may go on, words that name a connection, an explicit reference to a sheet.
+LINE_STEP = 8.0
+CONNECTION_WORDS = ("ПОДКЛЮЧЕНИЕ", "TIE-IN", "TIE IN")
+SHEET_NAMED = r"(?iuU)\bЛИСТ\b\s*[:№]?\s*(?:№\s*)?\d+"
+
+
+def reading_rows(words: DataFrame, step: float = LINE_STEP) -> DataFrame:
+    """words(page, pos, x0, y0, x1, y1, text) in scan order with their line, from 1: a line opens where the top of a word is further than step from the middle of the word before. Blank words count for nothing."""
+    order = Window.partitionBy("page").orderBy("pos")
+    said = words.filter(F.trim("text") != "").withColumn("text", F.trim("text"))
+    opens = F.abs(F.col("y0") - F.lag((F.col("y0") + F.col("y1")) / 2).over(order)) > step
+    return said.withColumn("opens", F.coalesce(opens, F.lit(False)).cast("int")).withColumn("line", F.sum("opens").over(order) + 1).drop("opens")
+
+
+def connection_lines(words: DataFrame, strict: bool = True) -> DataFrame:
+    """Lines of a page that name a connection or another sheet: (page, line, label, x0, y0, x1, y1, kind, sheet, hint). A label has its words from left to right; lines count with those left out."""
+    lines = reading_rows(words).groupBy("page", "line").agg(F.array_sort(F.collect_list(F.struct("x0", "pos", "text"))).alias("parts"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    lines = lines.withColumn("label", F.array_join(F.transform("parts", lambda w: w["text"]), " "))
+    named = x.any_of([F.contains(F.upper("label"), F.lit(k)) for k in CONNECTION_WORDS])
+    kept = lines.filter(named | F.col("label").rlike(SHEET_NAMED)).withColumn("c", x.connection_class(F.col("label"), strict))
+    kept = kept.filter((F.col("c.kind") != "other") | F.col("c.hint") | named)
+    return kept.select("page", "line", "label", "x0", "y0", "x1", "y1", "c.kind", "c.sheet", "c.hint")

@@ -192,3 +192,42 @@ def newest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = review.last_of(t.run_log(spark, sf_dir).filter("run_id is not null").select("run_id", "seq", F.col("at").alias("created_at"), "status"), ["run_id"], "seq")
     top = last.orderBy(F.desc("created_at"), "run_id").limit(100)
     return top.select("run_id", "created_at", "status", F.row_number().over(Window.orderBy(F.desc("created_at"), "run_id")).alias("place"))
+
+
+_EDITED = """edits as (select page, dim_id, 1 as seq, 'include' as status from dims where dim_id % 7 = 0 union all select page, dim_id, 2, 'bogus' from dims where dim_id % 7 = 0 union all select page, dim_id, 3, 'exclude' from dims where dim_id % 14 = 0 union all select page, -dim_id - 1, 1, 'include' from dims where dim_id % 35 = 0),
+log as (select e.page, e.dim_id, e.seq, e.status as new_status, case when e.status = 'bogus' then 'invalid_status' when d.dim_id is null then 'not_found' end as error, case when e.seq = 3 then 'include' else coalesce(case when d.dim_id % 2 = 0 then d.local_decision end, 'exact') end as old from edits e left join dims d on d.page = e.page and d.dim_id = e.dim_id),
+told as (select page, dim_id, seq, case when error is null then old end as old_status, new_status, case when error is null then 'Ручная правка пользователя: ' || old || ' -> ' || new_status || '.' end as reason, cast(seq as bigint) as changed_at, case when error is null then 'down' end as rating, error from log)
+"""
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions of all dimensions, half of them open, and up to three edits of every seventh."""
+    d, k = t.dims(spark, sf_dir), F.col("dim_id")
+    decisions = d.select("page", "dim_id", "value_mm", F.when(k % 2 == 0, F.col("local_decision")).alias("decision"), F.lit("exact").alias("status"), F.lit(None).cast("string").alias("reason"))
+    step = lambda every, seq, status, key=k: F.when(k % every == 0, F.struct(key.alias("dim_id"), F.lit(seq).alias("seq"), F.lit(status).alias("status"), F.lit(seq).cast("long").alias("changed_at")))
+    steps = F.array_compact(F.array(step(7, 1, "include"), step(7, 2, "bogus"), step(14, 3, "exclude"), step(35, 1, "include", -k - 1)))
+    edits = d.select("page", F.explode(steps).alias("e")).select("page", "e.*")
+    return decisions, review.manual_edits(decisions, edits)
+
+
+@query(t.with_views(_EDITED + "select * from told", "dims"))
+def manual_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each edit of a person changes, and the feedback it is."""
+    return _edited(spark, sf_dir)[1]
+
+
+@query(t.with_views(_EDITED + """, last as (select page, dim_id, max_by(new_status, seq) as new_status, max_by(reason, seq) as reason, count(*) as edits from told where error is null group by 1, 2)
+select d.page, d.dim_id, d.value_mm, 'exact' as status, coalesce(l.new_status, case when d.dim_id % 2 = 0 then d.local_decision end) as decision, l.reason as reason, coalesce(l.edits, 0) as edits from dims d left join last l on l.page = d.page and l.dim_id = d.dim_id""", "dims"))
+def edited_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All decisions after the edits."""
+    return review.edited_decisions(*_edited(spark, sf_dir))
+
+
+@query(t.with_views(_EDITED + """, last as (select page, dim_id, max_by(new_status, seq) as new_status from told where error is null group by 1, 2),
+after as (select d.page, d.value_mm, coalesce(l.new_status, case when d.dim_id % 2 = 0 then d.local_decision end) as decision from dims d left join last l on l.page = d.page and l.dim_id = d.dim_id)
+select page, coalesce(sum(value_mm) filter (decision = 'include'), 0) as clean_mm, coalesce(sum(value_mm) filter (decision in ('include', 'ambiguous')), 0) as dirty_mm, coalesce(sum(value_mm) filter (decision = 'ambiguous'), 0) as ambiguous_mm from after group by page""", "dims"))
+def edited_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of every page computed again after the edits; a candidate without a decision is in none."""
+    after = review.edited_decisions(*_edited(spark, sf_dir))
+    of = lambda *d: F.sum(F.when(F.col("decision").isin(*d), F.col("value_mm")).otherwise(0.0))
+    return after.groupBy("page").agg(of("include").alias("clean_mm"), of("include", "ambiguous").alias("dirty_mm"), of("ambiguous").alias("ambiguous_mm"))

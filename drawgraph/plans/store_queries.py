@@ -161,3 +161,17 @@ select run_id, min(created_at) as created_at, cast(to_json({'run_id': run_id, 's
 def run_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs with their lines, pages and last events, nested."""
     return store.run_trees(t.run_log(spark, sf_dir))
+
+
+@query(t.with_views("""history as (select run_id, min("at") as created_at, max("at") as updated_at, coalesce(array_to_string(list_transform(list_sort(list({'s': seq, 'p': page}) filter (status = 'error'))[:3], lambda e: 'page ' || e.p), '; '), '') as errors,
+  count(*) filter (status = 'error') as error_count, nullif(sum(seconds), 0) as seconds, cast(sum(tokens) as bigint) as tokens, case when count(*) filter (status = 'error') > 0 then 'error' else max_by(status, seq) end as status from run_log group by run_id),
+fed as (select run_id, count(*) filter (rating = 'up') as positive, count(*) filter (rating = 'down') as negative, count(*) as total, count(distinct candidate_id) filter (rating = 'down') as kept, count(*) filter (id % 3 = 0) as manual_edits from feedback group by run_id),
+mixed as (select run_id, count(*) filter (up and not down) as fixes from (select run_id, candidate_id, bool_or(rating = 'up') as up, bool_or(rating = 'down') as down from feedback group by 1, 2) group by run_id)
+select h.*, coalesce(b.fixes, 0) as fixes, coalesce(f.kept, 0) as kept, coalesce(f.manual_edits, 0) as manual_edits, coalesce(f.positive, 0) as positive, coalesce(f.negative, 0) as negative, coalesce(f.total, 0) as total, coalesce(b.fixes, 0) - coalesce(f.kept, 0) as net from history h left join fed f on f.run_id = h.run_id left join mixed b on b.run_id = h.run_id""", "feedback", "run_log"))
+def run_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each day's candidates of a run."""
+    f = t.feedback(spark, sf_dir)
+    ids = lambda c: F.array_compact(F.array(F.when(c, F.col("candidate_id"))))
+    seen = f.groupBy("run_id", "candidate_id").agg(F.bool_or(F.col("rating") == "up").alias("up"), F.bool_or(F.col("rating") == "down").alias("down"))
+    confirmations = seen.select("run_id", F.col("candidate_id").alias("line_id"), ids(F.col("up") & ~F.col("down")).alias("accepted"), ids(F.col("down")).alias("kept"))
+    return store.run_overviews(t.run_log(spark, sf_dir), confirmations, f.filter("id % 3 = 0").select("run_id"), f)

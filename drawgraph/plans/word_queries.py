@@ -66,3 +66,19 @@ def coordinate_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = d.select("page", k.alias("block"), (k % 5 * 100).cast("long").alias("X"), F.when(k % 3 != 0, step).cast("long").alias("Y"), F.when(k % 4 != 0, k % 2 * 250).cast("long").alias("Z"), F.col("cx").alias("x0"), F.col("cy").alias("y0"), (F.col("cx") + 20).alias("x1"), (F.col("cy") + 30).alias("y1"))
     values = d.select("page", step.cast("long").cast("string").alias("text")).unionByName(d.filter(k % 3 == 0).select("page", F.lit("200").alias("text")))
     return review.coordinate_deltas(blocks, values)
+
+
+@query(t.with_views(r"""texts as (select label_id, page, case when label_id % 14 = 4 then 'ПОДКЛЮЧЕНИЕ ' || txt else txt end as txt, cx, cy from label_texts), tokens as (select *, unnest(string_split(txt, ' ')) as text, unnest(range(len(string_split(txt, ' ')))) as i from texts),
+placed as (select page, label_id * 100 + i as pos, cx + 30 * case when label_id % 5 = 3 then -i else i end as x0, cy - 4 + case when label_id % 6 = 0 and i >= 2 then 13 else 0 end as y0, text from tokens where text <> ''),
+marked as (select *, case when abs(y0 - lag(y0 + 4) over (partition by page order by pos)) > 8 then 1 else 0 end as opens from placed), numbered as (select *, sum(opens) over (partition by page order by pos) + 1 as line from marked),
+lines as (select page, cast(line as bigint) as line, string_agg(text, ' ' order by x0, pos) as label, min(x0) as x0, min(y0) as y0, max(x0) + 25 as x1, max(y0) + 8 as y1 from numbered group by 1, 2),
+named as (select *, contains(label, 'ПОДКЛЮЧЕНИЕ') as tie, nullif(regexp_extract(label, '(ЛИСТ|SHEET) *([0-9]+)', 2), '') as sheet from lines)
+select page, line, label, x0, y0, x1, y1, case when tie then 'tie_in' else 'continuation' end as kind, case when not tie then sheet end as sheet, not tie as hint from named where tie or regexp_matches(label, '(^| )ЛИСТ *[0-9]+')""", "label_texts"))
+def connection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels word by word, some over two rows and some from right to left, read as lines that name a connection or a sheet."""
+    k = F.col("label_id")
+    txt = F.when(k % 14 == 4, F.concat(F.lit("ПОДКЛЮЧЕНИЕ "), "txt")).otherwise(F.col("txt"))
+    w = t.label_texts(spark, sf_dir).select("label_id", "page", "cx", "cy", F.posexplode(F.split(txt, " ")).alias("i", "text"))
+    left = F.col("cx") + 30 * F.when(k % 5 == 3, -F.col("i")).otherwise(F.col("i"))
+    top = F.col("cy") - 4 + F.when((k % 6 == 0) & (F.col("i") >= 2), 13).otherwise(0)
+    return words.connection_lines(w.select("page", (k * 100 + F.col("i")).alias("pos"), left.alias("x0"), top.alias("y0"), (left + 25).alias("x1"), (top + 8).alias("y1"), "text"))

@@ -39,3 +39,31 @@ def test_run_trees(spark):
     assert page[0]["error"] == 8 and page[0]["status"] == "complete" and page[1] == {"page_number": 1, "status": "complete", "error": None, "seconds": 1.5, "tokens": 2, "n_events": 2, "events": [{"seq": 5, "status": "running"}, {"seq": 7, "status": "complete"}]}
     assert [e["seq"] for e in trees["s"]["lines"][0]["page_results"][0]["events"]] == list(range(18, 30)) and trees["s"]["lines"][0]["page_results"][0]["n_events"] == 30
     assert store.run_trees(log.limit(0)).count() == 0
+
+
+def test_manual_edits(spark):
+    from drawgraph.operators import review
+
+    decisions = spark.createDataFrame([(1, 1, None, "exact", None), (1, 2, "include", "exact", "r"), (2, 1, "exclude", "exact", None)], "page int, dim_id long, decision string, status string, reason string")
+    edits = spark.createDataFrame([(1, 1, 2, "exclude"), (1, 1, 1, "include"), (1, 1, 3, "maybe"), (1, 1, 4, None), (1, 9, 1, "include"), (2, 1, 1, "ambiguous")], "page int, dim_id long, seq int, status string").selectExpr("*", "timestamp'2024-01-01' as changed_at")
+    log = review.manual_edits(decisions, edits)
+    assert {(r.page, r.dim_id, r.seq): (r.old_status, r.rating, r.error) for r in log.collect()} == {(1, 1, 1): ("exact", "down", None), (1, 1, 2): ("include", "down", None), (1, 1, 3): (None, None, "invalid_status"), (1, 1, 4): (None, None, "invalid_status"), (1, 9, 1): (None, None, "not_found"), (2, 1, 1): ("exclude", "down", None)}
+    after = {(r.page, r.dim_id): (r.decision, r.reason, r.edits) for r in review.edited_decisions(decisions, log).collect()}
+    assert after == {(1, 1): ("exclude", "Ручная правка пользователя: include -> exclude.", 2), (1, 2): ("include", "r", 0), (2, 1): ("ambiguous", "Ручная правка пользователя: exclude -> ambiguous.", 1)}
+
+
+def test_connection_lines(spark):
+    from drawgraph.operators import words
+
+    rows = [(1, 1, 50.0, 0.0, "3"), (1, 2, 10.0, 4.0, "лист"), (1, 3, 0.0, 4.0, " "), (1, 4, 90.0, 12.0, "x"), (1, 5, 5.0, 30.0, "ЛИСТОВ 7"), (1, 6, 5.0, 60.0, "Подключение"), (1, 7, 9.0, 60.0, "A"), (2, 1, 0.0, 60.0, None)]
+    w = spark.createDataFrame(rows, "page int, pos int, x0 double, y0 double, text string").selectExpr("page", "pos", "x0", "y0", "x0 + 10 as x1", "y0 + 8 as y1", "text")
+    assert [tuple(r)[:3] + (r.kind, r.sheet, r.y1) for r in words.connection_lines(w).orderBy("line").collect()] == [(1, 1, "лист 3 x", "continuation", "3", 20.0), (1, 3, "Подключение A", "tie_in", None, 68.0)]  # 12 is 4 below the middle of 4 to 12
+    assert words.connection_lines(w.limit(0)).count() == 0
+
+
+def test_run_overviews(spark):
+    at = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([("r", 1, at, 0, 0, "error", None, None), ("s", 2, at, 0, 0, "complete", 1.0, 3)], "run_id string, seq long, at timestamp, line_id int, page int, status string, seconds double, tokens long")
+    confirmations = spark.createDataFrame([("r", 1, ["a", "b"], ["c"]), ("r", 2, [], ["d", "e"]), ("r", 3, None, None)], "run_id string, line_id int, accepted array<string>, kept array<string>")
+    got = {r.run_id: (r.fixes, r.kept, r.net, r.manual_edits, r.positive, r.negative, r.status, r.seconds, r.tokens) for r in store.run_overviews(log, confirmations, spark.createDataFrame([("s",), ("s",)], "run_id string"), spark.createDataFrame([("r", "up"), ("r", "down")], "run_id string, rating string")).collect()}
+    assert got == {"r": (2, 3, -1, 0, 1, 1, "error", None, None), "s": (0, 0, 0, 2, 0, 0, "complete", 1.0, 3)}
