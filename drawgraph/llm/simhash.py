@@ -14,6 +14,10 @@ at single fingerprints), so no pair is lost and no bucket grows with the data. B
 forest of their links, not all pairs. Components come from alternating star steps, each written to the
 shared folder.
 
+drop_near_duplicates() asks for an exact Jaccard similarity of shingle sets. Its candidates come from the same
+method: wide fingerprints of the sets, covering masks, and buckets whose members meet where they are near in
+further bits of their fingerprints. The exact check follows.
+
 Defined results: null and empty texts have the zero fingerprint and are linked to each other like any
 others; rows without an id share in links, but the smallest id of a component leaves them out (null if
 none has one); rows that repeat an id stay as they are; an empty table gives an empty result; further
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +42,19 @@ from .common import forget, key_of, settle, short_batches
 
 #: Fingerprints that one task compares with each other.
 BUCKET = 4096
-#: Least hashes in a key and keys of a set of shingles: sets at a similarity of 0.8 share none of their keys with a chance of 0.672^32 = 3e-6.
-ROWS, BANDS = 5, 32
-#: Keys after which known links are joined before further ones are looked at.
-ROUNDS = (2, 10, BANDS)
+#: Fingerprints of sets: words, segments and their bits, bits that differ in a segment and are found for certain. At a Jaccard similarity of 0.8 a bit differs with a chance of 0.152
+#: (acos(8 / 9) / pi): no table of a segment finds such a pair with a chance of 0.534, none of all segments with 0.534^21 = 2e-6; pairs that differ in up to 83 of 630 bits are found for certain.
+WORDS, SEGMENTS, WIDTH, RADIUS = 10, 21, 30, 3
+#: Words of a fingerprint that stand in the tables, and bits of them in which candidates may differ: 29 +- 5 at a similarity of 0.8, 96 +- 7 for sets that share nothing.
+SKETCH, APART = 3, 64
+#: Sets of so few shingles, whose bits are coarse, meet at every shingle too.
+FEW = 10
+#: Tables that are dealt at a time, so that their rows are not on disk all at once.
+PASSES = (2, 15, 75, 135, 195, 255, 315)
+#: Rows of tables that a task sorts, about.
+TASK_ROWS = 500_000
+#: Passes after which known links are joined before further ones are looked at.
+ROUNDS = (1, 2, len(PASSES))
 #: Hashes that one task compares at a time, in all sets of a bucket.
 SET_HASHES = 500_000
 #: Bytes that part words, made spaces; A-Z lower-cased.
@@ -278,22 +291,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 64, segments:
     return prints.join(known, "fp")
 
 
-def _min_hashes(h: np.ndarray) -> np.ndarray:
-    """BANDS keys, each of the least of ROWS differently mixed hashes. Two sets agree on one least with a chance that is their Jaccard similarity."""
-    rnd = np.random.default_rng(5)
-    flip, odd = rnd.integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(h), 512):
-        low = np.minimum(low, ((h[at : at + 512, None] ^ flip) * (odd | np.uint64(1))).min(axis=0))
-    key = np.arange(BANDS, dtype=np.uint64) * _SPREAD
-    for row in low.reshape(BANDS, ROWS).T:
-        key = _mixed(key ^ row, 1)
-    return key.view(np.int64)
+def majorities(hashes: np.ndarray, words: int) -> bytes:
+    """The fingerprint of words * 64 bits: the bits that are set in over half of the hashes and of their further words."""
+    ones = np.zeros(64 * words, np.int64)
+    step = np.arange(words, dtype=np.uint64) * _SPREAD
+    for at in range(0, len(hashes), 4080):
+        h = hashes[at : at + 4080, None]
+        wide = h + step
+        wide = (wide ^ (wide >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        wide = (wide ^ (wide >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        wide ^= wide >> np.uint64(31)
+        wide[:, 0] = h[:, 0]
+        bits = np.unpackbits(wide.astype(">u8").view(np.uint8), axis=1)
+        for k in range(0, len(bits), 255):  # sums of a byte
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int, seed: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """What the schema asks for of each text's set of shingles: its digest fp, its keys, its hashes."""
-    make = {"size": len, "fp": lambda h: xxhash.xxh3_128_digest(h.tobytes(), seed), "hashes": lambda h: h.tobytes(), "keys": _min_hashes}
+    """What the schema asks for of each text's set of shingles: its digest fp, its fingerprint, its hashes, those of a small set."""
+    make = {"size": len, "fp": lambda h: xxhash.xxh3_128_digest(h.tobytes(), seed), "hashes": lambda h: h.tobytes(), "print": lambda h: majorities(h, WORDS), "few": lambda h: h.view(np.int64)[: len(h) if len(h) <= FEW else 0]}
     for batch in batches:
         sets = [np.unique(shingle_hashes(text.as_py(), shingle, seed)) for text in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array([make[f.name](h) for h in sets], f.type) if f.name in make else batch.column(f.name) for f in schema], schema=schema)
@@ -305,6 +322,101 @@ def _with_sets(docs: DataFrame, kept: list[str], made: str, shingle: int, seed:
     return short_batches(docs).mapInArrow(partial(_shingle_sets, shingle=shingle, seed=seed, schema=to_arrow_schema(schema)), schema)
 
 
+def _deal_prints(batches: Iterator[pa.RecordBatch], masks: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+    """Every fingerprint's number and first words under its key in every table; tables are numbered from first."""
+    for batch in batches:
+        rows = _rows(batch.column("print"), WORDS)
+        fixed = [batch.column("id").to_numpy(), *rows[:, :SKETCH].view(np.int64).T]
+        for at in range(0, len(masks), 8):
+            keys = [_keys(rows, mask, first + t) for t, mask in enumerate(masks[at : at + 8], at)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[pa.array(np.tile(x, len(keys))) for x in fixed]], ["key", "id", *[f"s{k}" for k in range(SKETCH)]])
+
+
+def near_in_buckets(key: np.ndarray, sketch: np.ndarray, apart: int) -> np.ndarray:
+    """For rows sorted by key, the place of one row of each: equal for rows of a key that steps of at most apart differing bits of sketch(row, word) join."""
+    n, at = len(key), np.arange(len(key))
+    root, free = at.copy(), at
+    for _ in range(4):  # most near rows, of which there may be many, are near one of the first
+        if not len(free):
+            break
+        pivot = free[np.searchsorted(key[free], key[free])]
+        near = np.bitwise_count(sketch[free] ^ sketch[pivot]).sum(axis=1, dtype=np.int32) <= apart
+        root[free[near]] = pivot[near]
+        free = free[~near]
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[:n])
+    joined = np.minimum.reduceat(root, starts) == np.maximum.reduceat(root, starts) if n else np.empty(0, bool)
+    left, step = at[~np.repeat(joined, np.diff(np.append(starts, n)))], 1
+    while True:
+        left = left[left + step < n]
+        left = left[key[left] == key[left + step]]
+        if not len(left):
+            break
+        ask = left[root[left] != root[left + step]]
+        ask = ask[np.bitwise_count(sketch[ask] ^ sketch[ask + step]).sum(axis=1, dtype=np.int32) <= apart]
+        for x, y in {*zip(root[ask].tolist(), root[ask + step].tolist(), strict=True)}:
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        step += 1
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
+def _near_cells(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those of a bucket that are near each other: (key of their group, id). A bucket of over BUCKET rows is one group; its rows are not held."""
+
+    def groups(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not rows.shape[1]:
+            return
+        new = np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))
+        times = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
+        large = (times > BUCKET) | (rows[0] == over)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0, large]), pa.array(rows[1, large])], ["key", "id"])
+        rows = rows[:, (times > 1) & ~large]
+        root = near_in_buckets(rows[0], rows[2:].T.view(np.uint64), apart)
+        several = np.bincount(root, minlength=len(root))[root] > 1
+        cell = _mixed((rows[0] ^ rows[1, root]).view(np.uint64), 1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cell[several]), pa.array(rows[1, several])], ["key", "id"])
+
+    parts: list[np.ndarray] = []
+    over: int | None = None  # the key of a large bucket that goes on
+    for batch in batches:
+        parts.append(np.stack([c.to_numpy() for c in batch.columns]))
+        if sum(x.shape[1] for x in parts) < 4 * BUCKET:
+            continue
+        rows = np.concatenate(parts, axis=1)
+        last = rows[0, -1]
+        cut = np.searchsorted(rows[0], last)  # the last bucket may go on
+        if rows.shape[1] - cut > BUCKET or last == over:
+            yield from groups(rows)
+            over, parts = last, []
+        else:
+            yield from groups(rows[:, :cut])
+            parts = [rows[:, cut:]]
+    if parts:
+        yield from groups(np.concatenate(parts, axis=1))
+
+
+def near_cells(nodes: DataFrame) -> list[DataFrame]:
+    """Groups (key, id) of nodes(id, print, few, size) that share a table's key and are near in further bits, a table of them for each of ROUNDS."""
+    masks = _word_masks(covering_masks(64 * WORDS, SEGMENTS, RADIUS, WIDTH), WORDS)
+    prints, passes, n = nodes.select("id", "print"), [], nodes.count()
+    sketch = ", ".join(f"s{k} long" for k in range(SKETCH))
+    for low, high in zip((0, *PASSES), PASSES, strict=False):
+        dealt = prints.mapInArrow(partial(_deal_prints, masks=masks[low:high], first=low), f"key long, id long, {sketch}")
+        passes.append(settle(dealt.repartition(n * (high - low) // TASK_ROWS + 1, "key").sortWithinPartitions("key").mapInArrow(partial(_near_cells, apart=APART), "key long, id long"), "cells"))
+    few = nodes.select(F.explode("few").alias("key"), "id")
+    shared = few.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
+    passes[-1] = passes[-1].unionByName(settle(few.join(shared, "key", "left_semi"), "few"))
+    return [reduce(DataFrame.unionByName, passes[low:high]) for low, high in zip((0, *ROUNDS), ROUNDS, strict=False)]
+
+
 def prefix_sizes(sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Of sets in one order of their elements: how many of the first ones a set meets others by, as the larger or the smaller of a pair.
 
@@ -421,12 +533,12 @@ def prefix_components(large: DataFrame, sets: DataFrame, known: DataFrame | None
     return _compared(dealt.select("hash", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "fp", "root"), sets, similarity, "hash", "one", "two")
 
 
-def similar_components(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """(node, root) of nodes(fp, keys, size), linked where the exact Jaccard similarity of their sets(fp, hashes) is at least similarity; None without any link.
+def similar_components(rounds: list[DataFrame], sets: DataFrame, similarity: float) -> DataFrame | None:
+    """(node, root) of the members of groups (key, fp, size), linked where the exact Jaccard similarity of their sets(fp, hashes) is at least similarity; None without any link.
 
-    Candidates share a key. Bands are taken in few rounds: a bucket whose members are joined already is not compared again, and buckets of the same
-    members are compared once, so groups of many copies are compared in the first round and not in every band. A bucket of over SET_HASHES hashes is
-    compared in parts of that size, each with the bucket's least member, which joins many copies of a text; pairs over its parts are left to prefix_components()."""
+    Groups are taken in few rounds: one whose members are joined already is not compared again, and groups of the same
+    members are compared once, so groups of many copies are compared in the first round and not in every table. A group of over SET_HASHES hashes is
+    compared in parts of that size, each with the group's least member, which joins many copies of a text; pairs over its parts are left to prefix_components()."""
     known = parts = large = None
 
     def add(fresh: DataFrame) -> None:
@@ -435,8 +547,8 @@ def similar_components(nodes: DataFrame, sets: DataFrame, similarity: float) ->
             parts = parts.unionByName(fresh) if parts else fresh
             known = settle(components(parts), "components")
 
-    for low, high in zip((0, *ROUNDS), ROUNDS, strict=False):
-        dealt = settle(_rooted(nodes.select("fp", "size", F.explode(F.slice("keys", low + 1, high - low)).alias("key")), known), "dealt")
+    for groups in rounds:
+        dealt = settle(_rooted(groups, known), "dealt")
         once = settle(_unlike(dealt, "key").withColumn("parts", F.ceil(F.col("weight") / SET_HASHES).cast("int")), "once")
         members = dealt.join(once, "key").withColumn("part", F.when(F.col("fp") == F.col("low"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))))
         members = settle(members.select("key", "parts", F.explode("part").alias("part"), "fp", "root", "size"), "members")
@@ -452,27 +564,32 @@ def similar_components(nodes: DataFrame, sets: DataFrame, similarity: float) ->
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the least id (of several rows with it, that with the least hash of its text)."""
+    """docs with one document of each group of near-duplicates: the one with the least id (of several rows with it, that with the least hash of its text).
+
+    Links are pairs whose sets of shingles have at least the exact Jaccard similarity (0.8 or more; the tables are laid out for it). Joins that read texts meet short
+    tables, of the candidates and of the rows that go, so texts need no shuffle as long as these can be broadcast."""
     keyed = docs.withColumns({"__key": key_of(F.col("text")), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    found = settle(_with_sets(keyed.select("doc_id", "text", "__key", "__id"), ["doc_id", "__key", "__id"], "fp binary, keys array<long>, size int", shingle, seed), "found")
-    nodes = settle(found.groupBy("fp").agg(F.min("__key").alias("__key"), F.first("keys").alias("keys"), F.first("size").alias("size")), "nodes")  # equal sets are one node and have equal keys
-    dealt = nodes.select("fp", F.explode("keys").alias("key"))
-    shared = settle(dealt.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("key"), "shared")
-    some = settle(dealt.join(shared, "key", "left_semi").select("fp").distinct(), "some")
-    nodes = settle(nodes.join(some, "fp", "left_semi"), "candidates")
-    again = _with_sets(keyed.select("text", "__key").join(nodes.select("__key"), "__key", "left_semi"), [], "fp binary, hashes binary", shingle, seed)
+    found = settle(_with_sets(keyed.select("doc_id", "text", "__key", "__id"), ["doc_id", "__key", "__id"], "fp binary, print binary, few array<long>, size int", shingle, seed), "found")
+    nodes = found.groupBy("fp").agg(F.min("__key").alias("__key"), *[F.first(c).alias(c) for c in ("print", "few", "size")])  # equal sets are one node and have equal fingerprints
+    nodes = settle(nodes.withColumn("id", F.xxhash64("fp")), "nodes")
+    cells = near_cells(nodes)
+    some = settle(nodes.join(reduce(DataFrame.unionByName, cells).select("id").distinct(), "id", "left_semi").select("id", "fp", "size", "__key"), "candidates")
+    asked = settle(some.select("__key").distinct(), "asked")
+    again = _with_sets(keyed.select("text", "__key").join(asked, "__key", "left_semi"), [], "fp binary, hashes binary", shingle, seed)
     sets = settle(again.groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets")
-    joined = similar_components(nodes, sets, similarity)
-    rows = found.withColumn("root", F.col("fp"))
-    if joined:
-        rows = found.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = similar_components([x.join(some, "id").select("key", "fp", "size") for x in cells], sets, similarity)
+    rows = found.select("doc_id", "__id", "__key", "fp")
+    rows = rows.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")) if joined else rows.withColumn("root", F.col("fp"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))
     firsts = settle(rows.groupBy("root").agg(F.min(place).alias("first")), "firsts")
     stay = firsts.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("__id"), F.col("first.key").alias("__key"))
-    out = keyed.join(stay, ["__id", "__key"], "left_semi")
+    gone = settle(found.select("__id", "__key").distinct().join(stay, ["__id", "__key"], "left_anti"), "gone")
+    out = keyed.join(gone, ["__id", "__key"], "left_anti")
     n_rows, ids = found.select(F.count(F.lit(1)), F.countDistinct("__id", "__key")).first()
     if n_rows != ids:  # rows repeat an id and its text: one of them stays, and each task sends one of those that it reads
         out = out.dropDuplicates(["__id", "__key"])
+    for old in (found, nodes, *cells, some, asked, sets, firsts):
+        forget(old)
     return out.select(*docs.columns)
 
 

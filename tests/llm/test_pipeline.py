@@ -223,3 +223,83 @@ def test_large_buckets_are_compared_in_parts(spark, monkeypatch):
     want = sorted({find(i) for i in range(len(texts))})
     out = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in out) == want and 100 < len(want) < 200
+
+
+def test_near_duplicate_candidates_come_from_fingerprints(spark):
+    """Pairs of sets at a similarity of 0.8, from the smallest on, meet in the tables of fingerprints; sets that share nothing do not."""
+    import numpy as np
+
+    rng = np.random.default_rng(17)
+
+    def some(n):
+        return rng.integers(0, 2**64, n, dtype=np.uint64)
+
+    pairs = [(4, 0, 1), (8, 1, 1), (12, 0, 3), (20, 0, 5), (80, 10, 10), (400, 50, 50), (1600, 0, 400)]  # shared, and what each side has alone
+    sets = []
+    for i in range(70):
+        shared, one, two = pairs[i % len(pairs)]
+        common = some(shared)
+        sets += [np.unique(np.concatenate([common, some(one)])), np.unique(np.concatenate([common, some(two)]))]
+    sets += [some(n) for n in (1, 5, 50, 500) for _ in range(40)]
+    rows = [(i, simhash.majorities(x, simhash.WORDS), x.view(np.int64)[: len(x) if len(x) <= simhash.FEW else 0].tolist(), len(x)) for i, x in enumerate(sets)]
+    for i, x in enumerate(sets):
+        assert rows[i][1][16:24] == simhash._majority(simhash._mixed(x, 2)).to_bytes(8, "big")
+    found = simhash.near_cells(spark.createDataFrame(rows, "id long, print binary, few array<long>, size int"))
+    met = set()
+    for k, cells in enumerate(found):
+        groups = {}
+        for r in cells.collect():
+            groups.setdefault((k, r.key), set()).add(r.id)
+        met |= {tuple(sorted(g)) for g in groups.values()}
+    assert met == {(2 * i, 2 * i + 1) for i in range(70)}
+
+
+def test_near_rows_of_buckets_against_all_pairs(monkeypatch):
+    """Near rows of a bucket are groups, as links in any number of steps join them; a bucket of more than BUCKET rows stays whole, wherever batches end."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        key, base = np.sort(rng.integers(-20, 20, 400)), rng.integers(0, 2**63, (60, 3)).astype(np.uint64)
+        sketch = base[rng.integers(0, 60, 400)].copy()
+        for word in range(3):
+            sketch[rng.random(400) < 0.5, word] ^= np.uint64(rng.integers(1, 2**10))
+        root = list(range(400))
+        for i in range(400):
+            for j in range(i):
+                if key[i] == key[j] and root[i] != root[j] and np.bitwise_count(sketch[i] ^ sketch[j]).sum() <= 4:
+                    x, y = root[i], root[j]
+                    root = [min(x, y) if r in (x, y) else r for r in root]
+        assert simhash.near_in_buckets(key, sketch, 4).tolist() == root
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    key = np.array([1] * 3 + [2] * 100 + [3] * 2 + [4] * 8 + [5], np.int64)
+    ids, far = np.arange(len(key)), rng.integers(0, 2**62, (3, len(key)))
+    far[:, 103:105] = 7  # the two rows of bucket 3 are near
+    for size in (1, 7, 33, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[at : at + size]) for c in (key, ids, *far)], ["key", "id", "s0", "s1", "s2"]) for at in range(0, len(key), size)]
+        got = [(r["key"], r["id"]) for b in simhash._near_cells(iter(batches), 10) for r in b.to_pylist()]
+        assert sorted(i for k, i in got if k == 2) == list(range(3, 103)) and sorted(i for k, i in got if k != 2) == [103, 104]
+
+
+def test_near_duplicates_leave_texts_in_place(spark):
+    """Texts meet the few rows that go, not the many that stay, and tables that nothing reads any more are deleted."""
+    from pathlib import Path
+
+    from drawgraph.llm.common import shared_dir
+
+    rnd = random.Random(41)
+    texts = [say(rnd, 40) for _ in range(1500)]
+    rows = list(enumerate(texts + texts[:3]))
+    kept, folder = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8000")
+        out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in out.collect()) == list(range(1500))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
+    assert "gone" in left and not left & {"found", "nodes", "cells", "candidates", "sets", "firsts"}
