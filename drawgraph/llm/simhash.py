@@ -16,7 +16,8 @@ shared folder.
 
 drop_near_duplicates() asks for an exact Jaccard similarity of shingle sets. Its candidates come from the same
 method: wide fingerprints of the sets, covering masks, and buckets whose members meet where they are near in
-further bits of their fingerprints. The exact check follows.
+further bits of their fingerprints. What they join, over all tables, is compared once, by the exact check: a set is
+sent to one group however many tables it meets others in.
 
 Defined results: null and empty texts have the zero fingerprint and are linked to each other like any
 others; rows without an id share in links, but the smallest id of a component leaves them out (null if
@@ -53,8 +54,6 @@ FEW = 10
 PASSES = (2, 15, 75, 135, 195, 255, 315)
 #: Rows of tables that a task sorts, about.
 TASK_ROWS = 500_000
-#: Passes after which known links are joined before further ones are looked at.
-ROUNDS = (1, 2, len(PASSES))
 #: Hashes that one task compares at a time, in all sets of a bucket.
 SET_HASHES = 500_000
 #: Bytes that part words, made spaces; A-Z lower-cased.
@@ -369,7 +368,7 @@ def near_in_buckets(key: np.ndarray, sketch: np.ndarray, apart: int) -> np.ndarr
 
 
 def _near_cells(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those of a bucket that are near each other: (key of their group, id). A bucket of over BUCKET rows is one group; its rows are not held."""
+    """Of rows sorted by key, those of a bucket that are near each other: (key of their group, id, low: the id of one member, the same for all). A bucket of over BUCKET rows is one group; its rows are not held."""
 
     def groups(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not rows.shape[1]:
@@ -377,15 +376,16 @@ def _near_cells(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.Re
         new = np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))
         times = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
         large = (times > BUCKET) | (rows[0] == over)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0, large]), pa.array(rows[1, large])], ["key", "id"])
+        one = np.where(rows[0] == over, low, rows[1, np.searchsorted(rows[0], rows[0])])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0, large]), pa.array(rows[1, large]), pa.array(one[large])], ["key", "id", "low"])
         rows = rows[:, (times > 1) & ~large]
         root = near_in_buckets(rows[0], rows[2:].T.view(np.uint64), apart)
         several = np.bincount(root, minlength=len(root))[root] > 1
         cell = _mixed((rows[0] ^ rows[1, root]).view(np.uint64), 1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(cell[several]), pa.array(rows[1, several])], ["key", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(cell[several]), pa.array(rows[1, several]), pa.array(rows[1, root[several]])], ["key", "id", "low"])
 
     parts: list[np.ndarray] = []
-    over: int | None = None  # the key of a large bucket that goes on
+    over, low = None, 0  # the key of a large bucket that goes on, and its first id
     for batch in batches:
         parts.append(np.stack([c.to_numpy() for c in batch.columns]))
         if sum(x.shape[1] for x in parts) < 4 * BUCKET:
@@ -395,6 +395,7 @@ def _near_cells(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.Re
         cut = np.searchsorted(rows[0], last)  # the last bucket may go on
         if rows.shape[1] - cut > BUCKET or last == over:
             yield from groups(rows)
+            low = low if last == over else rows[1, cut]
             over, parts = last, []
         else:
             yield from groups(rows[:, :cut])
@@ -404,17 +405,17 @@ def _near_cells(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.Re
 
 
 def near_cells(nodes: DataFrame) -> list[DataFrame]:
-    """Groups (key, id) of nodes(id, print, few, size) that share a table's key and are near in further bits, a table of them for each of ROUNDS."""
+    """Groups (key, id, low: one member's id) of nodes(id, print, few, size) that share a table's key and are near in further bits, a table of them for each of PASSES."""
     masks = _word_masks(covering_masks(64 * WORDS, SEGMENTS, RADIUS, WIDTH), WORDS)
     prints, passes, n = nodes.select("id", "print"), [], nodes.count()
     sketch = ", ".join(f"s{k} long" for k in range(SKETCH))
     for low, high in zip((0, *PASSES), PASSES, strict=False):
         dealt = prints.mapInArrow(partial(_deal_prints, masks=masks[low:high], first=low), f"key long, id long, {sketch}")
-        passes.append(settle(dealt.repartition(n * (high - low) // TASK_ROWS + 1, "key").sortWithinPartitions("key").mapInArrow(partial(_near_cells, apart=APART), "key long, id long"), "cells"))
+        passes.append(settle(dealt.repartition(n * (high - low) // TASK_ROWS + 1, "key").sortWithinPartitions("key").mapInArrow(partial(_near_cells, apart=APART), "key long, id long, low long"), "cells"))
     few = nodes.select(F.explode("few").alias("key"), "id")
-    shared = few.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
-    passes[-1] = passes[-1].unionByName(settle(few.join(shared, "key", "left_semi"), "few"))
-    return [reduce(DataFrame.unionByName, passes[low:high]) for low, high in zip((0, *ROUNDS), ROUNDS, strict=False)]
+    shared = few.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low")
+    passes[-1] = passes[-1].unionByName(settle(few.join(shared, "key").select("key", "id", "low"), "few"))
+    return passes
 
 
 def prefix_sizes(sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -432,6 +433,7 @@ class Prefixes:
     def __init__(self, sizes: np.ndarray, flat: np.ndarray, similarity: float):
         owner = np.repeat(np.arange(len(sizes)), sizes)
         _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        self.elements, self.ends, self.mine = at, np.concatenate(([0], np.cumsum(sizes))), np.zeros(len(times), bool)
         order = np.lexsort((at, times[at], owner))
         at, owner = at[order], owner[order]
         rank = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -450,11 +452,25 @@ class Prefixes:
             out += [owners[starts[e] : starts[e + 1]] for e in mine[ends[x] : ends[x + 1]].tolist()]
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
 
+    def shared(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many elements of set x each of the others has."""
+        own = self.elements[self.ends[x] : self.ends[x + 1]]
+        self.mine[own] = True
+        out = np.zeros(len(others), np.int64)
+        for low in range(0, len(others), 1024):
+            first, sizes = self.ends[others[low : low + 1024]], np.diff(self.ends)[others[low : low + 1024]]
+            upto = np.cumsum(sizes)
+            found = self.mine[self.elements[np.arange(upto[-1]) + np.repeat(first - upto + sizes, sizes)]]
+            sums = np.concatenate(([0], np.cumsum(found)))
+            out[low : low + 1024] = sums[upto] - sums[upto - sizes]
+        self.mine[own] = False
+        return out
+
 
 def similar(sets: list[np.ndarray], groups: list, similarity: float) -> list[tuple[int, int]]:
     """Places of links, from one set to all that are reached from it, that join what pairs of sets with at least the Jaccard similarity join; sets of one group are joined already."""
     sizes = np.array([len(x) for x in sets])
-    flat, ends = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.concatenate(sets)
     _, names = np.unique(groups, return_inverse=True)
     members = np.argsort(names, kind="stable")
     first = np.searchsorted(names[members], np.arange(names.max() + 2))
@@ -473,7 +489,7 @@ def similar(sets: list[np.ndarray], groups: list, similarity: float) -> list[tup
             fits = prefixes.near(at)
             fits = fits[free[fits]]
             fits = fits[np.minimum(sizes[fits], sizes[at]) >= similarity * np.maximum(sizes[fits], sizes[at]) - 1e-9]
-            shared = np.array([np.isin(flat[ends[x] : ends[x + 1]], sets[at], assume_unique=True).sum() for x in fits.tolist()], np.int64)
+            shared = prefixes.shared(at, fits)
             near = fits[shared >= similarity * (sizes[fits] + sizes[at] - shared) - 1e-9]
             if len(near):
                 out += [(hub, int(x)) for x in near]
@@ -533,13 +549,12 @@ def prefix_components(large: DataFrame, sets: DataFrame, known: DataFrame | None
     return _compared(dealt.select("hash", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "fp", "root"), sets, similarity, "hash", "one", "two")
 
 
-def similar_components(rounds: list[DataFrame], sets: DataFrame, similarity: float) -> DataFrame | None:
+def similar_components(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """(node, root) of the members of groups (key, fp, size), linked where the exact Jaccard similarity of their sets(fp, hashes) is at least similarity; None without any link.
 
-    Groups are taken in few rounds: one whose members are joined already is not compared again, and groups of the same
-    members are compared once, so groups of many copies are compared in the first round and not in every table. A group of over SET_HASHES hashes is
-    compared in parts of that size, each with the group's least member, which joins many copies of a text; pairs over its parts are left to prefix_components()."""
-    known = parts = large = None
+    A member stands in one group, so its set is sent once. A group of over SET_HASHES hashes is compared in parts of that size, each with the group's
+    least member, which joins many copies of a text; pairs over its parts are left to prefix_components()."""
+    known = parts = None
 
     def add(fresh: DataFrame) -> None:
         nonlocal known, parts
@@ -547,19 +562,15 @@ def similar_components(rounds: list[DataFrame], sets: DataFrame, similarity: flo
             parts = parts.unionByName(fresh) if parts else fresh
             known = settle(components(parts), "components")
 
-    for groups in rounds:
-        dealt = settle(_rooted(groups, known), "dealt")
-        once = settle(_unlike(dealt, "key").withColumn("parts", F.ceil(F.col("weight") / SET_HASHES).cast("int")), "once")
-        members = dealt.join(once, "key").withColumn("part", F.when(F.col("fp") == F.col("low"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))))
-        members = settle(members.select("key", "parts", F.explode("part").alias("part"), "fp", "root", "size"), "members")
-        add(_compared(members, sets, similarity, "key", "part"))
-        more = settle(members.filter("parts > 1").select("fp", "size").distinct(), "large")
-        if not more.isEmpty():
-            large = large.unionByName(more) if large else more
-        for old in (dealt, once, members):
-            forget(old)
-    if large:
-        add(prefix_components(large.distinct(), sets, known, similarity))
+    weights = settle(groups.groupBy("key").agg(F.min("fp").alias("low"), F.ceil(F.sum("size") / SET_HASHES).cast("int").alias("parts")), "weights")
+    members = _rooted(groups.join(weights, "key"), None).withColumn("part", F.when(F.col("fp") == F.col("low"), F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))))
+    members = settle(members.select("key", "parts", F.explode("part").alias("part"), "fp", "root", "size"), "members")
+    add(_compared(members, sets, similarity, "key", "part"))
+    large = settle(members.filter("parts > 1").select("fp", "size").distinct(), "large")
+    if not large.isEmpty():
+        add(prefix_components(large, sets, known, similarity))
+    for old in (weights, members, large):
+        forget(old)
     return known
 
 
@@ -573,11 +584,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     nodes = found.groupBy("fp").agg(F.min("__key").alias("__key"), *[F.first(c).alias(c) for c in ("print", "few", "size")])  # equal sets are one node and have equal fingerprints
     nodes = settle(nodes.withColumn("id", F.xxhash64("fp")), "nodes")
     cells = near_cells(nodes)
-    some = settle(nodes.join(reduce(DataFrame.unionByName, cells).select("id").distinct(), "id", "left_semi").select("id", "fp", "size", "__key"), "candidates")
+    near = components(reduce(DataFrame.unionByName, cells).select(F.col("id").alias("a"), F.col("low").alias("b")))  # what any tables join is compared as one group
+    some = settle(nodes.join(near, F.col("id") == F.col("node")).select(F.col("root").alias("key"), "fp", "size", "__key"), "candidates")
     asked = settle(some.select("__key").distinct(), "asked")
     again = _with_sets(keyed.select("text", "__key").join(asked, "__key", "left_semi"), [], "fp binary, hashes binary", shingle, seed)
     sets = settle(again.groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets")
-    joined = similar_components([x.join(some, "id").select("key", "fp", "size") for x in cells], sets, similarity)
+    joined = similar_components(some.select("key", "fp", "size"), sets, similarity)
     rows = found.select("doc_id", "__id", "__key", "fp")
     rows = rows.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")) if joined else rows.withColumn("root", F.col("fp"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))
@@ -588,7 +600,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     n_rows, ids = found.select(F.count(F.lit(1)), F.countDistinct("__id", "__key")).first()
     if n_rows != ids:  # rows repeat an id and its text: one of them stays, and each task sends one of those that it reads
         out = out.dropDuplicates(["__id", "__key"])
-    for old in (found, nodes, *cells, some, asked, sets, firsts):
+    for old in (found, nodes, *cells, near, some, asked, sets, firsts):
         forget(old)
     return out.select(*docs.columns)
 

@@ -303,3 +303,48 @@ def test_near_duplicates_leave_texts_in_place(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
     assert "gone" in left and not left & {"found", "nodes", "cells", "candidates", "sets", "firsts"}
+
+
+def test_candidates_are_compared_once(spark, monkeypatch):
+    """Texts of one template that meet in many tables and mostly do not link: each set is sent to one group, and links equal those of all pairs."""
+    rnd = random.Random(43)
+    template, texts = [f"t{k}" for k in range(80)], []
+    for i in range(150):
+        words = template[:]
+        for k in rnd.sample(range(80), rnd.randint(1, 4)):
+            words[k] = f"u{i}x{k}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(76)} for t in texts]
+    root = list(range(150))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and len(a & sets[j]) * 5 >= 4 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    sent, compared = [], simhash._compared
+
+    def seen(members, *rest):
+        sent.append(members.count())
+        return compared(members, *rest)
+
+    monkeypatch.setattr(simhash, "_compared", seen)
+    out = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(root)) and 20 < len(set(root)) < 140
+    assert sum(sent) <= 150
+
+
+def test_dense_unlinked_sets_take_seconds():
+    """2,000 sets of one template that share most of their rarest elements and mostly do not link: each meets all others, some 30 s before."""
+    import time
+
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    base, sets = rnd.integers(0, 2**63, 150, dtype=np.uint64), []
+    for _ in range(2000):
+        k = rnd.integers(8, 45)
+        sets.append(np.unique(np.concatenate([base[rnd.permutation(150)[k:]], rnd.integers(0, 2**63, k, dtype=np.uint64)])))
+    began = time.time()
+    found = simhash.similar(sets, list(range(2000)), 0.8)
+    assert time.time() - began < 12 and 100 < len(found) < 400
+    assert all(len(np.intersect1d(sets[a], sets[b])) > 60 for a, b in found)
