@@ -12,7 +12,7 @@ from math import floor, hypot
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import by_page
+from .pages import by_page
 from .spatial import gridded_within
 
 # Distances and limits that results depend on.

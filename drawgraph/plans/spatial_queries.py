@@ -203,5 +203,5 @@ def reserved_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn segments that lie on a pipe, within 3 as a handwheel's arrow would, within 2.5 as a part of it."""
     s = spatial.ends(t.drawn_segments(spark, sf_dir)).select("page", F.col("seg_id").alias("id"), "a", "b")
     pipes = spatial.ends(t.axis_strokes(spark, sf_dir), "c", "d").select("page", "c", "d")
-    rows = s.join(spatial.reserved(s, pipes).select("page", "id", F.lit(True).alias("reserved")), ["page", "id"], "left").join(spatial.on_pipes(s, pipes).select("page", "id", F.lit(False).alias("on_pipe")), ["page", "id"], "left")
-    return rows.select("page", "id", F.coalesce("reserved", F.lit(False)).alias("reserved"), F.coalesce("on_pipe", F.lit(True)).alias("on_pipe"))
+    told = lambda most: F.coalesce(F.col("d2") <= most * most, F.lit(False))
+    return spatial.gaps(s, pipes).select("page", "id", told(3.0).alias("reserved"), told(2.5).alias("on_pipe"))
