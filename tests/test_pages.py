@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawgraph.functions import geometry as g
-from drawgraph.operators import contour, graph, pages, spatial
+from drawgraph.operators import contour, graph, leaders, pages, spatial
 
 POINT = "struct<x: double, y: double>"
 SEGMENTS = f"page int, id long, a {POINT}, b {POINT}"
@@ -179,3 +179,13 @@ def test_merged_vertices_take_no_frame_for_a_page(drawn):
         want += [(page, f"VE-{k:02d}", x, y, n) for k, (x, y, _, n) in enumerate(made, 1)]
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "InPandas" not in plan(found)
+
+
+def test_leader_targets_make_no_row_for_a_pair(drawn):
+    s = segments([], 10)
+    strokes = drawn(s)
+    lead = strokes.select("page", F.col("id").alias("leader_id"), F.col("a").alias("s"), F.col("b").alias("e"), F.lit(None).cast(POINT).alias("edge_a"), F.lit(None).cast(POINT).alias("edge_b"))
+    found = leaders.leader_targets(lead, strokes.select("page", F.col("id").alias("stroke_id"), "a", "b"))
+    got = {r.leader_id: r.stroke_id for r in found.collect()}
+    assert got and all(i != j and i // 1000 == j // 1000 for i, j in got.items())
+    assert "Join" not in plan(found)
