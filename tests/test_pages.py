@@ -189,3 +189,12 @@ def test_leader_targets_make_no_row_for_a_pair(drawn):
     got = {r.leader_id: r.stroke_id for r in found.collect()}
     assert got and all(i != j and i // 1000 == j // 1000 for i, j in got.items())
     assert "Join" not in plan(found)
+
+
+def test_touching_edges_make_no_row_for_a_cell(drawn):
+    rows = segments([], 11)
+    found = spatial.touching(drawn(rows).withColumnRenamed("id", "edge_id"), 4.0)
+    far = lambda p, q: ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
+    want = {(p, i, j) for p, i, a, b in rows for q, j, c, d in rows if p == q and i < j and min(far(m, n) for m in (a, b) for n in (c, d)) <= 4}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "Join" not in plan(found) and "Generate" not in plan(found)
