@@ -198,3 +198,14 @@ def test_touching_edges_make_no_row_for_a_cell(drawn):
     want = {(p, i, j) for p, i, a, b in rows for q, j, c, d in rows if p == q and i < j and min(far(m, n) for m in (a, b) for n in (c, d)) <= 4}
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "Join" not in plan(found) and "Generate" not in plan(found)
+
+
+@pytest.mark.parametrize("name", ["extension_vertices"])
+def test_strokes_are_worked_out_once(spark, sf_dir, monkeypatch, name):
+    from drawgraph import plans
+    from drawgraph.sources import tables
+
+    made, calls = tables.strokes, []
+    monkeypatch.setattr(tables, "strokes", lambda *a: calls.append(a) or made(*a))
+    plans.QUERIES[name](spark, sf_dir)
+    assert len(calls) == 1
