@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawgraph.functions import geometry as g
-from drawgraph.operators import contour, graph, leaders, pages, spatial
+from drawgraph.operators import contour, graph, leaders, pages, routes, spatial
 
 POINT = "struct<x: double, y: double>"
 SEGMENTS = f"page int, id long, a {POINT}, b {POINT}"
@@ -209,3 +209,9 @@ def test_strokes_are_worked_out_once(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(tables, "strokes", lambda *a: calls.append(a) or made(*a))
     plans.QUERIES[name](spark, sf_dir)
     assert len(calls) == 1
+
+
+def test_handwheel_edges_are_found_without_cells(drawn):
+    sides = drawn(segments([], 12)).withColumnRenamed("id", "edge_id")
+    wheels = drawn(segments([], 13)).select("page", "id", (F.col("id") % 1000).cast("int").alias("pos"), F.col("a").alias("tip"))
+    assert "cx_" not in plan(routes.handwheel_edges(wheels, sides))
