@@ -215,3 +215,10 @@ def test_handwheel_edges_are_found_without_cells(drawn):
     sides = drawn(segments([], 12)).withColumnRenamed("id", "edge_id")
     wheels = drawn(segments([], 13)).select("page", "id", (F.col("id") % 1000).cast("int").alias("pos"), F.col("a").alias("tip"))
     assert "cx_" not in plan(routes.handwheel_edges(wheels, sides))
+
+
+def test_ends_are_adjusted_without_cells(drawn):
+    sides = drawn(segments([], 14)).withColumnRenamed("id", "edge_id")
+    ends = sides.select("page", F.col("edge_id").alias("vertex_id"), F.col("a").alias("p"))
+    lines = drawn(segments([], 15)).withColumnRenamed("id", "extension_id")
+    assert "cx_" not in plan(contour.adjusted_ends(ends, lines, sides))
