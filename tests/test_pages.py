@@ -222,3 +222,13 @@ def test_ends_are_adjusted_without_cells(drawn):
     ends = sides.select("page", F.col("edge_id").alias("vertex_id"), F.col("a").alias("p"))
     lines = drawn(segments([], 15)).withColumnRenamed("id", "extension_id")
     assert "cx_" not in plan(contour.adjusted_ends(ends, lines, sides))
+
+
+def test_coordinate_leads_look_at_pipes_once(spark, sf_dir, monkeypatch):
+    from drawgraph import plans
+    from drawgraph.plans import interval_queries
+
+    monkeypatch.setattr(spatial, "gaps", lambda strokes, pipes, made=spatial.gaps: calls.append(1) or made(strokes, pipes), raising=False)
+    calls: list[int] = []
+    monkeypatch.setattr(interval_queries, "written", lambda df, name: pytest.fail(f"{name} is written"))
+    assert plans.QUERIES["coordinate_leads"](spark, sf_dir).columns[1] == "block_id" and calls == [1]
