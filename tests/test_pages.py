@@ -200,7 +200,7 @@ def test_touching_edges_make_no_row_for_a_cell(drawn):
     assert "Join" not in plan(found) and "Generate" not in plan(found)
 
 
-@pytest.mark.parametrize("name", ["extension_vertices", "glyph_spans"])
+@pytest.mark.parametrize("name", ["extension_vertices", "glyph_spans", "final_vertices"])
 def test_strokes_are_worked_out_once(spark, sf_dir, monkeypatch, name):
     from drawgraph import plans
     from drawgraph.sources import tables
